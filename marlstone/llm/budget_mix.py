@@ -1,10 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length (in words) and source. Each source's
-target is met by whole passes over it plus a remaining budget. Of that budget,
-every length first gives its proportional share; what the shares leave over is
-fitted exactly by a bounded-knapsack dynamic programme over the lengths still
-available. Which documents of a length are taken is decided by a seeded hash,
+target is a budget of words. Every length first gives its proportional share;
+what the shares leave over is fitted exactly by a bounded-knapsack dynamic
+programme over the lengths still available (each document once up to one pass
+over the source, twice beyond it). Which documents of a length are taken is decided by a seeded hash,
 so reruns agree.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
@@ -28,6 +28,10 @@ SHARE, MOST_PASSES = 1.5, 2.0
 SEED = 20_240
 #: The dynamic programme runs over budgets up to this many words; larger ones are first reduced by proportional shares.
 DP_WORDS = 1 << 15
+#: A sum may end so many words above its budget if none below is nearer.
+OVER_WORDS = 512
+#: Words that the programme gets to fit at least, where documents can be given back for it.
+SLACK_WORDS = 1 << 12
 #: Rows of one source and length that one task ranks.
 BUCKET_ROWS = 50_000
 
@@ -51,8 +55,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
     return out
 
 
-def knapsack(lengths: np.ndarray, available: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length sum up nearest to ``budget``, never above it: bounded knapsack over reachable sums.
+def knapsack(lengths: np.ndarray, available: np.ndarray, budget: int, over: int = OVER_WORDS) -> np.ndarray:
+    """How many of each length sum up nearest to ``budget`` (at most ``over`` above it): bounded knapsack over reachable sums.
 
     Sums are bits of one integer; multiples of a length are added by doubling. The programme
     stops as soon as the budget itself is reachable.
@@ -60,9 +64,10 @@ def knapsack(lengths: np.ndarray, available: np.ndarray, budget: int) -> np.ndar
     take = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0:
         return take
-    mask, reach, steps = (1 << (budget + 1)) - 1, 1, []
-    for i in np.flatnonzero((lengths > 0) & (lengths <= budget) & (available > 0)):
-        n, size, part = int(min(available[i], budget // lengths[i])), int(lengths[i]), 1
+    most = budget + over
+    mask, reach, steps = (1 << (most + 1)) - 1, 1, []
+    for i in np.flatnonzero((lengths > 0) & (lengths <= most) & (available > 0)):
+        n, size, part = int(min(available[i], most // lengths[i])), int(lengths[i]), 1
         while n and not reach >> budget & 1:
             part = min(part, n)
             steps.append((i, part, reach))
@@ -71,7 +76,9 @@ def knapsack(lengths: np.ndarray, available: np.ndarray, budget: int) -> np.ndar
             part *= 2
         if reach >> budget & 1:
             break
-    at = reach.bit_length() - 1
+    at, above = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1, reach >> budget
+    if above and (first := (above & -above).bit_length() - 1) < budget - at:
+        at = budget + first
     for i, part, before in reversed(steps):
         if not before >> at & 1:
             take[i] += part
@@ -80,46 +87,33 @@ def knapsack(lengths: np.ndarray, available: np.ndarray, budget: int) -> np.ndar
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
-    """Documents to take of each length so that their words meet ``budget`` as nearly as they can."""
+    """Documents to take of each length, at most ``counts``, so that their words meet ``budget`` as nearly as they can."""
+    counts = np.where(lengths > 0, counts, 0).astype(np.int64)
     total = int((lengths * counts).sum())
-    if budget <= 0 or total <= 0:
-        return np.zeros(len(lengths), dtype=np.int64)
-    if budget >= total:
-        return np.where(lengths > 0, counts, 0).astype(np.int64)
+    if budget <= 0 or budget >= total:
+        return counts if budget > 0 else np.zeros(len(lengths), dtype=np.int64)
     take = np.floor(counts * (budget / total)).astype(np.int64)
     left = budget - int((lengths * take).sum())
     order = np.random.default_rng(seed).permutation(len(lengths))
-    for i in order:  # one more of each length while the rest stays within the programme's reach
+    for i in order:  # one more of each length while the rest stays beyond the programme's reach
         size = int(lengths[i])
-        if left - size < DP_WORDS // 2:
-            continue
-        if size and take[i] < counts[i]:
+        if left - size >= DP_WORDS // 2 and take[i] < counts[i]:
             take[i] += 1
             left -= size
-    if left > DP_WORDS:  # lengths beyond the programme's budget: largest that fits first
-        for i in np.argsort(-lengths):
-            n = min(int(counts[i] - take[i]), left // int(lengths[i])) if lengths[i] else 0
-            take[i] += n
-            left -= n * int(lengths[i])
-            if left <= DP_WORDS:
-                break
+    for i in np.argsort(-lengths):  # whatever is still beyond it: largest that fits first
+        if left <= DP_WORDS:
+            break
+        n = min(int(counts[i] - take[i]), left // max(1, int(lengths[i])))
+        take[i] += n
+        left -= n * int(lengths[i])
+    for i in order:  # a budget too short to be met exactly is widened by giving back a few documents
+        if left >= SLACK_WORDS:
+            break
+        if take[i] and lengths[i] <= SLACK_WORDS:
+            take[i] -= 1
+            left += int(lengths[i])
     more = knapsack(lengths[order], (counts - take)[order], left)
     take[order] += more
-    left -= int((lengths[order] * more).sum())
-    if left:  # no exact sum: exchange documents taken for others, within the same programme
-        best = (left, -1)
-        for i in np.flatnonzero((take > 0) & (lengths > 0) & (lengths + left <= DP_WORDS))[:256]:
-            again = knapsack(lengths, np.where(np.arange(len(lengths)) == i, 0, counts - take), int(lengths[i]) + left)
-            rest = int(lengths[i]) + left - int((lengths * again).sum())
-            if rest < best[0]:
-                best = (rest, i)
-                if not rest:
-                    break
-        if best[1] >= 0:
-            i = best[1]
-            again = knapsack(lengths, np.where(np.arange(len(lengths)) == i, 0, counts - take), int(lengths[i]) + left)
-            take[i] -= 1
-            take += again
     return take
 
 
@@ -136,10 +130,10 @@ def _plan(histogram: DataFrame, wanted: dict[str | None, float], seed: int) -> D
         lengths, counts = group["_size"].to_numpy(np.int64), group["_n"].to_numpy(np.int64)
         source = group["_source"].iloc[0]
         target = wanted[None if pd.isna(source) else source]
-        total = int((lengths * counts).sum())
-        passes = min(int(MOST_PASSES), round(target) // total) if total else 0
-        budget = round(target) - passes * total if passes < MOST_PASSES else 0
-        group["_passes"], group["_take"] = passes, fit(lengths, counts, budget, seed)
+        total, budget = int((lengths * counts).sum()), round(target)
+        # Up to one pass nothing repeats; beyond it every document may be taken twice.
+        take = fit(lengths, counts if budget <= total else int(MOST_PASSES) * counts, budget, seed)
+        group["_passes"], group["_take"] = take // counts, take % counts
         group["_source_size"], group["_target"] = total, float(target)
         return group
 

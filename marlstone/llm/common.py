@@ -97,3 +97,22 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     rows = pa.compute.list_parent_indices(lists)
     keep = pa.compute.greater(pa.compute.binary_length(words), 0)
     return words.filter(keep), rows.filter(keep).to_numpy(zero_copy_only=False)
+
+
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """Texts without nulls with every ASCII byte mapped by ``table`` (which keeps bytes over 127)."""
+    texts = texts if texts.offset == 0 else pa.concat_arrays([texts])
+    if texts.offset:
+        texts = pa.array(texts.to_pylist(), texts.type)
+    _, offsets, data = texts.buffers()
+    data = pa.py_buffer(data.to_pybytes().translate(table)) if data is not None else pa.py_buffer(b"")
+    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, data])
+
+
+def byte_table(kept: str) -> bytes:
+    """Lower-cases A-Z, keeps the characters of ``kept`` and all bytes over 127; the rest become spaces."""
+    table = bytearray(b" " * 128 + bytes(range(128, 256)))
+    for c in kept:
+        table[ord(c)] = ord(c)
+        table[ord(c.upper())] = ord(c)
+    return bytes(table)

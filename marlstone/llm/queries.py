@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import budget_mix, mpegts_media, slot_sharding, trie_dedup
-from .common import documents
+from . import bt_quality, budget_mix, certified_packing, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
+from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file; a parameter of the packing operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt_quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = slot_sharding.shard_by_slots(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
@@ -22,16 +33,28 @@ def op4_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix(documents(spark, sf_dir))
 
 
+def op5_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return certified_packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op6_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.classes(documents(spark, sf_dir), largest=True)
 
 
+def op7_diagonal_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagonal_license.scan(documents(spark, sf_dir))
+
+
+def op9_info_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return info_pii.find(documents(spark, sf_dir)).drop("base", "text_key")
+
+
 def op10_mpegts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts_media.transport_streams(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_slot_sharding, op4_budget_mix, op6_trie_dedup, op10_mpegts_media)}
+    return {f.__name__: f for f in (op2_bt_quality, op3_slot_sharding, op4_budget_mix, op5_certified_packing, op6_trie_dedup, op7_diagonal_license, op9_info_pii, op10_mpegts_media)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,0 +1,322 @@
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from marlstone.llm import bt_quality, budget_mix, certified_packing, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
+from marlstone.llm.tokens import WordEncoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def read(df):
+    return [(r.doc_id, r.text or "") for r in df.collect()]
+
+
+# 2 quality
+
+
+def test_quality_separates_labels_and_scores_every_row(spark, make_docs, odd_rows):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r["doc_id"]: r for r in rows_of(bt_quality.score(docs, labels))}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [d for d in truth if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert np.mean([got[d]["predicted"] == truth[d] for d in held]) > 0.97
+    assert all(got[d]["held_out"] for d in held) and len(got) == docs.count()
+    odd = rows_of(bt_quality.score(make_docs(odd_rows), labels))
+    assert len(odd) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in odd)
+    none = rows_of(bt_quality.score(make_docs(odd_rows), labels.limit(0)))
+    assert all(r["score"] == 0.5 and r["predicted"] == 1 for r in none)
+    assert bt_quality.score(make_docs(odd_rows).limit(0), labels).count() == 0
+    kept = bt_quality.accepted(make_docs(odd_rows), labels)
+    assert kept.columns == make_docs(odd_rows).columns
+
+
+# 3 sharding
+
+
+def test_sharding_balances_bytes(make_docs, odd_rows, small):
+    for docs in (small, make_docs(odd_rows), make_docs(odd_rows).limit(0)):
+        got = rows_of(slot_sharding.shard_by_slots(docs))
+        want = Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in read(docs))
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+        places = defaultdict(list)
+        for r in got:
+            places[r["shard"]].append(r["slot"])
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    load = Counter()
+    for r in rows_of(slot_sharding.shard_by_slots(small, n_shards=4)):
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / 4
+
+
+def test_rebalancing_edits_the_map():
+    size = np.random.default_rng(1).integers(1, 1000, 512).astype(float)
+    first = slot_sharding.SlotMap.even(512, 8)
+    second = first.rebalanced(size)
+    grown = second.rebalanced(size, n_shards=9)
+    assert (second.version, grown.version) == (2, 3)
+    assert (second.shard != first.shard).mean() < 0.2
+    for m, n in ((second, 8), (grown, 9)):
+        load = np.bincount(m.shard, weights=size, minlength=n)
+        assert load.max() - load.min() < 0.01 * load.mean()
+
+
+# 4 mixing
+
+
+def reference_targets(sizes, weights=(3, 1, 2)):
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    budget, low, high = 1.5 * sum(sizes.values()), 0.0, 1e12
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(min(2 * sizes[s], middle * w[s]) for s in order) < budget else (low, middle)
+    return {s: min(2 * sizes[s], low * w[s]) for s in order}
+
+
+def test_mix_meets_targets(make_docs, odd_rows, small):
+    for docs in (small, make_docs(odd_rows)):
+        got = rows_of(budget_mix.mix(docs))
+        sizes, taken = Counter(), Counter()
+        for r in got:
+            sizes[r["source"]] += r["size"]
+            taken[r["source"]] += r["taken"]
+            assert r["taken"] in (0, r["size"], 2 * r["size"])
+        want = reference_targets(sizes)
+        for r in got:
+            assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-3
+        assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(WORD.findall(t))) for i, t in read(docs))
+        if docs is small:
+            assert max(abs(taken[s] - want[s]) for s in sizes) < 8
+        assert sorted(map(str, got)) == sorted(map(str, rows_of(budget_mix.mix(docs.repartition(3)))))
+    mixed = budget_mix.mixed_documents(small)
+    assert mixed.columns == small.columns
+    again = Counter(r.doc_id for r in mixed.collect())
+    assert again == Counter({r["doc_id"]: r["taken"] // r["size"] for r in rows_of(budget_mix.mix(small)) if r["taken"]})
+    assert budget_mix.mix(small.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), min_size=1, max_size=8), st.integers(0, 300))
+def test_knapsack_is_optimal(counts, budget):
+    lengths, available = np.array(list(counts)), np.array(list(counts.values()))
+    take = budget_mix.knapsack(lengths, available, budget)
+    assert (take <= available).all()
+    sums = {0}
+    for n, c in counts.items():
+        sums = {s + n * k for s in sums for k in range(c + 1)}
+    assert abs(int((lengths * take).sum()) - budget) == min(abs(s - budget) for s in sums if s <= budget + budget_mix.OVER_WORDS)
+
+
+# 5 packing
+
+
+def test_encoder_equals_whole_texts(small):
+    texts = [t for _, t in read(small)][:150] + ["don't <|endoftext|> X", "", "á b<|ENDOFTEXT|>", "It's'super 12.5,, (x)  y !?, hi.'s", "ÉCOLE İstanbul KK ẞ　a\x1cb", "á ́b x.́y"]
+    ids, counts = WordEncoder(TOKENIZER).encode(pa.array(texts))
+    whole = WordEncoder(TOKENIZER)._whole(texts)
+    assert [a.tolist() for a in np.split(ids, np.cumsum(counts)[:-1])] == whole
+
+
+def check_packing(docs, got, capacity):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = Counter()
+    for i, t in read(docs):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        for p, start in enumerate(range(0, len(ids), capacity)):
+            part = ids[start : start + capacity]
+            want[i, p, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins)
+
+
+def test_packing(make_docs, odd_rows, small):
+    for docs, parts in ((small, 20_000), (small, 40), (make_docs(odd_rows), 20_000), (small.limit(0), 10)):
+        got = rows_of(certified_packing.pack(docs, TOKENIZER, part_pieces=parts))
+        n = check_packing(docs, got, 2048)
+        total = sum(r["length"] for r in got)
+        assert n <= total / 2048 * 1.03 + 3
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_bounds_and_bins(lengths):
+    x = np.array(lengths, dtype=np.int64)
+    bins, _, n = certified_packing.best_fit_decreasing(x, 64)
+    assert n == len(set(bins.tolist())) and certified_packing.lower_bound(x, 64) <= n
+    assert n == 0 or np.bincount(bins, weights=x).max() <= 64
+
+
+# 6 exact duplicates
+
+
+def test_exact_classes(make_docs, odd_rows, small):
+    for docs in (small, make_docs(odd_rows)):
+        groups = defaultdict(list)
+        for i, t in read(docs):
+            groups[t.translate(LOWER)].append(i)
+        want = Counter()
+        for t, ids in groups.items():
+            keep = max((i for i in ids if i is not None), default=None)
+            for i in ids:
+                want[i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
+        for budget in (1 << 26, 1):
+            owners = trie_dedup.owners(docs, trie_bytes=budget).collect()
+            assert len(owners) == len(groups)
+        got = rows_of(trie_dedup.classes(docs))
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+        kept = trie_dedup.deduplicated(docs)
+        assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert trie_dedup.classes(small.limit(0)).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=6), st.integers(0, 9)), max_size=40), st.integers(0, 30))
+def test_trie_spills_without_loss(pairs, limit):
+    trie, out = trie_dedup.Patricia(True), []
+    for key, owner in pairs:
+        trie.insert(key, owner, 1)
+        if trie.bytes > limit:
+            out += trie.spill(limit)
+    out += trie.drain()
+    got, want = {}, {}
+    for key, owner, n in out:
+        a, b = got.get(key, (owner, 0))
+        got[key] = (max(a, owner), b + n)
+    for key, owner in pairs:
+        a, b = want.get(key, (owner, 0))
+        want[key] = (max(a, owner), b + 1)
+    assert got == want and trie.bytes == 0
+
+
+# 7 licenses
+
+
+def reference_license(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    places, labels = [], set()
+    for phrase, label in diagonal_license.BASE.items():
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_license_base_places(spark, make_docs, odd_rows):
+    more = [(10**9, "All RIGHTS reserved all rights reserved; CC-BY, cc by", "a"), (10**9 + 1, "x GNU General  Public\nLicense; general public licensé", "a"), (10**9 + 2, "Released under the very MIT License. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "a")]
+    for docs in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), make_docs(odd_rows + more), make_docs([])):
+        got = rows_of(diagonal_license.scan(docs))
+        want = Counter((i, *reference_license(t)) for i, t in read(docs))
+        assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
+        assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in got)
+        by_id = {r["doc_id"]: r for r in got}
+        if 10**9 + 2 in by_id:
+            assert by_id[10**9 + 2]["labels"] == "gpl,gpl-notice" and by_id[10**9]["labels"] == "cc-by,reserved"
+        for i, t in read(docs):
+            if "Released under the MIT License." in t:
+                assert "mit" in by_id[i]["labels"].split(",")
+            if "Apache License, Version 2.0" in t:
+                assert "apache-2.0" in by_id[i]["labels"].split(",")
+
+
+# 9 personal data
+
+
+def reference_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m[0].split("."))) <= 255]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub(r"\D", "", m[0])
+        if 12 <= len(digits) <= 19 and info_pii.luhn(digits):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub(r"\D", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return info_pii.written(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a.@-+1 4(0)9%é", max_size=60))
+def test_patterns_match_the_contract(text):
+    assert info_pii.written([s for f in info_pii._FINDERS.values() for s in f(text)]) == reference_spans(text)
+
+
+def test_personal_data(spark, make_docs, odd_rows):
+    more = [(10**9 + i, f"filler{"abcd"[i]}xx text about quovadimus the person a.b@c.example.org lives {i}", "a") for i in range(4)] + [(10**9 + 300, "plain quovadis the person", "a")]
+    for docs in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), make_docs(odd_rows + more), make_docs([])):
+        got = rows_of(info_pii.find(docs))
+        want = Counter((i, hashlib.sha256(reference_spans(t).encode()).hexdigest()) for i, t in read(docs))
+        assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == want
+        texts = dict(read(docs))
+        for r in got:
+            spans = r["spans"].split(",") if r["spans"] else []
+            assert set(filter(None, r["base"].split(","))) <= set(spans)
+            if 10**9 <= (r["doc_id"] or 0) < 10**9 + 4:
+                terms = {texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans if s.startswith("term")}
+                assert "quovadimus" in terms and "lives" in terms and not any("filler" in t for t in terms)
+            if r["doc_id"] == 10**9 + 300:
+                assert not spans
+    clean = info_pii.sanitised(make_docs(odd_rows + more))
+    assert clean.columns == make_docs([]).columns and clean.count() == len(odd_rows + more)
+    assert "[email]" in [r.text for r in clean.where("doc_id = 1000000000").collect()][0]
+
+
+# 10 media
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(min_size=1, max_size=3000), st.integers(1, 40))
+def test_transport_stream_round_trip(data, times):
+    payload, _ = mpegts_media.padded(data * times)
+    read_back = mpegts_media.parse(mpegts_media.mux(payload))
+    stream = read_back.streams[mpegts_media.DATA_PID]
+    assert stream.payload == payload and read_back.continuity_errors == read_back.bad_tables == read_back.lost_sync == stream.truncated == 0
+    assert len(stream.pts) == stream.pes_packets == -(-len(payload) // mpegts_media.UNIT) and stream.random_access[0] == 0
+
+
+def test_damage_is_counted():
+    media = mpegts_media.mux(b"x" * 20_000)
+    lost = mpegts_media.parse(media[: 188 * 10] + media[188 * 11 :])
+    assert lost.continuity_errors == 1
+    assert mpegts_media.parse(b"\0" + media[1:]).lost_sync == 1
+    broken = bytearray(media)
+    broken[12] ^= 1
+    assert mpegts_media.parse(bytes(broken)).bad_tables == 1
+
+
+def test_media_rows(make_docs, odd_rows, small):
+    for docs in (small, make_docs(odd_rows), small.limit(0)):
+        got = rows_of(mpegts_media.transport_streams(docs, keep_media=True))
+        want = Counter()
+        for i, t in read(docs):
+            raw = t.encode()
+            payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+            want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
+        assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
+        assert all(hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"] for r in got)
