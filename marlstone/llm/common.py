@@ -116,3 +116,19 @@ def byte_table(kept: str) -> bytes:
         table[ord(c)] = ord(c)
         table[ord(c.upper())] = ord(c)
     return bytes(table)
+
+
+class Written:
+    """``df`` as a Parquet table in the shared folder for the length of a ``with`` block."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.df, self.path = df, scratch_path(df.sparkSession, name)
+
+    def __enter__(self) -> DataFrame:
+        self.df.write.parquet(self.path)
+        return self.df.sparkSession.read.schema(self.df.schema).parquet(self.path)
+
+    def __exit__(self, *_) -> None:
+        jvm, jsc = self.df.sparkSession._jvm, self.df.sparkSession._jsc
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bt_quality, budget_mix, certified_packing, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
+from . import brown_lm, bt_quality, budget_mix, certified_packing, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
 from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(documents(spark, sf_dir))
+
+
 def op2_bt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt_quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_mpegts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bt_quality, op3_slot_sharding, op4_budget_mix, op5_certified_packing, op6_trie_dedup, op7_diagonal_license, op9_info_pii, op10_mpegts_media)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_bt_quality, op3_slot_sharding, op4_budget_mix, op5_certified_packing, op6_trie_dedup, op7_diagonal_license, op9_info_pii, op10_mpegts_media)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
