@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, bt_quality, budget_mix, certified_packing, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
+from . import brown_lm, bt_quality, budget_mix, certified_packing, dart_minhash, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
 from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op7_diagonal_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagonal_license.scan(documents(spark, sf_dir))
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op9_info_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return info_pii.find(documents(spark, sf_dir)).drop("base", "text_key")
 
@@ -58,7 +62,7 @@ def op10_mpegts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_brown_lm, op2_bt_quality, op3_slot_sharding, op4_budget_mix, op5_certified_packing, op6_trie_dedup, op7_diagonal_license, op9_info_pii, op10_mpegts_media)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_bt_quality, op3_slot_sharding, op4_budget_mix, op5_certified_packing, op6_trie_dedup, op7_diagonal_license, op8_dart_minhash, op9_info_pii, op10_mpegts_media)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
