@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Arrow batches are cut into pieces of about this many text bytes before any
 #: work is done on them, so memory does not follow the length of the texts.
 PIECE_BYTES = 8 << 20
+#: Rows of such a piece, at most.
+PIECE_ROWS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,7 +69,7 @@ def pieces(batch: pa.RecordBatch, text_column: int, limit: int = PIECE_BYTES) ->
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        stop = min(start + PIECE_ROWS, max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
