@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filled, id_crc, map_pieces, split_words
+from .common import filled, id_crc, map_pieces, pieces, split_words
 
 TRAIN_ROWS, PAIRS, RIDGE, SEED = 20_000, 200_000, 1e-3, 7
 
@@ -53,8 +53,9 @@ def text_features(texts: pa.Array) -> np.ndarray:
     raw = texts.cast(pa.binary())
     lengths = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
     data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-    row = np.repeat(np.arange(n, dtype=np.int64), lengths)
-    by_class = np.bincount(row * 9 + _CLASSES[data], minlength=9 * n).reshape(n, 9)
+    cell = np.repeat(np.arange(0, 9 * n, 9, dtype=np.int32), lengths)
+    cell += _CLASSES[data]
+    by_class = np.bincount(cell, minlength=9 * n).reshape(n, 9)
     share = by_class / np.maximum(lengths, 1)[:, None]
     words, at = split_words(texts)
     count = np.bincount(at, minlength=n)
@@ -137,35 +138,36 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -> R
     return Ranking(mean, scale, w, float((s[k - 1] + s[min(k, len(s) - 1)]) / 2))
 
 
-def train(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ranking:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ranking:
     """Learns from labelled documents whose crc32(doc_id) mod 3 is not 1, at most about ``train_rows``."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_y"))
     marked = marked.where("doc_id is not null and _y in (0, 1)").where(id_crc() % 3 != 1).groupBy("doc_id").agg(F.max("_y").alias("_y"))
     n = marked.count()
     if n > train_rows:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
-    # Bounded by ``train_rows`` rows of a few numbers.
-    got = rows.join(marked, "doc_id").select("doc_id", "_y", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
+    # The sample is bounded by ``train_rows`` pairs of numbers, so it is broadcast and only its texts are read on.
+    sample = F.broadcast(marked)
+    rows = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample.select("doc_id"), "doc_id"))
+    got = rows.join(sample, "doc_id").select("doc_id", "_y", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
     return fit(got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["_y"].to_numpy(int))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    rows = cut(features(docs))
-    found = train(rows, labels).probability()
-    return rows.select("doc_id", (id_crc() % 3 == 1).alias("held_out"), found.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    found = train(docs, labels).probability()
+    return features(docs).select("doc_id", (id_crc() % 3 == 1).alias("held_out"), found.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows predicted good, with all their columns, in one pass over the texts after training."""
-    ranking = train(features(docs), labels)
+    ranking = train(docs, labels)
     names = docs.columns
     at = names.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                good = ranking.strengths(text_features(filled(batch.column(at)))) >= ranking.cut
-                yield batch.filter(pa.array(good))
+            for piece in pieces(batch, at):
+                good = ranking.strengths(text_features(filled(piece.column(at)))) >= ranking.cut
+                yield piece.filter(pa.array(good))
 
     return docs.mapInArrow(keep, docs.schema)
