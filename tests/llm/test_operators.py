@@ -10,7 +10,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm import brown_lm, bt_quality, budget_mix, certified_packing, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
+from marlstone.llm import brown_lm, bt_quality, budget_mix, certified_packing, dart_minhash, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
 from marlstone.llm.tokens import WordEncoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -372,3 +372,90 @@ def test_media_rows(make_docs, odd_rows, small):
             want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
         assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
         assert all(hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"] for r in got)
+
+
+# 8 near duplicates
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    return tuple(words), frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def reference_classes(rows):
+    """Classes by comparing all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            (wi, a), (wj, b) = sets[i], sets[j]
+            if wi == wj or (a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+                parent[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        groups[find(i)].append(doc)
+    return Counter((doc, min((x for x in g if x is not None), default=None), len(g)) for g in groups.values() for doc in g)
+
+
+def test_near_classes(spark, make_docs, odd_rows):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{i}" for i in range(500)]
+    made = []
+    for group in range(12):
+        base = rng.choice(vocabulary, 150)
+        for copy in range(9):
+            text = base.copy()
+            for spot in rng.integers(0, 150, copy % 4):
+                text[spot] = f"x{rng.integers(1000)}"
+            made.append((10_000 + 100 * group + copy, " ".join(text), "a"))
+    for docs in (make_docs(odd_rows + made), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        got = rows_of(dart_minhash.classes(docs))
+        assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == reference_classes(read(docs))
+        kept = dart_minhash.representatives(docs)
+        assert kept.columns == docs.columns and kept.count() == len({(r["class_id"], r["class_size"]) if r["class_id"] is not None else r["text_hash"] for r in got})
+    assert dart_minhash.classes(make_docs([])).count() == 0
+
+
+def test_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(2)
+    elements = rng.integers(0, 2**48, 400).astype(np.uint64)
+    weights = rng.uniform(0.2, 3.0, (2, 400))
+    weights[1] = np.where(rng.random(400) < 0.7, weights[0], weights[1])
+    at, both = np.repeat([0, 1], 400), np.concatenate([elements, elements])
+    signature, some = dart_minhash.dart_signatures(at, both, weights.reshape(-1), 2, 4000)
+    want = np.minimum(*weights).sum() / np.maximum(*weights).sum()
+    assert some.all() and abs((signature[0] == signature[1]).mean() - want) < 0.03
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "packing":
+            assert out.columns == docs.columns
+        kept[name] = (docs, out)
+        docs = out
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    stays = {r.doc_id for r in kept["quality"][1].collect()}
+    good = [d for d, q in quality.items() if q == 1]
+    assert sum(d in stays for d in good) >= 0.97 * len(good)
+    texts = [t.translate(LOWER) for _, t in read(kept["exact_dedup"][1])]
+    assert len(texts) == len(set(texts)) == len({t.translate(LOWER) for _, t in read(kept["exact_dedup"][0])})
+    near = read(kept["near_dedup"][1])
+    assert len(reference_classes(near)) == len(near) and {n for *_, n in reference_classes(near)} == {1}
+    packed = rows_of(kept["packing"][1])
+    check_packing(kept["packing"][0], packed, 2048)
+    assert corpus_pipeline.run(spark, sf).count() == len(packed)
