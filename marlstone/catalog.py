@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .queries import retrieval, storage, trees, versioning
+
+FAMILIES = (trees, retrieval, versioning, storage)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
