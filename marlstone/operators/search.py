@@ -1,8 +1,8 @@
 """Inverted index and ranked retrieval.
 
 An index is two relations, keyed by path (so notes with equal content at several paths
-are all found): ``postings(bucket, term, path, addr, tf_title, tf_tags, tf_body)`` and
-``docs(path, addr, len)``. Field counts stay apart, so weights can change without
+are all found): ``postings(term, path, addr, tf_title, tf_tags, tf_body)``, stored by the
+term's bucket, and ``docs(path, addr, len)``. Field counts stay apart, so weights can change without
 indexing anew.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bm25, bucket, cosine, dot, rrf, tags_or_empty, tokens, weighted
 from ..functions.snippet import query_terms
 from ..functions.snippet import snippet as render
+from ..lineage import cut
 
 #: Depth of each leg of a hybrid search.
 LEG = 50
@@ -39,9 +40,12 @@ def full_build(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def postings_of(notes: DataFrame) -> DataFrame:
-    found = terms(notes)
-    # The bucket is a function of the term alone: computed once per term of the vocabulary's rows as they leave the aggregation.
-    return found.select(bucket("term").alias("bucket"), "term", "path", "addr", "tf_title", "tf_tags", "tf_body")
+    return terms(notes).select("term", "path", "addr", "tf_title", "tf_tags", "tf_body")
+
+
+def bucketed(postings: DataFrame) -> DataFrame:
+    """Postings with their bucket, as they are stored: the partition that a query's terms select."""
+    return postings.withColumn("bucket", bucket("term"))
 
 
 def docs_of(notes: DataFrame) -> DataFrame:
@@ -54,13 +58,15 @@ def apply_delta(postings: DataFrame, docs: DataFrame, removed: DataFrame, change
     """The index after a change: rows of ``removed(path)`` and of changed notes go, the changed notes' rows come."""
     gone = removed.select("path").unionByName(changed.select("path")).distinct()
     new_postings, new_docs = full_build(changed)
-    return (postings.join(gone, "path", "left_anti").unionByName(new_postings), docs.join(gone, "path", "left_anti").unionByName(new_docs))
+    keep = lambda rows: rows.join(gone, "path", "left_anti").select(*rows.columns)
+    return keep(postings).unionByName(new_postings), keep(docs).unionByName(new_docs)
 
 
 def touched_buckets(postings: DataFrame, removed: DataFrame, changed: DataFrame) -> DataFrame:
     """Buckets whose rows change, so that only they are written anew."""
     gone = removed.select("path").unionByName(changed.select("path")).distinct()
-    return postings.join(gone, "path", "left_semi").select("bucket").unionByName(postings_of(changed).select("bucket")).distinct()
+    rows = postings.join(gone, "path", "left_semi").select("term").unionByName(postings_of(changed).select("term")).distinct()
+    return bucketed(rows).select("bucket").distinct()
 
 
 def term_statistics(postings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -80,7 +86,8 @@ def scores(postings: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
     corpus = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
-    hits = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    # Read twice, for the terms' frequencies and for the scores, so kept.
+    hits = cut(postings.drop("bucket").join(wanted.select("term").distinct(), "term", "left_semi"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     tf = weighted("tf_title", "tf_tags", "tf_body")
     found = hits.join(df, "term").join(docs.select("path", "len"), "path").crossJoin(F.broadcast(corpus))
@@ -108,7 +115,9 @@ def search(postings: DataFrame, docs: DataFrame, query: str, k: int | None = Non
     spark = postings.sparkSession
     if not words:
         return docs.limit(0).select("path", "addr", F.lit(0.0).alias("score"))
-    only = postings.where(F.col("bucket").isin(sorted({_fnv(w) % BUCKETS for w in words})) & F.col("term").isin(words))
+    only = postings.where(F.col("term").isin(words))
+    if "bucket" in postings.columns:  # a stored index: other buckets are not read
+        only = only.where(F.col("bucket").isin(sorted({_fnv(w) % BUCKETS for w in words})))
     wanted = spark.createDataFrame([(0, w) for w in words], "qid int, term string")
     found = scores(only, docs, F.broadcast(wanted)).select("path", "addr", "score").orderBy(F.col("score").desc(), "path", "addr")
     return found if k is None else found.limit(k)

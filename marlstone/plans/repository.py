@@ -43,6 +43,14 @@ def canonical(fields: dict) -> str:
     return text
 
 
+def is_note_path(path: str) -> bool:
+    try:
+        note_path(path)
+    except E.InvalidPath:
+        return False
+    return True
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -71,10 +79,21 @@ class Repository:
         return self.store.relation("snapshots")
 
     def snapshot(self, addr: str) -> Row:
-        row = self.snapshots().where(F.col("addr") == addr).head()
-        if row is None:
-            raise E.NotFound(f"no snapshot {addr}")
-        return row
+        # Snapshots never change, so a row once read stays good for this library's handles.
+        known = self.store.known_snapshots
+        if addr not in known:
+            row = self.snapshots().where(F.col("addr") == addr).head()
+            if row is None:
+                raise E.NotFound(f"no snapshot {addr}")
+            known[addr] = row
+        return known[addr]
+
+    def _has_snapshot(self, addr: str) -> bool:
+        try:
+            self.snapshot(addr)
+        except E.NotFound:
+            return False
+        return True
 
     def edges(self) -> DataFrame:
         return dag.edges_of(self.snapshots())
@@ -156,7 +175,7 @@ class Repository:
         delta = delta.withColumn("deleted", F.lit(False))
         if chain:
             delta = delta.unionByName(changes.where("deleted").select(*tree.COLUMNS, "deleted").join(adds.select("path"), "path", "left_anti"))
-        fresh = self.snapshots().where(F.col("addr") == addr).isEmpty()
+        fresh = not self._has_snapshot(addr)
         own = self.spark.createDataFrame([("snapshot", data.encode())], "kind string, data binary")
         self.store.put(union([*new_objects, trees, own]))
         if fresh:
@@ -176,14 +195,16 @@ class Repository:
         new = pairs.join(self.store.relation("docs").select("path", "addr"), ["path", "addr"], "left_anti")
         rows = cut(new.join(self.notes().select("addr", "title", "tags", "body"), "addr"))
         tagged = lambda df: df.withColumn("snapshot", F.lit("any"))
-        self.store.append("postings", tagged(search.postings_of(rows)))
+        self.store.append("postings", tagged(search.bucketed(search.postings_of(rows))))
         self.store.append("docs", tagged(search.docs_of(rows)))
 
     def _notes(self, inputs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Stores new notes; gives (path, addr) and the objects to put."""
-        blank = inputs.where("title is null or trim(title) = ''").head()
-        if blank:
-            raise E.InvalidObject(f"{blank['path']!r} has no title")
+        bad = inputs.where(F.coalesce(F.trim("title"), F.lit("")) == "").union(inputs.where(~formats.valid_path("path"))).select("path", "title").head()
+        if bad and not is_note_path(bad["path"]):
+            raise E.InvalidPath(bad["path"])
+        if bad:
+            raise E.InvalidObject(f"{bad['path']!r} has no title")
         rows = inputs.select("path", "title", tags_or_empty("tags").alias("tags"), F.coalesce("created_at", F.lit(self.config.now())).alias("created_at"), "links", F.coalesce("body", F.lit("")).alias("body"))
         rows = rows.withColumn("json", encode_note("title", "tags", "created_at", address("body"), "links")).withColumn("addr", address("json"))
         rows = cut(rows)
@@ -211,9 +232,6 @@ class Repository:
         if "seq" not in inputs.columns:
             inputs = inputs.withColumn("seq", F.monotonically_increasing_id())
         rows = cut(tree.last_wins(inputs, "path", "seq"))
-        for r in rows.where(~formats.valid_path("path")).limit(1).collect():
-            note_path(r["path"])
-            raise E.InvalidPath(r["path"])
         pairs, new = self._notes(rows)
         return self._commit(self._note_changes(pairs), message, new_objects=new)
 
@@ -491,7 +509,7 @@ class Repository:
         ours = self.head()
         if theirs is None or theirs == ours:
             return {"result": "up to date", "objects": 0}
-        if ours is not None and not self.snapshots().where(F.col("addr") == theirs).isEmpty() and dag.is_ancestor(self.edges(), theirs, ours):
+        if ours is not None and self._has_snapshot(theirs) and dag.is_ancestor(self.edges(), theirs, ours):
             return {"result": "ahead", "objects": 0}
         forward = dag.is_ancestor(source.edges(), ours, theirs)
         if not forward and not force:
@@ -514,7 +532,7 @@ class Repository:
             self._copy_from(source, theirs)
             self.store.branch_set(self.project, self.branch, theirs)
             return {"result": "fast-forward", "auto_merged": 0}
-        if not self.snapshots().where(F.col("addr") == theirs).isEmpty() and dag.is_ancestor(self.edges(), theirs, ours):
+        if self._has_snapshot(theirs) and dag.is_ancestor(self.edges(), theirs, ours):
             return {"result": "up to date", "auto_merged": 0}
         self._copy_from(source, theirs)
         if dag.is_ancestor(self.edges(), ours, theirs):
@@ -658,6 +676,7 @@ class Repository:
             ("snapshots", snapshots),
         ):
             self.store.rewrite(name, rows)
+        self.store.known_snapshots.clear()
         return {"removed": n, "keep_last": keep}
 
     def export_branches(self) -> list[dict]:

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents over all cores: a file of one row group would be cut into words by one task. Larger tables stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() * 2 <= cores else docs
+
+
 def note_address(title: Column, body: Column) -> Column:
     return address(F.concat(title, F.lit("\n"), body))
 
@@ -38,12 +44,12 @@ def shaped(docs: DataFrame) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(table(spark, sf_dir, "documents"))
+    return shaped(spread(table(spark, sf_dir, "documents")))
 
 
 def version(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Notes of one of the versions base, ours and theirs."""
-    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    docs, d = spread(table(spark, sf_dir, "documents")), F.col("doc_id")
     base = d % 7 != 0
     if name == "base":
         return shaped(docs.where(base))

@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, tokens
 from ..functions.vectors import from_base64, to_base64
+from ..lineage import cut
 from ..operators import search
-from .corpus import BASE_SQL, NOTES_SQL, OURS_SQL, notes, table, version
+from .corpus import BASE_SQL, NOTES_SQL, OURS_SQL, notes, spread, table, version
 
 QUERY, LIMIT, BATCH_LIMIT = "The tion of edereding and sur laquelle", 20, 10
 
 
 def tokenize_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return spread(table(spark, sf_dir, "documents")).select(F.explode(tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def fnv_bucket_histogram(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
+    terms = spread(table(spark, sf_dir, "documents")).select(F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
     return terms.groupBy(bucket("term").alias("bucket")).agg(F.count("*").alias("terms"))
 
 
@@ -46,8 +47,13 @@ def term_df_idf(spark, sf_dir):
     return search.term_statistics(postings, docs).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
+def _index(rows):
+    """Postings, read once per search, and the lengths, which are read twice."""
+    return search.postings_of(rows), cut(search.docs_of(rows))
+
+
 def _single(rows, k=LIMIT):
-    postings, docs = search.full_build(rows)
+    postings, docs = _index(rows)
     found = search.search(postings, docs, QUERY, k)
     return search.materialised(found, rows.select("path", "addr", "title", "tags", "body").dropDuplicates(["addr"]).drop("path")).select("path", "title", F.round("score", 6).alias("score"))
 
@@ -62,7 +68,7 @@ def search_bm25_at_base(spark, sf_dir):
 
 def search_bm25_batch(spark, sf_dir):
     rows = notes(spark, sf_dir)
-    postings, docs = search.full_build(rows)
+    postings, docs = _index(rows)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return search.search_batch(postings, docs, queries, BATCH_LIMIT).select("qid", "path", "rank", F.round("score", 6).alias("score"))
 
@@ -86,7 +92,7 @@ def cosine_topk_batch(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     """Both legs of depth 50, fused by path; vector i belongs to document i."""
     rows = notes(spark, sf_dir)
-    postings, docs = search.full_build(rows)
+    postings, docs = _index(rows)
     lexical = search.search_batch(postings, docs, spark.createDataFrame([(0, QUERY)], "qid long, query string"), search.LEG)
     vectors = rows.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id")).select("path", F.col("embedding").alias("vec"), "vec_id")
     queries = table(spark, sf_dir, "embeddings").where("vec_id = 3").select(F.lit(0).cast("long").alias("qid"), F.col("embedding").alias("vec"))
@@ -97,7 +103,7 @@ def hybrid_rrf(spark, sf_dir):
 
 def snippet(spark, sf_dir):
     rows = notes(spark, sf_dir)
-    postings, docs = search.full_build(rows)
+    postings, docs = _index(rows)
     found = search.search(postings, docs, QUERY, LIMIT)
     return search.materialised(found, rows.select("addr", "title", "tags", "body").dropDuplicates(["addr"]), QUERY).select("path", "title", "snippet")
 

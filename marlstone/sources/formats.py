@@ -89,6 +89,7 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     named = files.select("content", relative.alias("name"))
     parsed = parse_markdown(named.select(F.regexp_replace("name", r"\.md$", "").alias("path"), "content"))
     others = [f"{r['name']}: not a .md file" for r in named.where(~F.col("name").endswith(".md")).select("name").collect()]
+    parsed = parsed.where(~F.col("path").isin([o.split(": ")[0] for o in others])) if others else parsed
     bad = [f"{r['path']}: {r['problem']}" for r in parsed.where("problem is not null").collect()]
     clash = [f"{r['path']}: note and directory" for r in type_clashes(parsed).collect()]
     if others or bad or clash:
