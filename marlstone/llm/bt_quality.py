@@ -160,7 +160,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows predicted good, with all their columns, in one pass over the texts after training."""
-    ranking = train(docs, labels)
+    ranking = train(docs, labels)  # which also ships the package
     names = docs.columns
     at = names.index("text")
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Arrow batches are cut into pieces of about this many text bytes before any
 #: work is done on them, so memory does not follow the length of the texts.
 PIECE_BYTES = 8 << 20
@@ -77,6 +79,7 @@ def pieces(batch: pa.RecordBatch, text_column: int, limit: int = PIECE_BYTES) ->
 def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, text_column: str = "text") -> DataFrame:
     """mapInArrow over bounded slices of each batch."""
     at = df.columns.index(text_column)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
