@@ -43,6 +43,8 @@ ITEM_SHARE, HEAD_SHARE = 2.0**-16, 2.0**-21
 BUCKETS, CLASSES, ROUNDS = 512, 64, 5
 #: Additive smoothing of emissions, and weight of the unigram in transitions.
 D, T = 0.1, 2.0
+#: Cells of the context table that one task sums.
+BLOCK = 1 << 15
 #: The end token is item 0 and has class 0 to itself.
 END = 0
 
@@ -154,11 +156,18 @@ def _contexts(bigrams: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarr
             n = b["n"].to_numpy()
             total += np.bincount(np.concatenate([item * k + shared.value[before], size * k + before * k + shared.value[item]]), weights=np.concatenate([n, n]), minlength=2 * size * k)
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": some, "n": total[some]})
-
-    got = bigrams.coalesce(16).mapInPandas(reduce, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    both = np.zeros(2 * size * k)
-    both[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+        yield pd.DataFrame({"block": some // BLOCK, "cell": some % BLOCK, "n": total[some]})
+
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        cells = np.bincount(group["cell"], weights=group["n"], minlength=BLOCK)
+        return pd.DataFrame({"block": [key[0]], "cells": [zlib.compress(cells.tobytes(), 1)]})
+
+    # The driver gets the table as a few compressed blocks rather than as rows.
+    parts = bigrams.coalesce(16).mapInPandas(reduce, "block long, cell long, n double").groupBy("block").applyInPandas(pack, "block long, cells binary")
+    both = np.zeros(-(-2 * size * k // BLOCK) * BLOCK)
+    for r in parts.collect():
+        both[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["cells"]))
+    both = both[: 2 * size * k]
     return both[: size * k].reshape(size, k), both[size * k :].reshape(size, k)
 
 
