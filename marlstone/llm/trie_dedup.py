@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, map_pieces
+from .common import cut, filled, map_pieces
 
 #: Bytes of edge labels a trie may hold before it spills subtrees.
 TRIE_BYTES = 64 << 20
@@ -182,8 +182,9 @@ def owners(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES)
 def classes(docs: DataFrame, largest: bool = True) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
 
-    Each row finds its class by length and SHA-256 of the normalised text; the join's
-    other side has one row per distinct text, so adaptive execution can split a hot key.
+    Each row finds its class by length and SHA-256 of the normalised text. The join's other
+    side, one row per distinct text, is a table of its own: nothing but the join stands
+    after the shuffle, so adaptive execution can split a hot key.
     """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def classes(docs: DataFrame, largest: bool = True) -> DataFrame:
         )
 
     rows = map_pieces(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, " + DIGEST)
-    joined = rows.join(owners(docs, largest), ["size", "sha"])
+    joined = rows.join(cut(owners(docs, largest)), ["size", "sha"])
     return joined.select(
         "doc_id", F.col("owner").alias("keep_id"), F.col("rows").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("owner")).alias("kept"), F.col("sha").alias("text_sha256")
     )
