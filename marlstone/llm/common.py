@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -61,6 +61,30 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def text_hash() -> Column:
+    """Hash of a text as it stands; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of ``docs`` named by ``keep(keep_id, keep_hash, n)`` by identifier and text hash, each once.
+
+    ``n`` is how often such a row stands in ``docs``; only where one is repeated are rows told apart.
+    """
+    marked = docs.withColumns({"_keep_id": F.col("doc_id").cast("long"), "_keep_hash": text_hash()})
+    keep = cut(keep)
+
+    def some(rows: DataFrame) -> DataFrame:
+        on = marked["_keep_id"].eqNullSafe(rows["keep_id"]) & (marked["_keep_hash"] == rows["keep_hash"])
+        return marked.join(rows, on, "left_semi")
+
+    out, repeated = some(keep.where("n = 1")), keep.where("n > 1")
+    if not repeated.isEmpty():
+        place = F.row_number().over(Window.partitionBy("_keep_id", "_keep_hash").orderBy(F.lit(0)))
+        out = out.unionByName(some(repeated).withColumn("_keep_n", place).where("_keep_n = 1").drop("_keep_n"))
+    return out.drop("_keep_id", "_keep_hash")
+
+
 def pieces(batch: pa.RecordBatch, text_column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` holding about ``limit`` bytes of text each, one row at least."""
     if batch.num_rows == 0:

@@ -42,7 +42,7 @@ def op5_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_dedup.classes(documents(spark, sf_dir), largest=True)
+    return trie_dedup.classes(documents(spark, sf_dir), largest=True).drop("text_hash")
 
 
 def op7_diagonal_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filled, map_pieces
+from .common import cut, filled, map_pieces, only, text_hash
 
 #: Bytes of edge labels a trie may hold before it spills subtrees.
 TRIE_BYTES = 64 << 20
@@ -180,7 +180,7 @@ def owners(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES)
 
 
 def classes(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
+    """doc_id, text_hash, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
 
     Each row finds its class by length and SHA-256 of the normalised text. The join's other
     side, one row per distinct text, is a table of its own: nothing but the join stands
@@ -192,25 +192,24 @@ def classes(docs: DataFrame, largest: bool = True) -> DataFrame:
         yield pa.record_batch(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.compute.binary_length(texts).cast(pa.int64()),
                 pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts], pa.string()),
             ],
-            names=["doc_id", "size", "sha"],
+            names=["doc_id", "text_hash", "size", "sha"],
         )
 
-    rows = map_pieces(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, "doc_id long, " + DIGEST)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
+    rows = map_pieces(keyed, work, "doc_id long, text_hash long, " + DIGEST)
     joined = rows.join(cut(owners(docs, largest)), ["size", "sha"])
     return joined.select(
-        "doc_id", F.col("owner").alias("keep_id"), F.col("rows").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("owner")).alias("kept"), F.col("sha").alias("text_sha256")
+        "doc_id", "text_hash", F.col("owner").alias("keep_id"), F.col("rows").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("owner")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
 def deduplicated(docs: DataFrame, largest: bool = True) -> DataFrame:
     """The rows that stay, with all their columns: one per distinct text, also where identifiers repeat or are null."""
-    keep = classes(docs, largest).where("kept").groupBy("doc_id", "text_sha256").count().select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    marked = docs.withColumn("_keep_sha", sha)
-    found = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]) & (marked["_keep_sha"] == keep["_keep_sha"]), "left_semi")
-    # Only rows repeated with the same identifier and text are left to tell apart.
-    once = Window.partitionBy("doc_id", "_keep_sha").orderBy(F.lit(0))
-    return found.withColumn("_keep_n", F.row_number().over(once)).where("_keep_n = 1").drop("_keep_n", "_keep_sha")
+    kept = classes(docs, largest).where("kept").groupBy("doc_id", "text_sha256", "text_hash").agg(F.count("*").alias("n"))
+    # Of kept rows that differ in case only, the least hash.
+    first = kept.groupBy("doc_id", "text_sha256").agg(F.min(F.struct("text_hash", "n")).alias("k"))
+    return only(docs, first.select(F.col("doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), "k.n"))
