@@ -25,6 +25,13 @@ PIECE_BYTES = 8 << 20
 PIECE_ROWS = 1 << 16
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send texts in batches of about PIECE_BYTES (its default is eight times that), unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").removesuffix("b") == str(64 << 20):
+        spark.conf.set(key, str(PIECE_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -104,6 +111,7 @@ def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Recor
     """mapInArrow over bounded slices of each batch."""
     at = df.columns.index(text_column)
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
