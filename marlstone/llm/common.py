@@ -28,7 +28,7 @@ PIECE_ROWS = 1 << 16
 def small_batches(spark: SparkSession) -> None:
     """Has Spark send texts in batches of about PIECE_BYTES (its default is eight times that), unless the session says otherwise."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").removesuffix("b") == str(64 << 20):
+    if spark.conf.get(key).removesuffix("b") == str(64 << 20):
         spark.conf.set(key, str(PIECE_BYTES))
 
 
