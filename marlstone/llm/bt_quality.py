@@ -47,15 +47,20 @@ def _byte_classes() -> np.ndarray:
 _CLASSES = _byte_classes()
 
 
+def _class_counts(raw: bytes, step: int = 1 << 20) -> np.ndarray:
+    """Bytes of each class, counted in steps so that a long text needs no large array."""
+    data, total = np.frombuffer(raw, np.uint8), np.zeros(9, np.int64)
+    for start in range(0, len(data), step):
+        total += np.bincount(_CLASSES[data[start : start + step]], minlength=9)
+    return total
+
+
 def text_features(texts: pa.Array) -> np.ndarray:
     """One row of FEATURES per text; shares are of bytes or of words."""
     n = len(texts)
-    raw = texts.cast(pa.binary())
-    lengths = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-    cell = np.repeat(np.arange(0, 9 * n, 9, dtype=np.int32), lengths)
-    cell += _CLASSES[data]
-    by_class = np.bincount(cell, minlength=9 * n).reshape(n, 9)
+    raw = texts.cast(pa.binary()).to_pylist()
+    lengths = np.fromiter((len(r) for r in raw), np.int64, n)
+    by_class = np.array([_class_counts(r) for r in raw]).reshape(n, 9)
     share = by_class / np.maximum(lengths, 1)[:, None]
     words, at = split_words(texts)
     count = np.bincount(at, minlength=n)
