@@ -11,11 +11,12 @@ in a coordinate with probability equal to their (weighted) Jaccard similarity.
 Texts of equal words are one node. Nodes that agree in a band are compared with
 two leaders of the bucket (its least and its greatest node), exactly, on their
 whole sets; classes are the connected components of links of at least
-``threshold``. A bucket that still holds several classes gets another leader
-from outside the first one's class, compared with all members of other classes.
-So no bucket is ever expanded into all its pairs, buckets of up to three nodes
-are compared completely, and larger ones are linked through their leaders in
-each of the bands that their members share.
+``threshold``. A bucket whose other members still hold several classes gets
+further leaders, those with most links first and four times as many each round,
+compared with all members of other classes, until no two members of a bucket
+that stand in different classes are left uncompared. So the classes are those of
+comparing all pairs that share a band; only a bucket of nodes that are alike in
+a band and yet not linked is expanded into its pairs.
 
 Defined results: null and empty texts (no words) are copies of one another;
 texts of fewer than five words are one shingle; repeated rows and null
@@ -29,21 +30,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_table, cut, filled, map_pieces, only, split_words, text_hash, translated
+from .common import Written, byte_table, cut, filled, map_pieces, only, split_words, text_hash, translated
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: 20 bands of 5 coordinates: a pair at 0.8 shares a band with probability 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Rounds of leaders in a bucket; later ones only meet members of other classes.
-ROUNDS = 2
+#: Leaders of a bucket grow by this factor from round to round, so rounds follow the logarithm of its size.
+WIDER = 4
 #: Texts whose darts are thrown at once.
 DART_TEXTS = 2_000
 #: Bits of the broadcast filter of candidate nodes: 8 MB, whatever the corpus.
@@ -250,7 +252,7 @@ def _classed(rows: DataFrame, names: DataFrame | None, key: str, out: str) -> Da
     return rows.join(named, key, "left").withColumn(out, F.coalesce("_c", F.col(key))).drop("_c")
 
 
-def nodes_to_classes(docs: DataFrame, nodes: DataFrame, threshold: float, weighted: bool, words: int, rounds: int = ROUNDS) -> DataFrame | None:
+def nodes_to_classes(docs: DataFrame, nodes: DataFrame, threshold: float, weighted: bool, words: int) -> DataFrame | None:
     """(node, component) of every node of ``nodes(id, key, bands)`` that has a link; None if there is none."""
     bands = nodes.select("id", F.explode("bands").alias("b"))
     # A table of its own: nothing but the join stands after the shuffle, so a hot bucket's rows can be split.
@@ -259,29 +261,40 @@ def nodes_to_classes(docs: DataFrame, nodes: DataFrame, threshold: float, weight
     wanted = buckets.select("id").distinct()
     sets = cut(shingle_sets(docs, cut(nodes.select("id", "key").join(wanted, "id")), weighted, words))
     pair = lambda leader: F.struct(F.least(leader, "id").alias("u"), F.greatest(leader, "id").alias("v"))
-    edges = buckets.select(F.explode(F.array(pair(F.col("low")), pair(F.col("high")))).alias("e")).select("e.*").where("u < v").distinct()
-    names = None
-    for turn in range(rounds):
-        links = cut(_linked(edges, sets, threshold))
-        if not links.isEmpty():
-            # Links between classes; a class is named by a node, so the old naming joins the new one.
-            new = components(_classed(_classed(links, names, "u", "cu"), names, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-            if names is not None:
-                moved = new.select(F.col("node").alias("component"), F.col("component").alias("_n"))
-                kept = names.join(moved, "component", "left").select("node", F.coalesce("_n", "component").alias("component"))
-                new = cut(kept.unionByName(new).groupBy("node").agg(F.min("component").alias("component")))
-            names = new
-        if turn == rounds - 1:
-            break
-        # Next: buckets of three or more that still hold several classes. Their leader is the least member
-        # outside the first leader's class, and it meets every member of another class than its own.
-        named = _classed(buckets.select("b", "id", "low", "high"), names, "id", "c")
-        first = named.where("id = low").select("b", F.col("c").alias("fc"))
-        other = named.where("id <> low and id <> high").join(first, "b").where("c <> fc").groupBy("b").agg(F.min_by(F.struct(F.col("id").alias("leader"), "c"), "id").alias("o")).select("b", "o.leader", F.col("o.c").alias("oc"))
-        edges = cut(named.where("id <> low and id <> high").join(other, "b").where("id <> leader and c <> oc").select(pair(F.col("leader")).alias("e")).select("e.*").distinct())
-        if edges.isEmpty():
-            break
-    return names
+    edges = cut(buckets.select(F.explode(F.array(pair(F.col("low")), pair(F.col("high")))).alias("e")).select("e.*").where("u < v").distinct())
+    # Members that have not yet met all others of their bucket.
+    rest = buckets.where("id <> low and id <> high").select("b", "id")
+    names, degree, met, leaders = None, None, None, 1
+    with ExitStack() as tables:
+        # Written, not cut: a checkpoint hands on the estimated size of its plan, and those of joins multiply from
+        # round to round into numbers that take longer to plan with than the work does.
+        keep = lambda df: tables.enter_context(Written(df, "near"))
+        while True:
+            links = keep(_linked(edges, sets, threshold))
+            if not links.isEmpty():
+                # Links between classes; a class is named by a node, so the old naming joins the new one.
+                new = components(_classed(_classed(links, names, "u", "cu"), names, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+                if names is not None:
+                    moved = new.select(F.col("node").alias("component"), F.col("component").alias("_n"))
+                    kept = names.join(moved, "component", "left").select("node", F.coalesce("_n", "component").alias("component"))
+                    new = keep(kept.unionByName(new).groupBy("node").agg(F.min("component").alias("component")))
+                names = new
+                ends = links.select(F.explode(F.array("u", "v")).alias("id"), F.lit(1).alias("n"))
+                degree = keep((ends if degree is None else ends.unionByName(degree)).groupBy("id").agg(F.sum("n").cast("int").alias("n")))
+            # A bucket is open while its rest holds several classes. Its leaders are the members with most links so
+            # far; a leader meets every member of another class in the bucket, and so is done there.
+            named = _classed(rest, names, "id", "c")
+            unsettled = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
+            rest = keep(named.join(unsettled, "b"))
+            if rest.isEmpty():
+                return None if names is None else cut(names)
+            ranked = rest.withColumn("n", F.lit(0)) if degree is None else rest.join(degree, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+            place = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), "id"))
+            led = keep(ranked.withColumn("_place", place).where(F.col("_place") <= leaders).select("b", F.col("id").alias("leader"), F.col("c").alias("lc")))
+            met = edges if met is None else met.unionByName(edges)
+            edges = keep(rest.join(led, "b").where("c <> lc").select(pair(F.col("leader")).alias("e")).select("e.*").distinct().join(met, ["u", "v"], "left_anti"))
+            rest = rest.join(led.select("b", F.col("leader").alias("id")), ["b", "id"], "left_anti").select("b", "id")
+            leaders *= WIDER
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False, words: int = WORDS) -> DataFrame:

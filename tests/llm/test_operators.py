@@ -422,6 +422,46 @@ def test_near_classes(spark, make_docs, odd_rows):
     assert dart_minhash.classes(make_docs([])).count() == 0
 
 
+def _edited(rng, base, edits, tag):
+    """``base`` with some words, five or more apart, replaced by words of its own."""
+    out = list(base)
+    for place in rng.choice(len(base) // 5, edits, replace=False):
+        out[5 * place + 2] = f"{tag}x{place}"
+    return out
+
+
+def _brute_classes(texts, threshold=0.8):
+    """Component of each text when all pairs are compared on their whole sets."""
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    times = Counter(s for x in sets for s in x)
+    columns = {s: i for i, s in enumerate(s for s, n in times.items() if n > 1)}  # others are never shared
+    has = np.zeros((len(texts), len(columns)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [columns[s] for s in x if s in columns]] = 1
+    sizes, shared = np.array([len(x) for x in sets]), has @ has.T
+    near = shared >= threshold * (sizes[:, None] + sizes[None] - shared)
+    label = np.arange(len(texts))
+    while True:
+        lower = np.where(near, label[None], len(texts)).min(1)
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def test_near_classes_of_a_star(spark, make_docs):
+    """Thousands of copies like their base only, and a group unlike one another that hides a few pairs."""
+    rng = np.random.default_rng(8)
+    base, other = [f"a{i}" for i in range(300)], [f"b{i}" for i in range(300)]
+    texts = [base, *(_edited(rng, base, 4, f"c{i}") for i in range(2_000))]
+    apart = [_edited(rng, other, 5, f"d{i}") for i in range(300)]
+    texts += apart + [_edited(rng, t, 1, f"e{i}") for i, t in enumerate(apart[:150:10])]
+    want = _brute_classes(texts)
+    rows = dart_minhash.classes(make_docs([(i, " ".join(t), "s") for i, t in enumerate(texts)])).select("doc_id", "class_id").collect()
+    got = {r["doc_id"]: r["class_id"] for r in rows}
+    assert len(set(want[:2_001].tolist())) == 1 and len(set(want[2_001:].tolist())) > 200
+    assert [got[i] for i in range(len(texts))] == want.tolist()
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     elements = rng.integers(0, 2**48, 400).astype(np.uint64)
