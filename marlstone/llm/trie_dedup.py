@@ -6,7 +6,9 @@ trie whose terminal nodes hold the owner (the identifier that stays) and the
 number of rows. Rows arrive sorted by length and hash, so a finished subtree is
 spilled downstream as soon as its prefix is passed, and a trie over its budget
 spills its largest subtrees; spilled owners of one text meet again in the last,
-narrow aggregation. Two texts share a class only after a byte-for-byte match.
+narrow aggregation. The trie holds one group of equal length and hash at a time,
+within which texts are matched byte for byte; classes are then grouped and
+joined by length and SHA-256, so texts share a class where those agree.
 
 Defined results: null counts as empty; texts are equal when identical after
 lower-casing A-Z; rows repeated with one identifier and text are all marked as
