@@ -4,14 +4,17 @@ Documents are counted by exact length (in words) and source. Each source's
 target is a budget of words. Every length first gives its proportional share;
 what the shares leave over is fitted exactly by a bounded-knapsack dynamic
 programme over the lengths still available (each document once up to one pass
-over the source, twice beyond it). Which documents of a length are taken is decided by a seeded hash,
-so reruns agree.
+over the source, twice beyond it), and single additions, removals and exchanges
+follow while one brings the sum nearer to the budget. Which documents of a length
+are taken is decided by a seeded hash of identifier, size and text, so reruns
+agree; of rows equal in all of these just as many are taken as the plan needs.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
-source of its own and comes last; texts of equal size are told apart by the
-seeded hash of identifier and size, so repeated rows are taken together;
-sources without words have target 0; extra columns are ignored by ``mix`` and
-carried by ``mixed_documents``; an empty table gives an empty table.
+source of its own and comes last; null and repeated identifiers are told apart
+by their texts, and equal rows by their place in the input, so each row is taken
+or left by itself; sources without words have target 0; extra columns are
+ignored by ``mix`` and carried by ``mixed_documents``, whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,23 +39,29 @@ SLACK_WORDS = 1 << 12
 BUCKET_ROWS = 50_000
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> dict[str | None, float]:
-    """Word targets by source: the budget is shared by weight, each target stops at ``most``
-    times its source's size, and the excess is shared anew until none is above."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8")) + [s for s in sizes if s is None]
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    cap = {s: most * sizes[s] for s in order}
-    left, free, out = share * sum(sizes.values()), list(order), {}
-    while free:
-        total = sum(weight[s] for s in free)
-        over = [s for s in free if left * weight[s] / total > cap[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in free}
-        for s in over:
-            out[s] = cap[s]
-        left -= sum(cap[s] for s in over)
-        free = [s for s in free if s not in out]
-    return out
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> DataFrame:
+    """Word targets by source for ``sizes(_source, _source_size)``: the budget is shared by weight, each
+    target stops at ``most`` times its source's size, and the excess is shared anew until none is above.
+
+    Sources stay distributed: their places in code point order come from a sort's partitions
+    (one row each on the driver), and each new level of sharing is one aggregation.
+    """
+    spark = sizes.sparkSession
+    ordered = cut(sizes.orderBy(F.col("_source").asc_nulls_last()).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
+    starts, before = [], 0
+    for r in ordered.groupBy("_p").agg(F.min("_m").alias("m"), F.count("*").alias("n")).orderBy("_p").collect():
+        starts.append((r["_p"], before - r["m"]))
+        before += r["n"]
+    shift = F.broadcast(spark.createDataFrame(starts, "_p int, _shift long"))
+    weight = F.array(*(F.lit(float(w)) for w in weights))[F.pmod(F.col("_m") + F.col("_shift"), F.lit(len(weights))).cast("int")]
+    weighed = cut(ordered.join(shift, "_p").select("_source", "_source_size", weight.alias("_w"), (F.lit(float(most)) * F.col("_source_size")).alias("_cap")))
+    level, above = 0.0, True
+    while above:
+        full = F.col("_cap") < level * F.col("_w")
+        r = weighed.agg(F.sum("_source_size").alias("s"), F.sum(F.when(full, F.col("_cap"))).alias("capped"), F.sum(F.when(~full, F.col("_w"))).alias("w")).collect()[0]
+        reached = (share * (r["s"] or 0) - (r["capped"] or 0.0)) / r["w"] if r["w"] else level
+        above, level = reached > level, max(reached, level)
+    return weighed.select("_source", "_source_size", F.least("_cap", F.lit(level) * F.col("_w")).alias("_target"))
 
 
 def knapsack(lengths: np.ndarray, available: np.ndarray, budget: int, over: int = OVER_WORDS) -> np.ndarray:
@@ -114,87 +123,118 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
             left += int(lengths[i])
     more = knapsack(lengths[order], (counts - take)[order], left)
     take[order] += more
+    return nearer(lengths, counts, take, budget)
+
+
+def nearer(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int) -> np.ndarray:
+    """``take`` after the best single addition, removal or exchange, again and again while that brings the sum nearer to ``budget``."""
+    take, left = take.copy(), budget - int((lengths * take).sum())
+    while left:
+        out, more = np.append(np.flatnonzero((take > 0) & (lengths > 0)), -1), np.append(np.flatnonzero((take < counts) & (lengths > 0)), -1)
+        given, got = np.append(lengths, 0)[out], np.append(lengths, 0)[more]
+        order = np.argsort(got, kind="stable")
+        above = np.clip(np.searchsorted(got[order], left + given), 0, len(got) - 1)
+        near = np.stack([above, np.maximum(above - 1, 0)])
+        miss = np.abs(left + given - got[order][near])
+        side, i = np.unravel_index(int(miss.argmin()), miss.shape)
+        if miss[side, i] >= abs(left):
+            break
+        j = order[near[side, i]]
+        left += int(given[i] - got[j])
+        if out[i] >= 0:
+            take[out[i]] -= 1
+        if more[j] >= 0:
+            take[more[j]] += 1
     return take
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.withColumns({"_size": size, "_source": F.col("source").cast("string")}).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("_size")))
+    """Each row whole as ``_row``, with _size, _source and the _hash that orders documents of one size."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), size.alias("_size"), F.col("source").cast("string").alias("_source"), F.xxhash64(text).alias("_text"))
+    return rows.withColumn("_hash", F.xxhash64(F.lit(seed), "_id", "_size", "_text")).drop("_id", "_text")
 
 
-def _plan(histogram: DataFrame, wanted: dict[str | None, float], seed: int) -> DataFrame:
+def _plan(histogram: DataFrame, seed: int) -> DataFrame:
     """Passes and further documents to take, by source and length. A group is one source's lengths, not its rows."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_size").reset_index(drop=True)
         lengths, counts = group["_size"].to_numpy(np.int64), group["_n"].to_numpy(np.int64)
-        source = group["_source"].iloc[0]
-        target = wanted[None if pd.isna(source) else source]
-        total, budget = int((lengths * counts).sum()), round(target)
+        total, budget = int((lengths * counts).sum()), round(group["_target"].iloc[0])
         # Up to one pass nothing repeats; beyond it every document may be taken twice.
         take = fit(lengths, counts if budget <= total else int(MOST_PASSES) * counts, budget, seed)
         group["_passes"], group["_take"] = take // counts, take % counts
-        group["_source_size"], group["_target"] = total, float(target)
         return group
 
-    return histogram.groupBy("_source").applyInPandas(one, "_source string, _size long, _n long, _passes long, _take long, _source_size long, _target double")
+    return histogram.groupBy("_source").applyInPandas(one, "_source string, _size long, _n long, _source_size long, _target double, _passes long, _take long")
 
 
-def _same(rows: DataFrame, other: DataFrame, *more: str) -> DataFrame:
-    """Inner join on source (null equals null), size and ``more``."""
+def _same(rows: DataFrame, other: DataFrame, *more: str, how: str = "inner") -> DataFrame:
+    """Join on source (null equals null), size and ``more``."""
     keys = ["_source", "_size", *more]
     other = other.withColumnsRenamed({k: f"{k}_r" for k in keys})
     on = rows["_source"].eqNullSafe(other["_source_r"])
     for k in keys[1:]:
         on = on & (rows[k] == other[f"{k}_r"])
-    return rows.join(other, on).drop(*(f"{k}_r" for k in keys))
+    return rows.join(other, on, how).drop(*(f"{k}_r" for k in keys))
 
 
-def _cutoffs(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Of each source and length that is taken in part, the hash of the last document taken.
+def _cutoffs(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """Of each group of ``part(_source, _size, _n, _take)``, of whose _n rows _take are taken: the hash of the
+    last one taken (_cutoff), the rows that have it (_tied) and those of them that are taken (_of_tied).
 
-    Groups are ranked in order-preserving ranges of their hashes of about BUCKET_ROWS rows;
-    only the range that holds the cut is sorted.
+    Groups are counted in order-preserving ranges of their hashes of about BUCKET_ROWS rows;
+    only the range that holds the cut is looked into, where rows of one hash are counted before they are ordered.
     """
-    part = plan.where("_take > 0 and _take < _n").select("_source", "_size", "_n", "_take")
     ranges = F.ceil(F.col("_n") / BUCKET_ROWS)
-    rows = _same(sized.select("_source", "_size", "_hash"), part).withColumn("_range", F.floor((F.shiftright("_hash", 40) + (1 << 23)) * ranges / (1 << 24)))
+    rows = _same(rows.select("_source", "_size", "_hash"), part).withColumn("_range", F.floor((F.shiftright("_hash", 40) + (1 << 23)) * ranges / (1 << 24)))
     counts = rows.groupBy("_source", "_size", "_range").agg(F.count("*").alias("_rows"), F.first("_take").alias("_t"))
-    earlier = Window.partitionBy("_source", "_size").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("_t") - F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    group = Window.partitionBy("_source", "_size")
+    rank = F.col("_t") - F.coalesce(F.sum("_rows").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = counts.withColumn("_rank", rank).where("_rank > 0 and _rank <= _rows").select("_source", "_size", "_range", "_rank")
-    place = F.row_number().over(Window.partitionBy("_source", "_size", "_range").orderBy("_hash"))
-    return _same(rows, held, "_range").withColumn("_place", place).where("_place = _rank").select("_source", "_size", F.col("_hash").alias("_cutoff"))
+    hashes = _same(rows, held, "_range").groupBy("_source", "_size", "_hash").agg(F.count("*").alias("_tied"), F.first("_rank").alias("_rank"))
+    last = F.sum("_tied").over(group.orderBy("_hash"))
+    return hashes.withColumn("_of_tied", F.col("_rank") - last + F.col("_tied")).where("_of_tied > 0 and _of_tied <= _tied").select("_source", "_size", F.col("_hash").alias("_cutoff"), "_tied", "_of_tied")
 
 
 #: A plan of at most so many rows (sources times lengths) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def _mixed(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with _size, _source, _source_size, _target and _times, the passes that include the row."""
-    rows = _sized(docs, seed)
-    narrow = _sized(docs.select("doc_id", "text", "source"), seed).drop("text", "doc_id", "source")
+def _mixed(rows: DataFrame, narrow: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (_row, _source, _size, _hash) with _source_size, _target and _times, the passes that include the row."""
     histogram = cut(narrow.groupBy("_source", "_size").agg(F.count("*").alias("_n")))
-    # One row per source reaches the driver: sources are configuration, not data.
-    sizes = {r["_source"]: int(r["s"]) for r in histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("s")).collect()}
-    plan = cut(_plan(histogram, targets(sizes), seed))
-    cutoffs = _cutoffs(narrow, plan).withColumnsRenamed({"_source": "_c_source", "_size": "_c_size"})
-    full = cut(plan.join(cutoffs, plan["_source"].eqNullSafe(cutoffs["_c_source"]) & (plan["_size"] == cutoffs["_c_size"]), "left").drop("_c_source", "_c_size"))
-    if full.count() <= BROADCAST_ROWS:
-        full = F.broadcast(full)
+    wanted = targets(histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("_source_size"))).withColumnRenamed("_source", "_s")
+    plan = cut(_plan(histogram.join(wanted, histogram["_source"].eqNullSafe(wanted["_s"])).drop("_s"), seed))
+    full = cut(_same(plan, _cutoffs(narrow, plan.where("_take > 0 and _take < _n").select("_source", "_size", "_n", "_take")), how="left"))
+    split = full.where("_of_tied < _tied")
+    found = _same(rows, F.broadcast(full) if full.count() <= BROADCAST_ROWS else full)
+    apart = F.coalesce((F.col("_hash") == F.col("_cutoff")) & (F.col("_of_tied") < F.col("_tied")), F.lit(False))
     more = F.when(F.col("_take") >= F.col("_n"), 1).when(F.col("_take") > 0, (F.col("_hash") <= F.col("_cutoff")).cast("int")).otherwise(0)
-    return _same(rows, full).withColumn("_times", F.when(F.col("_size") > 0, F.col("_passes") + more).otherwise(0)).drop("_hash", "_n", "_passes", "_take", "_cutoff")
+    times = lambda more: F.when(F.col("_size") > 0, F.col("_passes") + more).otherwise(0)
+    columns = ["_row", "_source", "_size", "_source_size", "_target", "_times"]
+    sure = found.where(~apart).withColumn("_times", times(more)).select(columns)
+    if split.isEmpty():
+        return sure
+    # Equal rows at the cut, of which some are taken: ordered by numbers of their own, in a table of their own.
+    tied = cut(found.where(apart).drop("_cutoff", "_tied", "_of_tied").withColumn("_hash", F.monotonically_increasing_id())).withColumn("_hash", F.xxhash64("_hash"))
+    last = _cutoffs(tied, split.select("_source", "_size", F.col("_tied").alias("_n"), F.col("_of_tied").alias("_take")))
+    return sure.unionByName(_same(tied, last).withColumn("_times", times((F.col("_hash") <= F.col("_cutoff")).cast("int"))).select(columns))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target and taken (words, repeats counted) of every row."""
-    return _mixed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), seed).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source").alias("source"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken")
+    # The texts are read once; all that follows reads the narrow table.
+    rows = cut(_sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), seed).withColumn("_row", F.struct("_row.doc_id")))
+    return _mixed(rows, rows, seed).select(
+        "_row.doc_id", F.col("_size").alias("size"), F.col("_source").alias("source"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
-    chosen = _mixed(docs, seed).where("_times > 0")
-    return chosen.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    narrow = cut(_sized(docs.select("doc_id", "text", "source"), seed).drop("_row"))
+    chosen = _mixed(_sized(docs, seed), narrow, seed).where("_times > 0")
+    return chosen.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select("_row.*")

@@ -1,8 +1,8 @@
 """Helpers shared by the training-data operators.
 
 Everything that has to outlive an executor goes to the folder named by
-``spark.checkpoint.dir``; when that setting is absent (tests, a laptop) a
-temporary folder is set once for the session.
+``spark.checkpoint.dir``; when that setting is absent on a local master (tests,
+a laptop) a temporary folder is set once for the session.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -24,6 +25,8 @@ PIECE_BYTES = 8 << 20
 #: Rows of such a piece, at most.
 PIECE_ROWS = 1 << 16
 
+_U = np.uint64
+
 
 def small_batches(spark: SparkSession) -> None:
     """Has Spark send texts in batches of about PIECE_BYTES (its default is eight times that), unless the session says otherwise."""
@@ -39,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -55,6 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Spark's own file systems."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -78,18 +89,18 @@ def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
     ``n`` is how often such a row stands in ``docs``; only where one is repeated are rows told apart.
     """
-    marked = docs.withColumns({"_keep_id": F.col("doc_id").cast("long"), "_keep_hash": text_hash()})
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_hash"))
     keep = cut(keep)
 
     def some(rows: DataFrame) -> DataFrame:
-        on = marked["_keep_id"].eqNullSafe(rows["keep_id"]) & (marked["_keep_hash"] == rows["keep_hash"])
+        on = marked["_id"].eqNullSafe(rows["keep_id"]) & (marked["_hash"] == rows["keep_hash"])
         return marked.join(rows, on, "left_semi")
 
-    out, repeated = some(keep.where("n = 1")), keep.where("n > 1")
+    out, repeated = some(keep.where("n = 1")).select("_row"), keep.where("n > 1")
     if not repeated.isEmpty():
-        place = F.row_number().over(Window.partitionBy("_keep_id", "_keep_hash").orderBy(F.lit(0)))
-        out = out.unionByName(some(repeated).withColumn("_keep_n", place).where("_keep_n = 1").drop("_keep_n"))
-    return out.drop("_keep_id", "_keep_hash")
+        # Reduced before the shuffle, so a row repeated many times is no hot group.
+        out = out.unionByName(some(repeated).groupBy("_id", "_hash").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select("_row.*")
 
 
 def pieces(batch: pa.RecordBatch, text_column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -97,7 +108,7 @@ def pieces(batch: pa.RecordBatch, text_column: int, limit: int = PIECE_BYTES) ->
     if batch.num_rows == 0:
         return
     column = batch.column(text_column)
-    lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)
     start = 0
     while start < batch.num_rows:
@@ -123,16 +134,16 @@ def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Recor
 
 def filled(column: pa.Array, lower: bool = False) -> pa.Array:
     """Texts with null as empty, optionally with A-Z lower-cased."""
-    column = pa.compute.fill_null(column, "")
-    return pa.compute.ascii_lower(column) if lower else column
+    column = pc.fill_null(column, "")
+    return pc.ascii_lower(column) if lower else column
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words between ASCII white space, flat, and the row each belongs to."""
-    lists = pa.compute.ascii_split_whitespace(texts)
-    words = pa.compute.list_flatten(lists)
-    rows = pa.compute.list_parent_indices(lists)
-    keep = pa.compute.greater(pa.compute.binary_length(words), 0)
+    lists = pc.ascii_split_whitespace(texts)
+    words = pc.list_flatten(lists)
+    rows = pc.list_parent_indices(lists)
+    keep = pc.greater(pc.binary_length(words), 0)
     return words.filter(keep), rows.filter(keep).to_numpy(zero_copy_only=False)
 
 
@@ -155,6 +166,36 @@ def byte_table(kept: str) -> bytes:
     return bytes(table)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, element-wise."""
+    x = x + _U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length."""
+    if not len(words):
+        return np.zeros(0, _U)
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8).astype(_U)
+    starts = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.full(int(lengths.max()), 0x100000001B3, _U))
+    return mix(np.add.reduceat((data + _U(1)) * powers[np.arange(len(data)) - np.repeat(starts, lengths)], starts) ^ lengths.astype(_U))
+
+
+def bitmap(spots: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of the numbers in ``column`` (from 0 to below ``bits``): so many bits on the driver, whatever the rows."""
+    place = F.col(column) + 1
+    parts = spots.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(-(-bits // 8), np.uint8)
+    for r in parts:
+        start = (r["b"] - 1) * len(r["bits"])
+        out[start : start + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(out) - start]
+    return out
+
+
 class Written:
     """``df`` as a Parquet table in the shared folder for the length of a ``with`` block."""
 
@@ -166,6 +207,4 @@ class Written:
         return self.df.sparkSession.read.schema(self.df.schema).parquet(self.path)
 
     def __exit__(self, *_) -> None:
-        jvm, jsc = self.df.sparkSession._jvm, self.df.sparkSession._jsc
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+        dropped(self.df.sparkSession, self.path)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, byte_table, cut, filled, map_pieces, only, split_words, text_hash, translated
+from .common import Written, bitmap, byte_table, cut, filled, map_pieces, mix, only, split_words, text_hash, translated, word_hashes
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -55,25 +55,6 @@ _TABLE = byte_table("abcdefghijklmnopqrstuvwxyz0123456789")
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, element-wise."""
-    x = x + _U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length."""
-    if not len(words):
-        return np.zeros(0, _U)
-    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8).astype(_U)
-    starts = np.cumsum(lengths) - lengths
-    powers = np.cumprod(np.full(int(lengths.max()), 0x100000001B3, _U))
-    return mix(np.add.reduceat((data + _U(1)) * powers[np.arange(len(data)) - np.repeat(starts, lengths)], starts) ^ lengths.astype(_U))
-
-
 class Words:
     """The words of many texts: flat, with each text's number of words."""
 
@@ -188,13 +169,7 @@ def signatures(docs: DataFrame, weighted: bool = False, words: int = WORDS, band
 
 def _bits(keys: DataFrame) -> np.ndarray:
     """A bitmap of hashed keys, at most FILTER_BITS / 8 bytes on the driver."""
-    spot = F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long") % FILTER_BITS + 1
-    parts = keys.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        start = (r["b"] - 1) * len(r["bits"])
-        out[start : start + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return bitmap(keys.select((F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long") % FILTER_BITS).alias("s")), "s", FILTER_BITS)
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, weighted: bool, words: int) -> DataFrame:

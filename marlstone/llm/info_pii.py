@@ -1,19 +1,28 @@
 """Personal data by information-theoretic sanitisation.
 
-Pattern matches (email, ip, card, phone) are the protected entities. Corpus
-co-occurrence then estimates how strongly other terms reveal them: with
-``n(t)`` documents holding a term and ``n(t, e)`` holding it together with an
-entity, the pointwise mutual information falls short of the entity's own
-information content by ``-log2(n(t, e) / n(t))`` bits. A term whose shortfall
-is at most ``SHORTFALL`` bits discloses the entity and is sanitised (kind
-``term``) in the documents that hold the entity. Entities and pairs must be
-seen in at least two different texts, so copies of one text prove nothing.
+Pattern matches (email, ip, card, phone) are generalised to their kind. What
+they stand for is protected at several levels, each an entity of its own: the
+kind, the person and the host of an address, the network of an ip, the issuer of
+a card, the area of a phone number, and the value itself. Corpus co-occurrence
+then estimates how strongly other terms of the text reveal an entity: of N
+documents, ``n(e)`` hold the entity, ``n(t)`` the term and ``n(t, e)`` both;
+with ``P(e) = n(e) / N`` and ``P(e | t) = (n(t, e) + S P(e)) / (n(t) + S)``, the
+pointwise mutual information is ``log2 P(e | t) - log2 P(e)`` bits out of the
+entity's own ``-log2 P(e)``. A term that falls short of those by at most
+``SHORTFALL`` bits, and gives ``GAIN`` bits or more, discloses the entity; it is
+a span of kind ``term`` in the documents that hold the entity, and is removed
+there. Entities and pairs must stand in at least two different texts, so copies
+of one text prove nothing.
+
+Counting covers all documents and terms; what can't disclose anything is left
+out by its counts before pairs are made: terms of a single text with personal
+data, and terms in more documents than the entity can outweigh.
 
 Defined results: null and empty texts have no spans; repeated rows and null
 identifiers give rows of their own; matches of one kind don't overlap, those of
 different kinds may; terms inside a match are no terms; very long texts are
 read whole; an empty table gives an empty table; extra columns are ignored by
-``find`` and carried by ``sanitised``.
+``find`` and carried by ``sanitised``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +34,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, cut, filled, map_pieces, split_words, translated
+from .common import bitmap, byte_table, cut, filled, map_pieces, split_words, text_hash, translated, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Bits by which a term may fall short of revealing its entity (1: it does so in half of its documents).
-SHORTFALL = 1.0
-#: Shortest term, in characters.
-TERM_CHARS = 3
+#: Bits by which a term may fall short of revealing its entity (1: it does so in half of its documents), and bits it must give.
+SHORTFALL, GAIN = 1.0, 1.0
+#: Weight of the prior in a term's estimate, in documents.
+SMOOTHING = 1.0
+#: Bits of the broadcast filter of terms to count: 8 MB, whatever the corpus.
+FILTER_BITS = 1 << 26
 
 _LETTERS = byte_table("abcdefghijklmnopqrstuvwxyz")
-_TERM = re.compile(r"[^\x00-@\[-`{-\x7f]{%d,}" % TERM_CHARS)
+_TERM = re.compile(r"[^\x00-@\[-`{-\x7f]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: A cheap test that a text can hold a match of each kind.
 _HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
@@ -122,18 +133,31 @@ def terms(text: str, spans: list[Span]) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def protected(kind: str, value: str) -> list[str]:
+    """The entities that a match stands for, from its kind to its value."""
+    value = value.translate(_ASCII_LOWER)
+    digits = "".join(c for c in value if c.isdigit())
+    if kind == "email":
+        local, host = value.split("@", 1)
+        person = " ".join(_TERM.findall(local))
+        parts = [f"host {host}", *([f"person {person}"] if person else []), f"value {value}"]
+    elif kind == "ip":
+        parts = [f"network {value.rsplit('.', 1)[0]}", f"value {value}"]
+    elif kind == "card":
+        parts = [f"issuer {digits[:6]}", f"value {digits}"]
+    else:
+        parts = [f"area {digits[:4]}", f"value {digits}"]
+    return [kind, *(f"{kind} {p}" for p in parts)]
+
+
 _FOUND = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, text_key long, "
-    "entities array<long>, terms array<struct<term: string, spans: string>>"
+    "entities array<long>, terms array<struct<term: string, spans: string>>, text string"
 )
 
 
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def matches(docs: DataFrame) -> DataFrame:
-    """Pattern matches of every row; entities (as hashes) and terms only where there are any."""
+    """Pattern matches of every row; entities (as hashes), terms and the text only where there are any."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = filled(batch.column(1))
@@ -143,6 +167,7 @@ def matches(docs: DataFrame) -> DataFrame:
         base = [""] * n
         entities: list[list[int] | None] = [None] * n
         found_terms: list[list[dict] | None] = [None] * n
+        held: list[str | None] = [None] * n
         for i in np.flatnonzero(np.logical_or.reduce(list(hints.values()))).tolist():
             text, spans = texts[i].as_py(), []
             for kind, find in _FINDERS.items():
@@ -151,8 +176,8 @@ def matches(docs: DataFrame) -> DataFrame:
                     counts[kind][i] = len(got)
                     spans += got
             if spans:
-                base[i] = written(spans)
-                entities[i] = sorted({_number(f"{k}:{text[a:b]}") for k, a, b in spans})
+                base[i], held[i] = written(spans), text
+                entities[i] = sorted({_number(e) for k, a, b in spans for e in protected(k, text[a:b])})
                 found_terms[i] = [{"term": t, "spans": written([("term", *p) for p in places])} for t, places in terms(text, spans).items()]
         yield pa.record_batch(
             [
@@ -162,63 +187,86 @@ def matches(docs: DataFrame) -> DataFrame:
                 batch.column(2),
                 pa.array(entities, pa.list_(pa.int64())),
                 pa.array(found_terms, pa.list_(pa.struct([("term", pa.string()), ("spans", pa.string())]))),
+                pa.array(held, pa.string()),
             ],
-            names=[c.split()[0] for c in ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "text_key", "entities", "terms")],
+            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "text_key", "entities", "terms", "text"],
         )
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_key"))
     return map_pieces(keyed, work, _FOUND).withColumn("_row", F.monotonically_increasing_id())
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """Documents that hold each term, over the whole corpus."""
+def _spots(words: pa.Array) -> np.ndarray:
+    return (word_hashes(words) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Over the whole corpus, documents that hold each of the terms of ``wanted(term)``."""
+
+    def spots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch([pa.array(_spots(batch.column(0)))], names=["s"])
+
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(map_pieces(wanted, spots, "s long", text_column="term"), "s", FILTER_BITS))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words, rows = split_words(translated(filled(batch.column(0)), _LETTERS))
-        coded = words.dictionary_encode()
+        coded, bits = words.dictionary_encode(), shared.value
+        spot = _spots(coded.dictionary)
+        keep = ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
         ids, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
-        once = np.bincount(np.unique(rows.astype(np.int64) * size + ids) % size, minlength=len(coded.dictionary))
-        keep = pc.greater_equal(pc.utf8_length(coded.dictionary), TERM_CHARS)
-        yield pa.record_batch([coded.dictionary.filter(keep), pa.array(once.astype(np.int64)).filter(keep)], names=["term", "n"])
+        some = keep[ids] if len(ids) else np.zeros(0, bool)
+        once = np.bincount(np.unique(rows[some].astype(np.int64) * size + ids[some]) % size, minlength=len(coded.dictionary))
+        yield pa.record_batch([coded.dictionary.filter(pa.array(keep)), pa.array(once[keep].astype(np.int64))], names=["term", "n"])
 
-    return map_pieces(docs.select("text"), work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return map_pieces(docs.select("text"), work, "term string, n long").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def _two_texts(least: int = 2):
-    """At least two documents, of different texts."""
-    return (F.col("n") >= least) & (F.col("one_text") != F.col("other_text"))
+#: So many terms are broadcast at most; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
 
 
-def disclosures(found: DataFrame, docs: DataFrame, shortfall: float = SHORTFALL) -> tuple[DataFrame, DataFrame]:
-    """Pairs (entity, term) that disclose, and the occurrences they were counted from."""
-    seen = (F.count("*").alias("n"), F.min("text_key").alias("one_text"), F.max("text_key").alias("other_text"))
+def disclosures(found: DataFrame, docs: DataFrame, shortfall: float = SHORTFALL, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
+    """Pairs (entity, term) that disclose, with their bits, and the occurrences they were counted from."""
+    two_texts = F.min("text_key") < F.max("text_key")
+    n_docs = found.count()
     holders = found.where("entities is not null")
     single = holders.select("_row", "text_key", F.explode("entities").alias("entity"))
-    shared = single.groupBy("entity").agg(*seen).where(_two_texts()).select("entity")
-    by_row = single.join(shared, "entity").groupBy("_row").agg(F.collect_list("entity").alias("shared"))
-    pairs = holders.join(by_row, "_row").select("_row", "text_key", "shared", F.inline("terms")).select("_row", "text_key", "term", "spans", F.explode("shared").alias("entity"))
-    together = pairs.groupBy("entity", "term").agg(*seen).where(_two_texts()).select("entity", "term", F.col("n").alias("n_te"))
-    strong = together.join(document_frequencies(docs), "term").where(F.col("n_te") / F.col("n_t") >= 2.0**-shortfall)
-    return strong.select("entity", "term", (-F.log2(F.col("n_te") / F.col("n_t"))).alias("shortfall")), pairs
-
-
-def find(docs: DataFrame, shortfall: float = SHORTFALL) -> DataFrame:
-    """Counts, base spans and all spans (with disclosing terms) of every row."""
+    entities = cut(single.groupBy("entity").agg(F.count("*").alias("n_e"), two_texts.alias("two")).where("two").drop("two"))
+    most = entities.agg(F.max("n_e")).collect()[0][0] or 0
+    # P(e | t) reaches the share only if the entity's documents outweigh the term's.
+    share = 2.0**-shortfall
+    can = lambda n_e: n_e * F.lit(1 + SMOOTHING / max(1, n_docs)) >= share * (F.col("n_t") + SMOOTHING)
+    own = holders.select("_row", "text_key", F.inline("terms"))
+    seen = cut(own.groupBy("term").agg(two_texts.alias("two")).where("two").select("term"))
+    rare = cut(document_frequencies(docs, seen).where(can(F.lit(most))))
+    by_row = single.join(entities, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "n_e")).alias("held"))
+    held = own.join(rare, "term").join(by_row, "_row").select("_row", "text_key", "term", "spans", "n_t", F.explode(F.filter("held", lambda e: can(e["n_e"]))).alias("e"))
+    pairs = cut(held.select("_row", "text_key", "term", "spans", "n_t", "e.entity", "e.n_e"))
+    together = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te"), two_texts.alias("two")).where("two")
+    prior = F.col("n_e") / F.lit(float(max(1, n_docs)))
+    given = (F.col("n_te") + SMOOTHING * prior) / (F.col("n_t") + SMOOTHING)
+    strong = together.select("entity", "term", (-F.log2(given)).alias("shortfall"), (F.log2(given) - F.log2(prior)).alias("gain"))
+    return strong.where((F.col("shortfall") <= shortfall) & (F.col("gain") >= gain)), pairs
+
+
+def find(docs: DataFrame, shortfall: float = SHORTFALL, gain: float = GAIN) -> DataFrame:
+    """Counts, base spans, all spans (with disclosing terms) of every row, and its sanitised text where that differs."""
     found = cut(matches(docs))
-    strong, pairs = disclosures(found, docs, shortfall)
+    strong, pairs = disclosures(found, docs, shortfall, gain)
     strong = cut(strong)
-    flagged = pairs.join(strong, ["entity", "term"]).groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("spans")), ",").alias("more"))
+    flagged = pairs.join(strong, ["entity", "term"]).groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("spans")), ",").alias("more"), F.size(F.collect_set("term")).cast("long").alias("n_term"))
     rank = F.create_map(*(F.lit(x) for k, r in _RANK.items() for x in (k, r)))
     every = F.transform(
         F.filter(F.split(F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("more")), ","), lambda s: s != ""),
         lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), rank[F.split(s, ":")[0]].alias("k"), F.split(s, ":")[2].cast("int").alias("b"), s.alias("s")),
     )
     spans = F.array_join(F.transform(F.array_sort(every), lambda x: x["s"]), ",")
-    return (
-        found.drop("entities", "terms")
-        .join(flagged, "_row", "left")
-        .select("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.coalesce(spans, F.lit("")).alias("spans"))
-    )
+    clean = F.pandas_udf(lambda texts, places: texts.combine(places, redact), "string")
+    counts = ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")]
+    held = found.where("text is not null").drop("entities", "terms").join(flagged, "_row", "left").withColumn("spans", spans)
+    held = held.select(*counts, "spans", F.coalesce("n_term", F.lit(0)).cast("long").alias("n_term"), clean("text", "spans").alias("sanitised"))
+    free = found.where("text is null").select(*counts, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_term"), F.lit(None).cast("string").alias("sanitised"))
+    return held.unionByName(free)
 
 
 def redact(text: str | None, spans: str) -> str:
@@ -233,11 +281,10 @@ def redact(text: str | None, spans: str) -> str:
     return "".join(out) + text[free:]
 
 
-def sanitised(docs: DataFrame, shortfall: float = SHORTFALL) -> DataFrame:
-    """``docs`` with sanitised texts; rows keep all their columns. Equal rows have equal spans."""
+def sanitised(docs: DataFrame, shortfall: float = SHORTFALL, gain: float = GAIN) -> DataFrame:
+    """``docs`` with sanitised texts; rows keep all their columns. Equal rows have equal texts."""
     names = docs.columns
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": text_key()})
-    found = find(docs.select("doc_id", "text"), shortfall).where("spans <> ''").select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), F.col("spans").alias("_spans")).distinct()
-    joined = keyed.join(found, keyed["_id"].eqNullSafe(found["_found_id"]) & (keyed["_key"] == found["_found_key"]), "left")
-    clean = F.pandas_udf(lambda texts, spans: texts.combine(spans, lambda t, s: t if s is None else redact(t, s)), "string")
-    return joined.withColumn("text", clean("text", "_spans")).select(*(F.col(f"`{c}`") for c in names))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_hash().alias("_key"))
+    found = find(docs.select("doc_id", "text"), shortfall, gain).where("sanitised is not null").groupBy(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key")).agg(F.first("sanitised").alias("_text"))
+    joined = rows.join(found, rows["_id"].eqNullSafe(found["_found_id"]) & (rows["_key"] == found["_found_key"]), "left")
+    return joined.select(*(F.coalesce("_text", "_row.text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`") for c in names))

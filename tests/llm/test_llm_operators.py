@@ -114,6 +114,28 @@ def test_sharding_balances_bytes(make_docs, odd_rows, small):
     assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / 4
 
 
+def test_sharding_of_one_hot_identifier(spark):
+    docs = spark.range(10_000).selectExpr("case when id % 2 = 0 then 7 else id end doc_id", "concat('text of a hundred bytes ', repeat('x', 76)) text")
+    again = docs.unionByName(docs.limit(0)).unionByName(spark.range(5_000).selectExpr("cast(null as long) doc_id", "cast(id as string) text"))
+    for rows in (docs, again):
+        got = rows_of(slot_sharding.shard_by_slots(rows))
+        load, places = Counter(), defaultdict(list)
+        for r in got:
+            load[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert len(got) == rows.count() and len(load) == 16
+        assert max(load.values()) - min(load.values()) < 0.01 * sum(load.values()) / 16
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_slots_are_ranked_in_parts(small, monkeypatch):
+    monkeypatch.setattr(slot_sharding, "PART_ROWS", 3)
+    places = defaultdict(list)
+    for r in rows_of(slot_sharding.shard_by_slots(small, slots=16)):
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_rebalancing_edits_the_map():
     size = np.random.default_rng(1).integers(1, 1000, 512).astype(float)
     first = slot_sharding.SlotMap.even(512, 8)
@@ -161,6 +183,37 @@ def test_mix_meets_targets(make_docs, odd_rows, small):
     assert budget_mix.mix(small.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_and_null_identifiers(spark, monkeypatch):
+    one = spark.range(100).selectExpr("5 doc_id", "repeat('w ', 10) text", "'a' source")
+    null = spark.range(90).selectExpr("cast(null as int) doc_id", "concat('v', id % 30, ' y z') text", "cast(null as string) source")
+    other = spark.range(400).selectExpr("cast(id as int) doc_id", "repeat('q ', cast(id % 7 as int)) text", "concat('s', id % 2) source")
+    docs = one.unionByName(null).unionByName(other)
+    for rows in (50_000, 5):
+        monkeypatch.setattr(budget_mix, "BUCKET_ROWS", rows)
+        got = rows_of(budget_mix.mix(docs))
+        sizes, taken = Counter(), Counter()
+        for r in got:
+            assert r["taken"] in (0, r["size"], 2 * r["size"])
+            sizes[r["source"]] += r["size"]
+            taken[r["source"]] += r["taken"]
+        want = reference_targets(sizes)
+        longest = {"a": 10, "s0": 6, "s1": 6, None: 3}
+        assert all(abs(taken[s] - want[s]) <= longest[s] for s in sizes)
+        assert sorted(map(str, got)) == sorted(map(str, rows_of(budget_mix.mix(docs.repartition(5)))))
+    clash = docs.selectExpr("*", "1 _size", "2 _hash", "3 _row", "4 _copy", "5 _times")
+    mixed = budget_mix.mixed_documents(clash)
+    assert mixed.columns == clash.columns
+    rows = mixed.collect()
+    assert {(r["_size"], r["_hash"], r["_row"], r["_copy"], r["_times"]) for r in rows} == {(1, 2, 3, 4, 5)}
+    assert Counter(str(r["doc_id"]) for r in rows if r["source"] == "a") == Counter({"5": taken["a"] // 10})
+
+
+def test_few_long_documents_meet_their_budget():
+    lengths, counts = np.array([100_000, 100_001]), np.array([1, 1])
+    assert budget_mix.fit(lengths, counts, 190_000).tolist() == [1, 1]
+    assert budget_mix.fit(lengths, counts, 100_001).tolist() == [0, 1]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), min_size=1, max_size=8), st.integers(0, 300))
 def test_knapsack_is_optimal(counts, budget):
@@ -212,6 +265,25 @@ def test_packing(make_docs, odd_rows, small):
         n = check_packing(docs, got, 2048)
         total = sum(r["length"] for r in got)
         assert n <= total / 2048 * 1.03 + 3
+        assert all(r["gap"] >= 0 for r in got)
+
+
+def test_packing_closes_gaps(spark, make_docs):
+    """Pieces of 600 to 799 tokens, three of which fit at most; best-fit decreasing alone needs 16 % above the first bound."""
+    lengths = np.random.default_rng(4).integers(600, 800, 6_000)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 1) for i, n in enumerate(lengths)], certified_packing.PIECES)
+    bound = certified_packing.certified_bound(lengths)
+    alone = certified_packing.best_fit_decreasing(lengths)[2]
+    for parts in (20_000, 2_000):
+        got = rows_of(certified_packing.packed(pieces, part_pieces=parts))
+        bins = defaultdict(list)
+        for r in got:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(got) == 6_000 and all(sum(n for _, n in b) <= 2048 and sorted(b)[-1][0] + sorted(b)[-1][1] == sum(n for _, n in b) for b in bins.values())
+        assert certified_packing.lower_bound(lengths) < bound <= len(bins) < bound + (alone - bound) / 3
+    hot = make_docs([(7, "same words again", "a")] * 500)
+    got = rows_of(certified_packing.pack(hot, TOKENIZER, part_pieces=10))
+    check_packing(hot, got, 2048)
 
 
 @settings(max_examples=80, deadline=None)
@@ -219,7 +291,14 @@ def test_packing(make_docs, odd_rows, small):
 def test_bounds_and_bins(lengths):
     x = np.array(lengths, dtype=np.int64)
     bins, _, n = certified_packing.best_fit_decreasing(x, 64)
-    assert n == len(set(bins.tolist())) and certified_packing.lower_bound(x, 64) <= n
+    assert n == len(set(bins.tolist())) and certified_packing.lower_bound(x, 64) <= n and certified_packing.certified_bound(x, 64) <= n
+    for other in (certified_packing.completed(x, 64), certified_packing.repacked(x, 0, 64)):
+        assert len(x) == 0 or (np.bincount(other, weights=x).max() <= 64 and len(set(other.tolist())) == other.max() + 1)
+        assert certified_packing.certified_bound(x, 64) <= len(set(other.tolist()))
+        offsets = certified_packing.offsets_in(other, x)
+        for b in set(other.tolist()):
+            order = np.argsort(offsets[other == b])
+            assert (offsets[other == b][order] == np.cumsum(x[other == b][order]) - x[other == b][order]).all()
     assert n == 0 or np.bincount(bins, weights=x).max() <= 64
 
 
@@ -249,20 +328,39 @@ def test_exact_classes(make_docs, odd_rows, small):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=6), st.integers(0, 9)), max_size=40), st.integers(0, 30))
 def test_trie_spills_without_loss(pairs, limit):
-    trie, out = trie_dedup.Patricia(True), []
+    trie, elsewhere = trie_dedup.Patricia(True), []
     for key, owner in pairs:
-        trie.insert(key, owner, 1)
-        if trie.bytes > limit:
-            out += trie.spill(limit)
-    out += trie.drain()
-    got, want = {}, {}
-    for key, owner, n in out:
-        a, b = got.get(key, (owner, 0))
-        got[key] = (max(a, owner), b + n)
+        if not trie.insert(key, owner, 1):
+            elsewhere.append((key, owner, 1))
+        elif trie.bytes > limit:
+            elsewhere += trie.spill(limit)
+    done = list(trie.drain())
+    want = {}
     for key, owner in pairs:
         a, b = want.get(key, (owner, 0))
         want[key] = (max(a, owner), b + 1)
-    assert got == want and trie.bytes == 0
+    # A text is settled here or was handed on, never both; here with all its rows.
+    assert trie.bytes == 0 and (done or not pairs)
+    assert len({k for k, *_ in done}) == len(done) and not {k for k, *_ in done} & {k for k, *_ in elsewhere}
+    assert all(want[k] == (o, n) for k, o, n in done)
+    rest = Counter()
+    for k, _, n in elsewhere:
+        rest[k] += n
+    assert rest == {k: n for k, (_, n) in want.items() if k not in {d[0] for d in done}}
+
+
+def test_tries_hold_many_texts(spark, make_docs):
+    """Texts that share long prefixes, in one partition, with a budget that makes their subtrees spill."""
+    rows = [(i, f"{'shared prefix ' * 20}{i % 40} {'tail ' * (i % 40)}", "a") for i in range(400)] + [(1_000 + i, "Z" * i, "b") for i in range(30)]
+    docs = make_docs(rows).coalesce(1)
+    trie, texts = trie_dedup.Patricia(True), {t for _, t, _ in rows}
+    for _, text, _ in rows:
+        trie.insert(text.encode(), 1, 1)
+    assert trie.bytes < sum(map(len, texts)) / 2 and len(list(trie.drain())) == len(texts)
+    want = Counter(t.translate(LOWER) for _, t, _ in rows)
+    for budget in (1 << 26, 3_000, 200, 1):
+        got = trie_dedup.owners(docs, trie_bytes=budget).collect()
+        assert {r["sha"]: r["rows"] for r in got} == {hashlib.sha256(t.encode()).hexdigest(): n for t, n in want.items()} and len(got) == len(want)
 
 
 # 7 licenses
