@@ -118,7 +118,7 @@ def pieces(batch: pa.RecordBatch, text_column: int, limit: int = PIECE_BYTES) ->
         start = stop
 
 
-def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, text_column: str = "text") -> DataFrame:
+def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, text_column: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
     """mapInArrow over bounded slices of each batch."""
     at = df.columns.index(text_column)
     ship(df.sparkSession)
@@ -126,8 +126,9 @@ def map_pieces(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Recor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, at):
+            for piece in pieces(batch, at, limit):
                 yield from work(piece)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -8,15 +8,17 @@ weights up to a rank set by its total weight, so it looks at about
 coordinates and the earliest per coordinate is the signature: two texts agree
 in a coordinate with probability equal to their (weighted) Jaccard similarity.
 
-Texts of equal words are one node. Nodes that agree in a band are compared with
-two leaders of the bucket (its least and its greatest node), exactly, on their
-whole sets; classes are the connected components of links of at least
-``threshold``. A bucket whose other members still hold several classes gets
-further leaders, those with most links first and four times as many each round,
-compared with all members of other classes, until no two members of a bucket
-that stand in different classes are left uncompared. So the classes are those of
-comparing all pairs that share a band; only a bucket of nodes that are alike in
-a band and yet not linked is expanded into its pairs.
+Texts of equal words are one node. The nodes of a bucket (those that agree in a
+band) are compared exactly, on their whole sets, with the bucket's leader: the
+node that meets most others over all its buckets, which groups of copies have at
+their centre. Classes are the connected components of links of at least
+``threshold``. Where the other members of a bucket still stand in several
+classes, all of its pairs of different classes are compared as well, block
+against block: a task gets the sets of at most two blocks, multiplies their
+incidence matrices and returns no more links than it has members. Pairs within
+the bucket's largest class are left out, so a bucket costs its members times
+those outside that class. So the classes are those of comparing all pairs that
+share a band, and no pair but a leader's is a row of its own.
 
 Defined results: null and empty texts (no words) are copies of one another;
 texts of fewer than five words are one shingle; repeated rows and null
@@ -30,24 +32,26 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bitmap, byte_table, cut, filled, map_pieces, mix, only, split_words, text_hash, translated, word_hashes
+from ..shipping import ship
+from .common import bitmap, byte_table, cut, filled, map_pieces, mix, only, split_words, text_hash, translated, word_hashes
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: 20 bands of 5 coordinates: a pair at 0.8 shares a band with probability 0.9996.
 BANDS, BAND_ROWS = 20, 5
-#: Leaders of a bucket grow by this factor from round to round, so rounds follow the logarithm of its size.
-WIDER = 4
-#: Texts whose darts are thrown at once.
-DART_TEXTS = 2_000
+#: Members of a bucket and bytes of their sets that make a block.
+BLOCK_ROWS, BLOCK_BYTES = 1_000, 8 << 20
+#: Cells of an incidence matrix multiplied at once.
+CELLS = 1 << 22
+#: Bytes of texts and texts whose darts are thrown at once.
+SLICE_BYTES, DART_TEXTS = 2 << 20, 500
 #: Bits of the broadcast filter of candidate nodes: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
 
@@ -164,7 +168,7 @@ def signatures(docs: DataFrame, weighted: bool = False, words: int = WORDS, band
         )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
-    return map_pieces(keyed, work, "doc_id long, text_hash long, key binary, bands array<long>")
+    return map_pieces(keyed, work, "doc_id long, text_hash long, key binary, bands array<long>", limit=SLICE_BYTES)
 
 
 def _bits(keys: DataFrame) -> np.ndarray:
@@ -190,7 +194,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, weighted: bool, words: int)
                 own[names[row]] = (element[part].tobytes(), count[part].astype("<u4").tobytes() if weighted else b"")
         yield pa.record_batch([pa.array(list(own), pa.binary()), pa.array([v[0] for v in own.values()], pa.binary()), pa.array([v[1] for v in own.values()], pa.binary())], names=["key", "elements", "counts"])
 
-    found = map_pieces(docs.select("text"), work, "key binary, elements binary, counts binary")
+    found = map_pieces(docs.select("text"), work, "key binary, elements binary, counts binary", limit=SLICE_BYTES)
     return found.join(nodes, "key").groupBy("id").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts"))
 
 
@@ -227,49 +231,103 @@ def _classed(rows: DataFrame, names: DataFrame | None, key: str, out: str) -> Da
     return rows.join(named, key, "left").withColumn(out, F.coalesce("_c", F.col(key))).drop("_c")
 
 
+def _units(elements: bytes, counts: bytes) -> np.ndarray:
+    """A packed set's elements; of a multiset, one for each unit of weight, so weighted similarity is that of sets."""
+    x = np.frombuffer(elements, _U)
+    if not counts:
+        return x
+    n = np.frombuffer(counts, "<u4").astype(np.int64)
+    unit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(x, n) ^ mix(unit.astype(_U)))
+
+
+def block_links(one: list[np.ndarray], other: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of ``one`` (rows) and of ``other`` (columns) are at least ``threshold`` similar."""
+    both = one + other
+    sizes = np.array([len(x) for x in both])
+    names, column, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), sizes)
+    again = times[column] > 1  # others are in no intersection
+    row, column = row[again], (np.cumsum(times > 1) - 1)[column[again]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared, step, width = np.zeros((len(one), len(other)), np.float32), max(1, CELLS // len(both)), int((times > 1).sum())
+    for start in range(0, width, step):
+        a, b = np.searchsorted(column, [start, start + step])
+        has = np.zeros((len(both), min(step, width - start)), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        shared += has[: len(one)] @ has[len(one) :].T
+    union = sizes[: len(one), None] + sizes[None, len(one) :] - shared
+    return (shared >= threshold * np.maximum(union, 1)) & (sizes[: len(one), None] > 0)
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) that join the classes of ``rest(b, id, c)`` wherever members of different classes are linked."""
+    sized = cut(rest.join(sets.select("id", (F.length("elements") + F.length("counts")).alias("bytes")), "id"))
+    whole = sized.groupBy("b").agg(F.mode("c").alias("most"))
+    parted = sized.join(whole, "b").withColumn("major", F.col("c") == F.col("most"))
+    blocks = lambda major: F.greatest(F.ceil(F.sum(F.when(major, 1)) / BLOCK_ROWS), F.ceil(F.sum(F.when(major, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
+    dealt = cut(parted.groupBy("b").agg(F.first("most").alias("most"), blocks(~F.col("major")).alias("others"), blocks(F.col("major")).alias("majors")))
+    own = F.when(F.col("major"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    # A block of the largest class meets those of the others; these meet all, themselves included.
+    met = F.sequence(F.lit(0), F.when(F.col("major"), F.col("others")).otherwise(F.col("others") + F.col("majors")) - 1)
+    placed = sized.join(dealt, "b").withColumn("major", F.col("c") == F.col("most")).withColumn("own", own)
+    placed = placed.select("b", "id", "c", "own", F.explode(met).alias("met")).select("b", "id", "c", "own", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"))
+
+    def links(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        ids, classes, at = (table.column(x).to_numpy() for x in ("id", "c", "own"))
+        packed = [_units(a, n) for a, n in zip(table.column("elements").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        here, there = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        u, v = [], []
+        if len(here) and len(there):
+            near = block_links([packed[x] for x in here], [packed[x] for x in there], threshold)
+            near &= classes[here][:, None] != classes[there][None]
+            # A spanning forest of the linked classes, not every link.
+            parent: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[up]
+                return x
+
+            for x, y in zip(*np.nonzero(near)):
+                one, other = find(int(classes[here[x]])), find(int(classes[there[y]]))
+                if one != other:
+                    parent[one] = other
+                    u.append(int(ids[here[x]]))
+                    v.append(int(ids[there[y]]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    ship(sets.sparkSession)
+    return placed.join(sets, "id").select("b", "i", "j", "id", "c", "own", "elements", "counts").groupBy("b", "i", "j").applyInArrow(links, "u long, v long")
+
+
 def nodes_to_classes(docs: DataFrame, nodes: DataFrame, threshold: float, weighted: bool, words: int) -> DataFrame | None:
     """(node, component) of every node of ``nodes(id, key, bands)`` that has a link; None if there is none."""
     bands = nodes.select("id", F.explode("bands").alias("b"))
     # A table of its own: nothing but the join stands after the shuffle, so a hot bucket's rows can be split.
-    shared = cut(bands.groupBy("b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
+    shared = cut(bands.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = cut(bands.join(shared, "b"))
-    wanted = buckets.select("id").distinct()
-    sets = cut(shingle_sets(docs, cut(nodes.select("id", "key").join(wanted, "id")), weighted, words))
-    pair = lambda leader: F.struct(F.least(leader, "id").alias("u"), F.greatest(leader, "id").alias("v"))
-    edges = cut(buckets.select(F.explode(F.array(pair(F.col("low")), pair(F.col("high")))).alias("e")).select("e.*").where("u < v").distinct())
-    # Members that have not yet met all others of their bucket.
-    rest = buckets.where("id <> low and id <> high").select("b", "id")
-    names, degree, met, leaders = None, None, None, 1
-    with ExitStack() as tables:
-        # Written, not cut: a checkpoint hands on the estimated size of its plan, and those of joins multiply from
-        # round to round into numbers that take longer to plan with than the work does.
-        keep = lambda df: tables.enter_context(Written(df, "near"))
-        while True:
-            links = keep(_linked(edges, sets, threshold))
-            if not links.isEmpty():
-                # Links between classes; a class is named by a node, so the old naming joins the new one.
-                new = components(_classed(_classed(links, names, "u", "cu"), names, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-                if names is not None:
-                    moved = new.select(F.col("node").alias("component"), F.col("component").alias("_n"))
-                    kept = names.join(moved, "component", "left").select("node", F.coalesce("_n", "component").alias("component"))
-                    new = keep(kept.unionByName(new).groupBy("node").agg(F.min("component").alias("component")))
-                names = new
-                ends = links.select(F.explode(F.array("u", "v")).alias("id"), F.lit(1).alias("n"))
-                degree = keep((ends if degree is None else ends.unionByName(degree)).groupBy("id").agg(F.sum("n").cast("int").alias("n")))
-            # A bucket is open while its rest holds several classes. Its leaders are the members with most links so
-            # far; a leader meets every member of another class in the bucket, and so is done there.
-            named = _classed(rest, names, "id", "c")
-            unsettled = named.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
-            rest = keep(named.join(unsettled, "b"))
-            if rest.isEmpty():
-                return None if names is None else cut(names)
-            ranked = rest.withColumn("n", F.lit(0)) if degree is None else rest.join(degree, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-            place = F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), "id"))
-            led = keep(ranked.withColumn("_place", place).where(F.col("_place") <= leaders).select("b", F.col("id").alias("leader"), F.col("c").alias("lc")))
-            met = edges if met is None else met.unionByName(edges)
-            edges = keep(rest.join(led, "b").where("c <> lc").select(pair(F.col("leader")).alias("e")).select("e.*").distinct().join(met, ["u", "v"], "left_anti"))
-            rest = rest.join(led.select("b", F.col("leader").alias("id")), ["b", "id"], "left_anti").select("b", "id")
-            leaders *= WIDER
+    meets = cut(buckets.groupBy("id").agg(F.sum("n").alias("meets")))
+    sets = cut(shingle_sets(docs, cut(nodes.select("id", "key").join(meets.select("id"), "id")), weighted, words))
+    led = cut(buckets.join(meets, "id").groupBy("b").agg(F.max(F.struct("meets", (-F.col("id")).alias("id"))).alias("l")).select("b", (-F.col("l.id")).alias("leader")))
+    members = cut(buckets.join(led, "b").where("id <> leader").select("b", "id", "leader"))
+    edges = members.select(F.least("leader", "id").alias("u"), F.greatest("leader", "id").alias("v")).distinct()
+    links = cut(_linked(edges, sets, threshold))
+    names = None if links.isEmpty() else components(links)
+    rest = _classed(members.select("b", "id"), names, "id", "c")
+    unsettled = rest.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("b")
+    more = cut(_block_links(rest.join(unsettled, "b"), sets, threshold))
+    if more.isEmpty():
+        return names
+    # Links between classes; a class is named by a node, so the old naming joins the new one.
+    new = components(_classed(_classed(more, names, "u", "cu"), names, "v", "cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    if names is None:
+        return new
+    moved = new.select(F.col("node").alias("component"), F.col("component").alias("_n"))
+    kept = names.join(moved, "component", "left").select("node", F.coalesce("_n", "component").alias("component"))
+    return cut(kept.unionByName(new).groupBy("node").agg(F.min("component").alias("component")))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False, words: int = WORDS) -> DataFrame:

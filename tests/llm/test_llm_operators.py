@@ -417,24 +417,66 @@ def test_patterns_match_the_contract(text):
     assert info_pii.written([s for f in info_pii._FINDERS.values() for s in f(text)]) == reference_spans(text)
 
 
+def reference_terms(rows):
+    """Term spans of every row by counting all pairs of entities and terms."""
+    split = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    bases = [[(k, int(a), int(b)) for k, a, b in (s.split(":") for s in reference_spans(t).split(",") if s)] for _, t in rows]
+    n_t, texts_t, n_e, texts_e, n_te, texts_te, places = Counter(), defaultdict(set), Counter(), defaultdict(set), Counter(), defaultdict(set), []
+    for (_, text), base in zip(rows, bases, strict=True):
+        n_t.update({w.translate(LOWER) for w in split.findall(text)})
+        own = defaultdict(set)
+        for m in split.finditer(text) if base else ():
+            if all(b <= m.start() or m.end() <= a for _, a, b in base):
+                own[m[0].translate(LOWER)].add(m.span())
+        entities = {e for k, a, b in base for e in info_pii.protected(k, text[a:b])}
+        for e in entities:
+            n_e[e] += 1
+            texts_e[e].add(text)
+            for t in own:
+                n_te[e, t] += 1
+                texts_te[e, t].add(text)
+        places.append((entities, own))
+    out = []
+    for entities, own in places:
+        spans = set()
+        for e in entities:
+            for t, where in own.items():
+                prior = n_e[e] / len(rows)
+                given = (n_te[e, t] + info_pii.SMOOTHING * prior) / (n_t[t] + info_pii.SMOOTHING)
+                if len(texts_te[e, t]) > 1 and -math.log2(given) <= info_pii.SHORTFALL + 1e-12 and math.log2(given / prior) >= info_pii.GAIN - 1e-12:
+                    spans |= {f"term:{a}:{b}" for a, b in where}
+        out.append(frozenset(spans))
+    return out
+
+
 def test_personal_data(spark, make_docs, odd_rows):
     more = [(10**9 + i, f"filler{"abcd"[i]}xx text about quovadimus the person a.b@c.example.org lives {i}", "a") for i in range(4)] + [(10**9 + 300, "plain quovadis the person", "a")]
+    more += [(10**9 + 400 + i, f"Ana 王明 rings from ward {i} at +1 (212) 555-01{i}0", "b") for i in range(10, 13)]
     for docs in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), make_docs(odd_rows + more), make_docs([])):
         got = rows_of(info_pii.find(docs))
-        want = Counter((i, hashlib.sha256(reference_spans(t).encode()).hexdigest()) for i, t in read(docs))
-        assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == want
-        texts = dict(read(docs))
+        rows = read(docs)
+        want = Counter((i, hashlib.sha256(reference_spans(t).encode()).hexdigest(), terms) for (i, t), terms in zip(rows, reference_terms(rows), strict=True))
+        assert Counter((r["doc_id"], r["base_sha256"], frozenset(s for s in r["spans"].split(",") if s.startswith("term"))) for r in got) == want
+        texts = dict(rows)
+        if len(got) > 10:
+            assert any(r["n_term"] for r in got)
         for r in got:
             spans = r["spans"].split(",") if r["spans"] else []
-            assert set(filter(None, r["base"].split(","))) <= set(spans)
+            assert set(filter(None, r["base"].split(","))) <= set(spans) and (r["sanitised"] is None) == (not spans)
+            if spans and r["doc_id"] is not None:
+                assert r["sanitised"] == info_pii.redact(texts[r["doc_id"]], r["spans"])
+            terms = {texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans if s.startswith("term")} if spans else set()
             if 10**9 <= (r["doc_id"] or 0) < 10**9 + 4:
-                terms = {texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans if s.startswith("term")}
-                assert "quovadimus" in terms and "lives" in terms and not any("filler" in t for t in terms)
+                assert "quovadimus" in terms and "lives" in terms and not any("filler" in t for t in terms) and "quovadimus" not in r["sanitised"]
+            if (r["doc_id"] or 0) >= 10**9 + 400:
+                assert {"王明", "Ana"} <= terms
             if r["doc_id"] == 10**9 + 300:
                 assert not spans
-    clean = info_pii.sanitised(make_docs(odd_rows + more))
-    assert clean.columns == make_docs([]).columns and clean.count() == len(odd_rows + more)
-    assert "[email]" in [r.text for r in clean.where("doc_id = 1000000000").collect()][0]
+    docs = make_docs(odd_rows + more).selectExpr("*", "1 _id", "2 _key", "3 _spans", "4 sanitised")
+    clean = info_pii.sanitised(docs)
+    assert clean.columns == docs.columns and clean.count() == len(odd_rows + more)
+    first = clean.where("doc_id = 1000000000").collect()[0]
+    assert "[email]" in first.text and (first["_id"], first["_key"], first["_spans"], first["sanitised"]) == (1, 2, 3, 4)
 
 
 # 10 media
@@ -560,6 +602,35 @@ def test_near_classes_of_a_star(spark, make_docs):
     assert [got[i] for i in range(len(texts))] == want.tolist()
 
 
+def test_near_classes_of_one_template(spark, make_docs, monkeypatch):
+    """Pairs of variants of one long template, which share bands with all the others."""
+    rng = np.random.default_rng(11)
+    template = [f"t{i}" for i in range(600)]
+    texts = []
+    for i in range(150):
+        own = _edited(rng, template, 10 + i % 20, f"a{i}")
+        texts += [own, _edited(rng, own, 1 + i % 5, f"b{i}")]
+    want = _brute_classes(texts)
+    assert len(set(want.tolist())) > 20
+    docs = make_docs([(i, " ".join(t), "s") for i, t in enumerate(texts)])
+    for rows in (1_000, 7):  # whole buckets, and many blocks
+        monkeypatch.setattr(dart_minhash, "BLOCK_ROWS", rows)
+        got = {r["doc_id"]: r["class_id"] for r in dart_minhash.classes(docs).select("doc_id", "class_id").collect()}
+        assert [got[i] for i in range(len(texts))] == want.tolist()
+
+
+def test_block_links_equal_pairs():
+    rng = np.random.default_rng(6)
+    for weighted in (False, True):
+        sets = []
+        for _ in range(40):
+            x = np.sort(rng.choice(60, rng.integers(1, 40), replace=False)).astype(np.uint64)
+            sets.append((x.tobytes(), rng.integers(1, 4, len(x)).astype("<u4").tobytes() if weighted else b""))
+        units = [dart_minhash._units(a, n) for a, n in sets]
+        want = [[dart_minhash.similarity(a, b, m, n) >= 0.3 for b, n in sets[15:]] for a, m in sets[:15]]
+        assert (dart_minhash.block_links(units[:15], units[15:], 0.3) == np.array(want)).all()
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     elements = rng.integers(0, 2**48, 400).astype(np.uint64)
