@@ -4,19 +4,29 @@ Exchange clustering gives every word a class so that the likelihood of the
 corpus' class bigrams grows; a text's probability is the product of class
 transitions and word emissions.
 
-What is kept where: words are counted over the whole training corpus. Words
-with a share of at least ``ITEM_SHARE`` of all tokens (at most 1 / ITEM_SHARE
-of them, whatever the corpus) are exchange items of their own; all other words
-are emitted by one of ``BUCKETS`` items named by their ending, each word with
-its own count. Bigrams of items are counted by Spark over the whole corpus and
-stay distributed; each round reduces them to items times classes. Counts of
-words above ``HEAD_SHARE`` are broadcast (again a proven bound); the counts of
-the long tail reach the texts by a join, in which no word is frequent.
+Every word of the training corpus is clustered by its own contexts, in two
+steps. Words with a share of at least ``ITEM_SHARE`` of all tokens (at most
+1 / ITEM_SHARE of them, whatever the corpus) are exchanged one after another,
+in sweeps on the driver; all others stand for it in ``BUCKETS`` items named by
+their ending. Bigrams of items are counted by Spark over the whole corpus and
+stay distributed; each sweep reduces them to items times classes. Then Spark
+gathers the contexts of each of the other words over the whole corpus and moves
+the word from its ending's class to the class where the likelihood gains most,
+all words at once against the sweeps' class bigrams. Class bigrams are counted
+anew from the same contexts; a neighbour that is itself such a word counts for
+the classes of its ending by their share. An unknown word gets the class that
+most tokens of its ending have.
+
+What is kept where: word counts, contexts and classes of all words are tables
+that grow with the corpus. Counts and classes of words above ``HEAD_SHARE`` are
+broadcast (again a proven bound); those of the long tail reach the texts by a
+join, in which no word is frequent, token by token, so that transitions between
+them are those of the text.
 
 Probabilities: P(b | a) = (C(a, b) + T P(b)) / (C(a) + T) for classes, and
-(n + D) / (N + D S) for the items of a class, and for the words of a bucket,
-where one more word stands for all unknown ones. So the model sums to one over
-known words, one unknown word per bucket and the end.
+(n + D) / (N + D S) for the words of a class, where N is their tokens and S
+their number, one unknown word for each ending of the class included. So the
+model sums to one over known words, one unknown word per ending and the end.
 
 Defined results: null and empty texts are an end token alone; repeated rows
 and null identifiers are scored as rows of their own; without training texts
@@ -34,9 +44,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import Written, cut, filled, id_crc, map_pieces, split_words
 
 ITEM_SHARE, HEAD_SHARE = 2.0**-16, 2.0**-21
@@ -85,6 +96,7 @@ class Vocabulary:
     distinct: int
     bucket_tokens: np.ndarray
     bucket_words: np.ndarray
+    least: float  # count of a head word, at least
 
     @property
     def size(self) -> int:
@@ -104,14 +116,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, n_docs: int, item_share: float = ITEM_SHARE, head_share: float = HEAD_SHARE) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).collect()[0]
     tokens = int(total["n"]) + n_docs
-    # At most 1 / head_share words have such a share.
-    head = counts.where(F.col("n") >= max(1.0, head_share * tokens)).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    # At most 1 / head_share words have such a share (or 1 / item_share, as all items are head words).
+    least = max(1.0, min(head_share, item_share) * tokens)
+    head = counts.where(F.col("n") >= least).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
     n_items = int((head["n"] >= item_share * tokens).sum())
     per = counts.where(F.col("n") < item_share * tokens).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     bucket_tokens, bucket_words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in per:
         bucket_tokens[r["bucket"]], bucket_words[r["bucket"]] = r["n"], r["v"]
-    return Vocabulary(pa.array(head["word"], pa.string()), head["n"].to_numpy(np.int64), n_items, n_docs, tokens, int(total["v"]) + (n_docs > 0), bucket_tokens, bucket_words)
+    return Vocabulary(pa.array(head["word"], pa.string()), head["n"].to_numpy(np.int64), n_items, n_docs, tokens, int(total["v"]) + (n_docs > 0), bucket_tokens, bucket_words, least)
 
 
 def _sequence(texts: pa.Array, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -162,8 +175,8 @@ def _contexts(bigrams: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarr
         cells = np.bincount(group["cell"], weights=group["n"], minlength=BLOCK)
         return pd.DataFrame({"block": [key[0]], "cells": [zlib.compress(cells.tobytes(), 1)]})
 
-    # The driver gets the table as a few compressed blocks rather than as rows.
-    parts = bigrams.coalesce(16).mapInPandas(reduce, "block long, cell long, n double").groupBy("block").applyInPandas(pack, "block long, cells binary")
+    # Partial tables in as many tasks as run at once, summed block by block; the driver gets a few compressed blocks.
+    parts = bigrams.coalesce(max(16, bigrams.sparkSession.sparkContext.defaultParallelism)).mapInPandas(reduce, "block long, cell long, n double").groupBy("block").applyInPandas(pack, "block long, cells binary")
     both = np.zeros(-(-2 * size * k // BLOCK) * BLOCK)
     for r in parts.collect():
         both[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["cells"]))
@@ -215,15 +228,95 @@ def exchange(left: np.ndarray, right: np.ndarray, classes: np.ndarray, k: int) -
 @dataclass
 class ClassModel:
     known: Vocabulary
-    classes: np.ndarray
-    transition: np.ndarray  # log10 P(b | a)
-    emission: np.ndarray  # log10 P(item | its class), a bucket's normaliser included
+    classes: np.ndarray  # of items
+    head_classes: np.ndarray  # of the head words
+    unknown: np.ndarray  # class of an unknown word, by ending
+    step: np.ndarray  # log10 P(b | a), less log10 of b's normaliser: a word adds log10(n + D)
     history: list[float] = field(default_factory=list)
 
 
-def learn(docs: DataFrame, counts: DataFrame, n_docs: int, k: int = CLASSES, rounds: int = ROUNDS) -> ClassModel:
-    """Clusters the items of ``docs`` and estimates the model."""
-    known = vocabulary(counts, n_docs)
+def contexts(docs: DataFrame, known: Vocabulary, classes: np.ndarray, k: int) -> DataFrame:
+    """What stands around each word that is no item: word and code pairs (before, after) with their counts.
+
+    A code is a class for an item and ``k`` plus the ending for any other word.
+    """
+    width = k + len(known.bucket_tokens)
+    codes = np.concatenate([classes[: 1 + known.n_items], np.arange(k, width)])
+    shared = docs.sparkSession.sparkContext.broadcast((known, codes))
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known, codes = shared.value
+        items, _, which, _, distinct = _sequence(filled(batch.column(0), lower=True), known)
+        rare = np.flatnonzero(items > known.n_items)
+        code = codes[items]
+        around = np.concatenate([[codes[END]], code])[rare] * width + np.append(code, codes[END])[rare + 1]
+        keys, n = np.unique(which[rare] * width**2 + around, return_counts=True)
+        yield pa.record_batch([distinct.take(pa.array(keys // width**2)), pa.array(keys % width**2), pa.array(n.astype(np.int64))], names=["word", "around", "n"])
+
+    seen = map_pieces(docs.select("text"), work, "word string, around long, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
+    # A word has at most ``width`` squared pairs, and less than ITEM_SHARE of all tokens.
+    return seen.groupBy("word").agg(F.collect_list("around").alias("around"), F.collect_list("n").alias("n"))
+
+
+def _moved(word: np.ndarray, other: np.ndarray, n: np.ndarray, own: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Gain of every class for every word when its pairs with classes ``other`` join the rows of ``c``; the own class
+    already holds them."""
+    pairs, place = np.unique(word * len(c) + other, return_inverse=True)
+    total = np.bincount(place, weights=n, minlength=len(pairs))
+    w, b = np.divmod(pairs, len(c))
+    gain = np.zeros((len(own), len(c)))
+    for start in range(0, len(pairs), 1 << 14):
+        part = slice(start, start + (1 << 14))
+        with_own, m = c[:, b[part]].T, total[part][:, None]
+        without = with_own.copy()
+        mine = np.arange(len(without)), own[w[part]]
+        without[mine] = np.maximum(without[mine] - total[part], 0)
+        first = np.flatnonzero(np.append(True, np.diff(w[part]) > 0))
+        gain[w[part][first]] += np.add.reduceat(_xlogx(without + m) - _xlogx(without), first)
+    return gain
+
+
+def assigned(docs: DataFrame, known: Vocabulary, classes: np.ndarray, c: np.ndarray, k: int) -> DataFrame:
+    """word, bucket, n and class of every word that is no item; and, with a null word, partial counts of the pairs
+    (cell: side, class and code of the neighbour)."""
+    width = k + len(known.bucket_tokens)
+    mass = c.sum(0)
+    ending_class = classes[1 + known.n_items :]
+    shared = docs.sparkSession.sparkContext.broadcast((c, mass, ending_class))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, mass, ending_class = shared.value
+        cells = np.zeros((2, k, width))
+        class_of = np.concatenate([np.arange(k), ending_class])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1 << 13):
+                part = batch.slice(start, 1 << 13)
+                words = part.column(0)
+                bucket = buckets(words, width - k)
+                own, of = ending_class[bucket], np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+                around, n = (pc.list_flatten(part.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+                before, after = np.divmod(around, width)
+                total = np.bincount(of, weights=n, minlength=part.num_rows)
+                gain = _moved(of, class_of[after], n, own, c) + _moved(of, class_of[before], n, own, np.ascontiguousarray(c.T))
+                without = np.tile(mass, (part.num_rows, 1))
+                without[np.arange(part.num_rows), own] -= total
+                gain -= 2 * (_xlogx(without + total[:, None]) - _xlogx(without))
+                gain[:, END] = -np.inf
+                best = gain.argmax(1)
+                np.add.at(cells[0], (best[of], before), n)
+                np.add.at(cells[1], (best[of], after), n)
+                yield pa.record_batch([words, pa.array(bucket.astype(np.int32)), pa.array(total.astype(np.int64)), pa.array(best.astype(np.int32)), pa.nulls(part.num_rows, pa.int32())], names=["word", "bucket", "n", "class", "cell"])
+        some = np.flatnonzero(cells)
+        none = pa.nulls(len(some), pa.int32())
+        yield pa.record_batch([pa.nulls(len(some), pa.string()), none, pa.array(cells.reshape(-1)[some].astype(np.int64)), none, pa.array(some.astype(np.int32))], names=["word", "bucket", "n", "class", "cell"])
+
+    ship(docs.sparkSession)
+    return contexts(docs, known, classes, k).mapInArrow(choose, "word string, bucket int, n long, class int, cell int")
+
+
+def learn(docs: DataFrame, counts: DataFrame, n_docs: int, k: int = CLASSES, rounds: int = ROUNDS, item_share: float = ITEM_SHARE) -> tuple[ClassModel, DataFrame]:
+    """Clusters the words of ``docs`` and estimates the model; the second result has the words that are no items, with bucket, n and class."""
+    known = vocabulary(counts, n_docs, item_share, HEAD_SHARE)
     frequency = known.item_counts()
     classes = np.zeros(known.size, np.int64)
     order = np.argsort(-frequency[1:], kind="stable") + 1
@@ -240,80 +333,118 @@ def learn(docs: DataFrame, counts: DataFrame, n_docs: int, k: int = CLASSES, rou
                 break
             classes, left, right = moved, new_left, new_right
             history.append(reached)
-    c = class_bigrams(left, classes, k)
-    size = np.bincount(classes, minlength=k)
+        # Bigrams of which neither word is rare; all others are in the rare words' contexts.
+        both = (F.col("pair") / known.size < 1 + known.n_items) & (F.col("pair") % known.size < 1 + known.n_items)
+        plain = _contexts(bigrams.where(both), classes, k)[0]
+    found = cut(assigned(docs, known, classes, class_bigrams(left, classes, k), k))
+    rare = found.where("word is not null").drop("cell")
+    width = k + len(known.bucket_tokens)
+    cells = np.zeros(2 * k * width)
+    for r in found.where("word is null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        cells[r["cell"]] = r["n"]
+    before, after = cells.reshape(2, k, width)
+    # Tokens and words by ending and class: at most BUCKETS times classes rows.
+    tokens, words = np.zeros((len(known.bucket_tokens), k)), np.zeros(k)
+    for r in rare.groupBy("bucket", "class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        tokens[r["bucket"], r["class"]] = r["n"]
+        words[r["class"]] += r["v"]
+    unknown = np.where(tokens.sum(1) > 0, tokens.argmax(1), classes[1 + known.n_items :])
+    share = tokens / np.maximum(tokens.sum(1, keepdims=True), 1)
+    spread = np.vstack([np.eye(k), share])
+    c = class_bigrams(plain, classes, k) + (before @ spread).T
+    c += after[:, :k]
+    own = classes[: 1 + known.n_items]
+    mass = np.bincount(own, weights=frequency[: 1 + known.n_items], minlength=k) + tokens.sum(0)
+    size = np.bincount(own, minlength=k) + words + np.bincount(unknown, minlength=k)
     unigram = (c.sum(0) + D * (size > 0)) / max(1e-9, c.sum() + D * (size > 0).sum())
     transition = np.log10(np.maximum((c + T * unigram) / (c.sum(1)[:, None] + T), 1e-300))
-    mass = np.bincount(classes, weights=frequency, minlength=k)
-    emission = np.log10((frequency + D) / (mass + D * size)[classes])
-    emission[1 + known.n_items :] -= np.log10(known.bucket_tokens + D * (known.bucket_words + 1))
-    return ClassModel(known, classes, transition, emission, history)
+    head = dict(rare.where(F.col("n") >= known.least).select("word", "class").toPandas().itertuples(index=False, name=None))
+    head_classes = np.concatenate([classes[1 : 1 + known.n_items], [head.get(w, 0) for w in known.words[known.n_items :].to_pylist()]]).astype(np.int64)
+    return ClassModel(known, classes, head_classes, unknown, transition - np.log10(np.maximum(mass + D * size, 1e-300)), history), rare
 
 
-_PARTS = "word string, _row long, doc_id long, held_out boolean, k long, n_tokens long, n_known long, base double, model double"
+_PARTS = "word string, _row long, doc_id long, held_out boolean, pos int, before int, after int, own int, n_tokens long, n_known long, counts double, steps double"
 
 
 def _parts(docs: DataFrame, model: ClassModel) -> DataFrame:
-    """Per text, what the broadcast counts give (one row), and its tail words with how often they stand in it."""
+    """Per text, what the broadcast words give (one row, pos -1), and every token of the tail with the classes
+    around it (-1: the neighbour is such a token too) and the class it has if unknown."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (id_crc() % 10 == 0).alias("held_out")).withColumn("_row", F.monotonically_increasing_id())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    schema = pa.schema([(c.split()[0], kind) for c, kind in zip(_PARTS.split(", "), kinds, strict=True)])
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m, n = shared.value, batch.num_rows
         known = m.known
         items, owner, which, place, distinct = _sequence(filled(batch.column(1), lower=True), known)
-        class_of = m.classes[items]
-        step = m.transition[np.concatenate([[m.classes[END]], class_of[:-1]]), class_of] + m.emission[items]
         log_head = np.log10(np.concatenate([known.counts, [known.ends, 0]]) + D)
         spot = np.where(which >= 0, place[which] if len(place) else -1, len(known.counts))  # ends follow the head words
         in_head = spot >= 0
         count = np.where(in_head, log_head[np.maximum(spot, 0)], 0.0)
-        own_count = np.where(in_head & (items > known.n_items), count, 0.0)  # a bucket's word brings its own count
+        class_of = np.where(in_head, np.append(m.head_classes, [END, END])[np.maximum(spot, 0)], -1)
+        before = np.concatenate([[END], class_of[:-1]])
+        step = np.where(in_head & (before >= 0), m.step[before, class_of], 0.0)
         rows = batch.column(3).to_numpy()
-        here = pd.DataFrame(
-            {
-                "word": [f"\n{r}" for r in rows.tolist()],
-                "_row": rows,
-                "doc_id": batch.column(0).to_pandas().astype("Int64") if batch.column(0).null_count else batch.column(0).to_pandas(),
-                "held_out": batch.column(2).to_pandas(),
-                "k": 0,
-                "n_tokens": np.bincount(owner, minlength=n),
-                "n_known": np.bincount(owner, weights=in_head & (count > np.log10(D)), minlength=n).astype(np.int64),
-                "base": np.bincount(owner, weights=count, minlength=n),
-                "model": np.bincount(owner, weights=step + own_count, minlength=n),
-            }
-        )
-        schema = pa.schema([("word", pa.string()), ("_row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-        yield pa.RecordBatch.from_pandas(here, schema=schema, preserve_index=False)
-        width = max(1, len(distinct))
-        keys, times = np.unique(owner[~in_head] * width + which[~in_head], return_counts=True)
-        tail = len(keys)
-        yield pa.record_batch(
-            [distinct.take(pa.array(keys % width)) if tail else pa.array([], pa.string()), pa.array(rows[keys // width] if tail else np.zeros(0, np.int64)), pa.nulls(tail, pa.int64()), pa.nulls(tail, pa.bool_()), pa.array(times.astype(np.int64)), *(pa.nulls(tail, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-            schema=schema,
-        )
+        main = [
+            pa.array([f"\n{r}" for r in rows.tolist()], pa.string()),
+            batch.column(3),
+            batch.column(0),
+            batch.column(2),
+            pa.array(np.full(n, -1, np.int32)),
+            *(pa.nulls(n, pa.int32()) for _ in range(3)),
+            pa.array(np.bincount(owner, minlength=n)),
+            pa.array(np.bincount(owner, weights=in_head & (count > np.log10(D)), minlength=n).astype(np.int64)),
+            pa.array(np.bincount(owner, weights=count, minlength=n)),
+            pa.array(np.bincount(owner, weights=step, minlength=n)),
+        ]
+        yield pa.record_batch(main, schema=schema)
+        tail = np.flatnonzero(~in_head)
+        for start in range(0, len(tail), 1 << 16):
+            at = tail[start : start + (1 << 16)]
+            size = len(at)
+            yield pa.record_batch(
+                [
+                    distinct.take(pa.array(which[at])),
+                    pa.array(rows[owner[at]]),
+                    pa.nulls(size, pa.int64()),
+                    pa.nulls(size, pa.bool_()),
+                    *(pa.array(x.astype(np.int32)) for x in (at, before[at], class_of[at + 1], m.unknown[items[at] - 1 - known.n_items])),
+                    *(pa.nulls(size, t) for t in kinds[8:]),
+                ],
+                schema=schema,
+            )
 
     return map_pieces(keyed, work, _PARTS)
 
 
-def score(docs: DataFrame, k: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, k: int = CLASSES, rounds: int = ROUNDS, item_share: float = ITEM_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row."""
+    spark = docs.sparkSession
     taught = training(docs)
     counts = cut(word_counts(taught))
-    model = learn(taught, counts, taught.count(), k, rounds)
+    model, rare = learn(taught, counts, taught.count(), k, rounds, item_share)
     known = model.known
-    tail = counts.where(F.col("n") < max(1.0, HEAD_SHARE * known.tokens)).select("word", F.col("n").alias("c"))
-    joined = _parts(docs, model).join(tail, "word", "left")
-    log_count = F.col("k") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + D)
-    summed = joined.groupBy("_row").agg(
+    tail = rare.where(F.col("n") < known.least).select("word", F.col("n").alias("c"), "class")
+    steps = spark.createDataFrame([(int(a * k + b), float(model.step[a, b])) for a in range(k) for b in range(k)], "pair int, step double")
+    token = F.col("pos") >= 0
+    joined = _parts(docs, model).join(tail, "word", "left").withColumn("own", F.coalesce("class", "own"))
+    # A neighbour of the tail is the row before, of the same text.
+    before = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.lag("own").over(Window.partitionBy("_row").orderBy("pos")))
+    walked = joined.withColumn("into", F.when(token, before * k + F.col("own"))).withColumn("out_of", F.when(token & (F.col("after") >= 0), F.col("own") * k + F.col("after")))
+    for pair in ("into", "out_of"):
+        # As many rows as pairs of classes.
+        walked = walked.join(F.broadcast(steps.select(F.col("pair").alias(pair), F.col("step").alias(f"{pair}_step"))), pair, "left")
+    log_count = F.when(token, F.log10(F.coalesce("c", F.lit(0)) + D)).otherwise(0.0)
+    summed = walked.groupBy("_row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("n_known", F.lit(0))) + F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0))).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + log_count).alias("counts"),
-        F.sum(F.coalesce("model", F.lit(0.0)) + log_count).alias("score"),
+        (F.sum(F.coalesce("n_known", F.lit(0))) + F.count("c")).alias("n_known"),
+        F.sum(F.coalesce("counts", F.lit(0.0)) + log_count).alias("counts"),
+        F.sum(F.coalesce("steps", F.lit(0.0)) + F.coalesce("into_step", F.lit(0.0)) + F.coalesce("out_of_step", F.lit(0.0))).alias("steps"),
     )
-    # A row of the first kind has k = 0, so its log_count is 0.
+    score = F.col("counts") + F.col("steps")
     norm = float(np.log10(known.tokens + D * (known.distinct + 1)))
     return summed.select(
         "doc_id",
@@ -322,6 +453,6 @@ def score(docs: DataFrame, k: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
         "n_known",
         F.lit(known.tokens).cast("long").alias("train_tokens"),
         (F.col("counts") - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+        score.alias("score"),
+        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )

@@ -11,8 +11,9 @@ documents, ``PAIRS`` pairs); every document is scored.
 
 Defined results: null and empty texts get the features of an empty text and
 are scored; labels without a document, without a value or with a null
-identifier are ignored, repeated labels count by their largest value; without
-both classes every score is 0.5; very long texts are read whole; extra columns
+identifier are ignored, repeated labels count by their largest value, and of
+documents with one identifier the one with the least features is learned from;
+without both classes every score is 0.5; very long texts are read whole; extra columns
 are ignored by ``score`` and carried by ``accepted``.
 """
 
@@ -153,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> R
     # The sample is bounded by ``train_rows`` pairs of numbers, so it is broadcast and only its texts are read on.
     sample = F.broadcast(marked)
     rows = features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample.select("doc_id"), "doc_id"))
-    got = rows.join(sample, "doc_id").select("doc_id", "_y", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
+    # One row per identifier, reduced before the shuffle: however often one stands in the documents, the sample keeps its bound.
+    one = rows.join(sample, "doc_id").groupBy("doc_id", "_y").agg(F.min(F.struct(*FEATURES)).alias("f")).select("doc_id", "_y", "f.*")
+    got = one.toPandas().sort_values("doc_id")
     return fit(got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["_y"].to_numpy(int))
 
 

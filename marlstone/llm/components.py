@@ -1,4 +1,8 @@
-"""Connected components by least labels with pointer jumping, all in DataFrames."""
+"""Connected components by least labels with pointer jumping, all in DataFrames.
+
+Defined results: repeated edges and edges of a node to itself change nothing (a node with
+no other edge has no row); rows with a null end are no edges; no edges give an empty table.
+"""
 
 from __future__ import annotations
 

@@ -2,12 +2,16 @@
 
 All rolling word k-grams of a text are coded over the templates' vocabulary and
 joined, in Spark, to the positions of equal k-grams in the license templates. A
-hit votes for the diagonal ``text position - template position``; neighbouring
-diagonals merge, so inserted or dropped words don't break a span; a span counts
-when enough of the template's k-grams stand in it. Codes are exact (a k-gram's
-words can be read back from its code), so a hit proves equal words. K-grams
-with a word outside the vocabulary can't equal a template's and are left out
-before the join.
+hit votes for the diagonal ``text position - template position``; a diagonal
+merges with its neighbours up to ``SLACK`` words further, so inserted, dropped
+and changed words don't break a span. A span is verified by the words of the
+template that its hits cover, each word counted once: repeats of one k-gram
+can't stand in for missing words. Of overlapping spans of a template the one
+that covers most stays. Codes are exact (a k-gram's words can be read back from
+its code), so a hit proves equal words. K-grams with a word outside the
+vocabulary can't equal a template's and are left out before the join. Templates
+of any length are a parameter; short ones use pairs of words, so that one
+changed word leaves enough of them.
 
 Defined results: null and empty texts have no words and empty labels; repeated
 rows and null identifiers give rows of their own; overlapping places all count;
@@ -48,10 +52,10 @@ TEMPLATES = {
     "this work is licensed under a creative commons attribution license": "creative-commons",
 }
 
-#: Words of a k-gram; shorter phrases use their own length.
-K = 3
-#: Diagonals at most so far apart merge; a span needs this share of its template's k-grams.
-NEAR, COVER = 2, 0.75
+#: Words of a k-gram, and of a k-gram in templates of at most SHORT words; phrases use their own length.
+K, SHORT_K, SHORT = 3, 2, 12
+#: Diagonals at most so far apart merge; a span needs this share of its template's words.
+SLACK, COVER = 8, 0.75
 _WORD_BITS = 20
 _WORDS = byte_table("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -59,19 +63,19 @@ _WORDS = byte_table("abcdefghijklmnopqrstuvwxyz0123456789")
 class Templates:
     """Vocabulary and k-gram positions of phrases and templates."""
 
-    def __init__(self, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, k: int = K):
+    def __init__(self, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES):
         self.rows: list[tuple[int, int, int]] = []  # code, template, position
-        self.labels: list[tuple[int, str, bool, int, int]] = []  # template, label, base, k, k-grams
+        self.labels: list[tuple[int, str, bool, int, int]] = []  # template, label, base, k, words
         words = [(text.split(), label, True) for text, label in base.items()] + [(text.split(), label, False) for text, label in templates.items()]
         self.vocabulary = sorted({w for ws, _, _ in words for w in ws})
         number = {w: i + 1 for i, w in enumerate(self.vocabulary)}
         self.sizes: set[int] = set()
         for t, (ws, label, is_base) in enumerate(words):
-            own = min(len(ws), len(ws) if is_base else k)
+            own = min(len(ws), len(ws) if is_base else SHORT_K if len(ws) <= SHORT else K)
             self.sizes.add(own)
             for at in range(len(ws) - own + 1):
                 self.rows.append((self.code([number[w] for w in ws[at : at + own]]), t, at))
-            self.labels.append((t, label, is_base, own, len(ws) - own + 1))
+            self.labels.append((t, label, is_base, own, len(ws)))
         if max(self.sizes) > 3:
             raise ValueError("phrases of over three words belong to the templates")
 
@@ -117,23 +121,26 @@ def kgrams(docs: DataFrame, templates: Templates) -> DataFrame:
     return rows.withColumn("_row", F.monotonically_increasing_id())
 
 
-def spans(grams: DataFrame, templates: Templates, near: int = NEAR, cover: float = COVER) -> DataFrame:
+def spans(grams: DataFrame, templates: Templates, slack: int = SLACK, cover: float = COVER) -> DataFrame:
     """Verified spans: _row, label, base, first and last word, coverage."""
     spark = grams.sparkSession
     # Both tables are as large as the templates, a few hundred rows.
     places = F.broadcast(spark.createDataFrame(templates.rows, "code long, template int, at int"))
-    labels = F.broadcast(spark.createDataFrame(templates.labels, "template int, label string, base boolean, k int, n_grams int"))
+    labels = F.broadcast(spark.createDataFrame(templates.labels, "template int, label string, base boolean, k int, n_words int"))
     hits = grams.select("_row", F.inline("grams")).join(places, "code").withColumn("diagonal", F.col("pos") - F.col("at"))
-    votes = hits.groupBy("_row", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")).join(labels, "template")
+    # A diagonal has each position of the template once at most.
+    votes = hits.groupBy("_row", "template", "diagonal").agg(F.collect_set("at").alias("at"), F.min("pos").alias("first"), F.max("pos").alias("last")).join(labels, "template")
     exact = votes.where("base").select("_row", "label", "base", "first", (F.col("last") + F.col("k") - 1).alias("last"), F.lit(1.0).alias("coverage"))
     along = Window.partitionBy("_row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(along) > near) | F.lag("diagonal").over(along).isNull()
-    merged = votes.where("not base").withColumn("_group", F.sum(apart.cast("int")).over(along)).groupBy("_row", "template", "_group", "label", "k", "n_grams")
-    merged = merged.agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    # Verification: enough of the template inside a span not much longer than it.
-    fits = (F.col("votes") >= cover * F.col("n_grams")) & (F.col("last") - F.col("first") < 2 * F.col("n_grams") + 2 * near)
-    loose = merged.where(fits).select("_row", "label", F.lit(False).alias("base"), "first", (F.col("last") + F.col("k") - 1).alias("last"), F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")).alias("coverage"))
-    return exact.unionByName(loose)
+    near = along.rangeBetween(0, slack)
+    covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("at").over(near)), lambda a: F.sequence(a, a + F.col("k") - 1))))
+    merged = votes.where("not base").withColumns({"coverage": F.size(covered) / F.col("n_words"), "first": F.min("first").over(near), "last": F.max("last").over(near) + F.col("k") - 1})
+    found = merged.where((F.col("coverage") >= cover) & (F.col("last") - F.col("first") < F.col("n_words") + 2 * slack))
+    # Neighbouring diagonals find the same place again: the best of each run of them stays.
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True))
+    runs = found.withColumn("_run", F.sum(apart.cast("int")).over(along)).groupBy("_row", "template", "_run", "label")
+    best = runs.agg(F.max(F.struct("coverage", (-F.col("diagonal")).alias("d"), "first", "last")).alias("s"))
+    return exact.unionByName(best.select("_row", "label", F.lit(False).alias("base"), "s.first", "s.last", "s.coverage"))
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -16,7 +16,8 @@ of one text prove nothing.
 
 Counting covers all documents and terms; what can't disclose anything is left
 out by its counts before pairs are made: terms of a single text with personal
-data, and terms in more documents than the entity can outweigh.
+data, and terms that stand in more documents without personal data than all
+those with it, or than the entity's, could outweigh.
 
 Defined results: null and empty texts have no spans; repeated rows and null
 identifiers give rows of their own; matches of one kind don't overlap, those of
@@ -32,6 +33,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -152,12 +154,12 @@ def protected(kind: str, value: str) -> list[str]:
 
 _FOUND = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, text_key long, "
-    "entities array<long>, terms array<struct<term: string, spans: string>>, text string"
+    "entities array<long>, text string"
 )
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """Pattern matches of every row; entities (as hashes), terms and the text only where there are any."""
+    """Pattern matches of every row; entities (as hashes) and the text only where there are any."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = filled(batch.column(1))
@@ -166,7 +168,6 @@ def matches(docs: DataFrame) -> DataFrame:
         counts = {k: np.zeros(n, np.int64) for k in _FINDERS}
         base = [""] * n
         entities: list[list[int] | None] = [None] * n
-        found_terms: list[list[dict] | None] = [None] * n
         held: list[str | None] = [None] * n
         for i in np.flatnonzero(np.logical_or.reduce(list(hints.values()))).tolist():
             text, spans = texts[i].as_py(), []
@@ -178,7 +179,6 @@ def matches(docs: DataFrame) -> DataFrame:
             if spans:
                 base[i], held[i] = written(spans), text
                 entities[i] = sorted({_number(e) for k, a, b in spans for e in protected(k, text[a:b])})
-                found_terms[i] = [{"term": t, "spans": written([("term", *p) for p in places])} for t, places in terms(text, spans).items()]
         yield pa.record_batch(
             [
                 batch.column(0),
@@ -186,16 +186,31 @@ def matches(docs: DataFrame) -> DataFrame:
                 pa.array(base, pa.string()),
                 batch.column(2),
                 pa.array(entities, pa.list_(pa.int64())),
-                pa.array(found_terms, pa.list_(pa.struct([("term", pa.string()), ("spans", pa.string())]))),
                 pa.array(held, pa.string()),
             ],
-            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "text_key", "entities", "terms", "text"],
+            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "text_key", "entities", "text"],
         )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_key"))
     return map_pieces(keyed, work, _FOUND).withColumn("_row", F.monotonically_increasing_id())
 
 
+def read_spans(text: str) -> list[Span]:
+    """Spans as ``written`` puts them."""
+    return [(kind, int(a), int(b)) for kind, a, b in (s.split(":") for s in text.split(",") if s)]
+
+
+def holder_terms(found: DataFrame) -> DataFrame:
+    """_row, text_key and each term outside the matches, of the rows that have matches."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = [list(terms(t, read_spans(b))) for t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(o) for o in own]))
+        yield pa.record_batch([batch.column(2).take(at), batch.column(3).take(at), pa.array([t for o in own for t in o], pa.string())], names=["_row", "text_key", "term"])
+
+    return map_pieces(found.where("text is not null").select("text", "base", "_row", "text_key"), work, "_row long, text_key long, term string")
+
+
 def _spots(words: pa.Array) -> np.ndarray:
     return (word_hashes(words) % np.uint64(FILTER_BITS)).astype(np.int64)
 
@@ -229,19 +244,18 @@ def disclosures(found: DataFrame, docs: DataFrame, shortfall: float = SHORTFALL,
     """Pairs (entity, term) that disclose, with their bits, and the occurrences they were counted from."""
     two_texts = F.min("text_key") < F.max("text_key")
     n_docs = found.count()
-    holders = found.where("entities is not null")
-    single = holders.select("_row", "text_key", F.explode("entities").alias("entity"))
+    single = found.where("entities is not null").select("_row", "text_key", F.explode("entities").alias("entity"))
     entities = cut(single.groupBy("entity").agg(F.count("*").alias("n_e"), two_texts.alias("two")).where("two").drop("two"))
-    most = entities.agg(F.max("n_e")).collect()[0][0] or 0
-    # P(e | t) reaches the share only if the entity's documents outweigh the term's.
+    # P(e | t) reaches the share only if the entity's documents, and all documents with personal data, outweigh the term's.
     share = 2.0**-shortfall
-    can = lambda n_e: n_e * F.lit(1 + SMOOTHING / max(1, n_docs)) >= share * (F.col("n_t") + SMOOTHING)
-    own = holders.select("_row", "text_key", F.inline("terms"))
-    seen = cut(own.groupBy("term").agg(two_texts.alias("two")).where("two").select("term"))
-    rare = cut(document_frequencies(docs, seen).where(can(F.lit(most))))
+    can = lambda n: n + F.lit(SMOOTHING) * (n / F.lit(float(max(1, n_docs)))) >= share * (F.col("n_t") + SMOOTHING)
+    own = holder_terms(found)
+    seen = cut(own.groupBy("term").agg(F.count("*").alias("n_h"), two_texts.alias("two")).where("two").drop("two"))
+    counted = document_frequencies(docs, seen.select("term"))
+    rare = cut(counted.join(seen, "term").where(F.col("n_h") + SMOOTHING >= share * (F.col("n_t") + SMOOTHING)).select("term", "n_t"))
     by_row = single.join(entities, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "n_e")).alias("held"))
-    held = own.join(rare, "term").join(by_row, "_row").select("_row", "text_key", "term", "spans", "n_t", F.explode(F.filter("held", lambda e: can(e["n_e"]))).alias("e"))
-    pairs = cut(held.select("_row", "text_key", "term", "spans", "n_t", "e.entity", "e.n_e"))
+    held = own.join(rare, "term").join(by_row, "_row").select("_row", "text_key", "term", "n_t", F.explode(F.filter("held", lambda e: can(e["n_e"]))).alias("e"))
+    pairs = cut(held.select("_row", "text_key", "term", "n_t", "e.entity", "e.n_e"))
     together = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te"), two_texts.alias("two")).where("two")
     prior = F.col("n_e") / F.lit(float(max(1, n_docs)))
     given = (F.col("n_te") + SMOOTHING * prior) / (F.col("n_t") + SMOOTHING)
@@ -253,18 +267,21 @@ def find(docs: DataFrame, shortfall: float = SHORTFALL, gain: float = GAIN) -> D
     """Counts, base spans, all spans (with disclosing terms) of every row, and its sanitised text where that differs."""
     found = cut(matches(docs))
     strong, pairs = disclosures(found, docs, shortfall, gain)
-    strong = cut(strong)
-    flagged = pairs.join(strong, ["entity", "term"]).groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("spans")), ",").alias("more"), F.size(F.collect_set("term")).cast("long").alias("n_term"))
-    rank = F.create_map(*(F.lit(x) for k, r in _RANK.items() for x in (k, r)))
-    every = F.transform(
-        F.filter(F.split(F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.col("more")), ","), lambda s: s != ""),
-        lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), rank[F.split(s, ":")[0]].alias("k"), F.split(s, ":")[2].cast("int").alias("b"), s.alias("s")),
-    )
-    spans = F.array_join(F.transform(F.array_sort(every), lambda x: x["s"]), ",")
-    clean = F.pandas_udf(lambda texts, places: texts.combine(places, redact), "string")
+    flagged = pairs.join(cut(strong), ["entity", "term"]).groupBy("_row").agg(F.collect_set("term").alias("terms"))
+
+    @F.pandas_udf("spans string, n_term long, sanitised string")
+    def clean(texts: pd.Series, bases: pd.Series, flagged: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, base, names in zip(texts, bases, flagged):
+            spans, names = read_spans(base), () if names is None else set(names)
+            if names:
+                spans += [("term", *place) for term, places in terms(text, spans).items() if term in names for place in places]
+            every = written(spans)
+            rows.append((every, len(names), redact(text, every)))
+        return pd.DataFrame(rows, columns=["spans", "n_term", "sanitised"])
+
     counts = ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")]
-    held = found.where("text is not null").drop("entities", "terms").join(flagged, "_row", "left").withColumn("spans", spans)
-    held = held.select(*counts, "spans", F.coalesce("n_term", F.lit(0)).cast("long").alias("n_term"), clean("text", "spans").alias("sanitised"))
+    held = found.where("text is not null").join(flagged, "_row", "left").withColumn("c", clean("text", "base", "terms")).select(*counts, "c.*")
     free = found.where("text is null").select(*counts, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_term"), F.lit(None).cast("string").alias("sanitised"))
     return held.unionByName(free)
 

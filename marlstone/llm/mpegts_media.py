@@ -1,10 +1,11 @@
 """Media columns: MPEG transport streams (ISO/IEC 13818-1).
 
 ``mux`` stores a byte payload losslessly in a single-program transport stream
-with private PES data; ``parse`` is a general reader that works on any such
-stream: it walks the program association and program map tables (checking
-their CRC), checks continuity counters, reassembles PES packets and keeps
-their time stamps and random-access points.
+with private PES data; ``parse`` is a general reader: it reassembles the sections
+of program association and program map tables, over as many packets as they
+take (checking their CRC), checks continuity counters, reassembles PES packets
+and keeps the time stamp of each and whether decoding can start there. Damage
+is counted: whatever the bytes, reading ends without an exception.
 
 Defined results: a null text counts as empty; an empty payload is one block of
 64 zero bytes; very long texts become many PES packets; equal texts give equal
@@ -34,7 +35,7 @@ BLOCK = 64
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, feature string"
+    "media_bytes long, media_sha256 string, feature string, time_stamps array<long>, random_access array<boolean>"
 )
 
 
@@ -123,34 +124,72 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """One elementary stream as read back."""
+    """One elementary stream as read back; ``pts`` and ``entry`` have one element per PES packet."""
 
     stream_type: int = 0
     payload: bytes = b""
-    pts: list[int] = field(default_factory=list)
-    random_access: list[int] = field(default_factory=list)
-    pes_packets: int = 0
+    pts: list[int | None] = field(default_factory=list)
+    entry: list[bool] = field(default_factory=list)
     truncated: int = 0
 
+    @property
+    def pes_packets(self) -> int:
+        return len(self.pts)
+
+    @property
+    def random_access(self) -> list[int]:
+        """Numbers of the PES packets that are random-access points."""
+        return [i for i, e in enumerate(self.entry) if e]
+
 
 @dataclass
 class Transport:
     packets: int = 0
     lost_sync: int = 0
     continuity_errors: int = 0
+    bad_packets: int = 0
     bad_tables: int = 0
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, Stream] = field(default_factory=dict)
 
 
-def _read_section(data: bytes, table_id: int) -> bytes | None:
+class Sections:
+    """Puts the sections of one table PID together, packet by packet."""
+
+    def __init__(self):
+        self.held: bytes | None = None
+
+    def lost(self) -> bool:
+        """Forgets an unfinished section; whether there was one."""
+        was, self.held = bool(self.held), None
+        return was
+
+    def feed(self, payload: bytes, starts: bool) -> Iterator[bytes]:
+        """Sections that end in ``payload``, from table_id to CRC; a packet that ``starts`` one points to its first byte."""
+        if starts:
+            first = 1 + payload[0] if payload else 1
+            if self.held is not None:
+                yield from self._take(payload[1:first])
+            self.held = b""
+            payload = payload[first:]
+        if self.held is not None:
+            yield from self._take(payload)
+
+    def _take(self, data: bytes) -> Iterator[bytes]:
+        self.held += data
+        while len(self.held) >= 3 and self.held[0] != 0xFF:
+            end = 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])
+            if len(self.held) < end:
+                return
+            yield self.held[:end]
+            self.held = self.held[end:]
+        if self.held[:1] in (b"", b"\xff"):  # stuffing up to the packet's end
+            self.held = None
+
+
+def _section_body(section: bytes, table_id: int) -> bytes | None:
     """The body between the section header and the CRC, or None if it doesn't check."""
-    start = 1 + data[0]
-    if start + 3 > len(data) or data[start] != table_id:
-        return None
-    length = (data[start + 1] & 0x0F) << 8 | data[start + 2]
-    section = data[start : start + 3 + length]
-    if len(section) < 3 + length or length < 9 or crc32_mpeg(section):
+    if section[0] != table_id or len(section) < 12 or not section[5] & 1 or crc32_mpeg(section):
         return None
     return section[8:-4]
 
@@ -160,16 +199,17 @@ def _read_pts(raw: bytes) -> int:
 
 
 def parse(media: bytes) -> Transport:
-    """Reads a transport stream; damaged packets are counted, never raised on."""
+    """Reads a transport stream; damage is counted, never raised on."""
     result = Transport(packets=len(media) // PACKET)
     counters: dict[int, int] = {}
-    table_pids: dict[int, int] = {}
-    seen_tables: dict[int, bytes] = {}
-    parts: dict[int, list[bytes]] = {}
+    tables: dict[int, Sections] = {0: Sections()}
+    known: dict[int, set[bytes]] = {0: set()}
+    parts: dict[int, tuple[list[bytes], bool]] = {}
     done: dict[int, list[bytes]] = {}
 
     def finish(pid: int) -> None:
-        raw = b"".join(parts.pop(pid, ()))
+        pieces, entry = parts.pop(pid, ((), False))
+        raw = b"".join(pieces)
         if not raw:
             return
         stream = result.streams[pid]
@@ -178,63 +218,75 @@ def parse(media: bytes) -> Transport:
             return
         length, start = int.from_bytes(raw[4:6], "big"), 9 + raw[8]
         end = 6 + length if length else len(raw)
-        stream.truncated += end > len(raw)
-        if raw[7] & 0x80 and len(raw) >= 14:
-            stream.pts.append(_read_pts(raw[9:14]))
-        stream.pes_packets += 1
+        stream.truncated += end > len(raw) or start > end
+        stream.pts.append(_read_pts(raw[9:14]) if raw[7] & 0x80 and raw[8] >= 5 and len(raw) >= 14 else None)
+        stream.entry.append(entry)
         done[pid].append(raw[start:end])
 
+    def read_table(pid: int, section: bytes) -> None:
+        if section in known[pid]:
+            return
+        content = _section_body(section, 0 if pid == 0 else 2)
+        if content is None:
+            result.bad_tables += 1
+            return
+        known[pid].add(section)
+        if pid == 0:
+            for i in range(0, len(content) - 3, 4):
+                program, own = content[i] << 8 | content[i + 1], (content[i + 2] & 0x1F) << 8 | content[i + 3]
+                if program and own not in result.streams:
+                    result.programs[program] = own
+                    tables.setdefault(own, Sections())
+                    known.setdefault(own, set())
+            return
+        if len(content) < 4:
+            result.bad_tables += 1
+            return
+        i = 4 + ((content[2] & 0x0F) << 8 | content[3])
+        while i + 5 <= len(content):
+            own = (content[i + 1] & 0x1F) << 8 | content[i + 2]
+            if own in tables:
+                result.bad_tables += 1  # a table's packets are no elementary stream
+            elif own not in result.streams:
+                result.streams[own] = Stream(stream_type=content[i])
+                done[own] = []
+            i += 5 + ((content[i + 3] & 0x0F) << 8 | content[i + 4])
+
     for at in range(0, result.packets * PACKET, PACKET):
         if media[at] != 0x47:
             result.lost_sync += 1
             continue
         pid = (media[at + 1] & 0x1F) << 8 | media[at + 2]
-        unit_start, control = media[at + 1] & 0x40, media[at + 3]
+        starts, control = bool(media[at + 1] & 0x40), media[at + 3]
         body, random_access = at + 4, False
         if control & 0x20:
             size = media[body]
+            if size > (182 if control & 0x10 else 183):
+                result.bad_packets += 1
+                continue
             random_access = bool(size and media[body + 1] & 0x40)
             body += 1 + size
         if not control & 0x10:
             continue
         count, before = control & 15, counters.get(pid)
         counters[pid] = count
-        if before is not None and count != (before + 1) & 15:
+        gap = before is not None and count != (before + 1) & 15
+        if gap:
             if count == before:
                 continue  # a packet sent twice
             result.continuity_errors += 1
         if pid in result.streams:
-            if unit_start:
+            if starts:
                 finish(pid)
-                parts[pid] = []
-                if random_access:
-                    result.streams[pid].random_access.append(result.streams[pid].pes_packets)
+                parts[pid] = ([], random_access)
             if pid in parts:
-                parts[pid].append(media[body : at + PACKET])
-        elif pid == 0 or pid in table_pids:
-            data = media[body : at + PACKET]
-            if seen_tables.get(pid) == data:
-                continue
-            content = _read_section(data, 0 if pid == 0 else 2)
-            if content is None:
-                result.bad_tables += 1
-                continue
-            seen_tables[pid] = data
-            if pid == 0:
-                for i in range(0, len(content) - 3, 4):
-                    program = content[i] << 8 | content[i + 1]
-                    if program:
-                        result.programs[program] = table_pids_pid = (content[i + 2] & 0x1F) << 8 | content[i + 3]
-                        table_pids[table_pids_pid] = program
-                continue
-            i = 4 + ((content[2] & 0x0F) << 8 | content[3])
-            while i + 5 <= len(content):
-                own = (content[i + 1] & 0x1F) << 8 | content[i + 2]
-                result.streams.setdefault(own, Stream(stream_type=content[i]))
-                done.setdefault(own, [])
-                i += 5 + ((content[i + 3] & 0x0F) << 8 | content[i + 4])
-        if pid in table_pids and pid in result.streams:
-            result.bad_tables += 1
+                parts[pid][0].append(media[body : at + PACKET])
+        elif pid in tables:
+            if gap:
+                result.bad_tables += tables[pid].lost()
+            for section in tables[pid].feed(media[body : at + PACKET], starts):
+                read_table(pid, section)
+    result.bad_tables += sum(bool(t.held) for t in tables.values())
     for pid in list(result.streams):
         finish(pid)
         result.streams[pid].payload = b"".join(done[pid])
@@ -250,11 +302,12 @@ def padded(text: str | bytes | None) -> tuple[bytes, int]:
 def feature(read: Transport) -> str:
     """Structure as text: tables, packets, continuity, time stamps, random-access points."""
     stream = next(iter(read.streams.values()), Stream())
-    span = f"{stream.pts[0]}-{stream.pts[-1]}" if stream.pts else "-"
+    known = [p for p in stream.pts if p is not None]
+    span = f"{known[0]}-{known[-1]}" if known else "-"
     return (
         f"programs={len(read.programs)};streams={len(read.streams)};packets={read.packets};pes={stream.pes_packets};"
         f"pts={span};random_access={','.join(map(str, stream.random_access))};"
-        f"continuity_errors={read.continuity_errors};lost={read.lost_sync + read.bad_tables + stream.truncated}"
+        f"continuity_errors={read.continuity_errors};lost={read.lost_sync + read.bad_packets + read.bad_tables + stream.truncated}"
     )
 
 
@@ -265,21 +318,19 @@ def transport_streams(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = [[] for _ in range(9)]
+        rows: list[list] = [[] for _ in range(11)]
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             payload, size = padded(text.as_buffer().to_pybytes() if text.is_valid else None)
             media = mux(payload)
             read = parse(media)
-            back = next(iter(read.streams.values())).payload
-            for column, value in zip(
-                rows,
-                (key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(read), media if keep_media else None),
-                strict=True,
-            ):
+            stream = next(iter(read.streams.values()))
+            back = stream.payload
+            values = (key, size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(read), stream.pts, stream.entry, media if keep_media else None)
+            for column, value in zip(rows, values, strict=True):
                 column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-        n = 9 if keep_media else 8
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "time_stamps", "random_access", "media"]
+        n = 11 if keep_media else 10
         yield pa.record_batch([pa.array(v, k) for v, k in zip(rows[:n], kinds, strict=False)], names=names[:n])
 
     return map_pieces(docs.selectExpr("cast(doc_id as long) doc_id", "text"), work, SCHEMA + (", media binary" if keep_media else ""))
