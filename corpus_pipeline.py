@@ -2,6 +2,13 @@
 
 Each stage is one operator of ``marlstone.llm`` over everything its predecessor
 kept, written as Parquet and read again. Part of that subpackage.
+
+Defined results: null and empty texts are scored like any other, and are copies
+of one another to both deduplication stages, of which the largest identifier
+stays; null identifiers are kept apart by their texts; of repeated rows one
+stays; texts without words are never taken by the mix; very long texts are read
+whole and packed in pieces; an empty table gives an empty table; extra columns,
+whatever their names, are carried up to the mix.
 """
 
 from __future__ import annotations
@@ -45,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each stage's table goes once its successor is written."""
+    """All stages in order; each stage's table goes once its successor is written, the last of them once packing has
+    put its pieces into a table of its own."""
     docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         table = Written(stage(spark, docs, sf_dir), f"pipeline-{name}")
@@ -53,4 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             before.__exit__()
         before = table
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    if before is not None:
+        before.__exit__()
+    return packed

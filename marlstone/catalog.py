@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import retrieval, storage, trees, versioning
+from .queries import library, retrieval, storage, trees, versioning
 
-FAMILIES = (trees, retrieval, versioning, storage)
+FAMILIES = (trees, retrieval, versioning, storage, library)
 
 
 def queries() -> dict:

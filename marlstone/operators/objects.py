@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.encoding import decode, note_problem, snapshot_problem, tree_problem
 from ..functions.scalars import address, is_kind
 from ..lineage import cut
+from ..schema import KINDS
 
 
 def objects_of(rows: DataFrame) -> DataFrame:
@@ -21,10 +22,16 @@ def missing(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(existing.select("addr"), "addr", "left_anti")
 
 
-def object_edges(objects: DataFrame) -> DataFrame:
+def decoded(objects: DataFrame) -> dict[str, DataFrame]:
+    """Objects of each kind that has contents, parsed once and kept."""
+    present = {r["kind"] for r in objects.select("kind").distinct().where(is_kind("kind")).collect()}
+    return {k: cut(decode(objects, k).select("addr", "kind", "o")) if k in present else decode(objects.limit(0), k).select("addr", "kind", "o") for k in KINDS if k != "blob"}
+
+
+def object_edges(objects: DataFrame, parsed: dict[str, DataFrame] | None = None) -> DataFrame:
     """(src, dst, role): what each object refers to. Vectors of a snapshot are references like any other."""
-    note, tree, snap = (decode(objects, k) for k in ("note", "tree", "snapshot"))
-    index, shard, vec = (decode(objects, k) for k in ("indexroot", "indexshard", "vecroot"))
+    parsed = parsed or {k: decode(objects, k) for k in KINDS if k != "blob"}
+    note, tree, snap, index, shard, vec = (parsed[k] for k in ("note", "tree", "snapshot", "indexroot", "indexshard", "vecroot"))
     one = lambda rows, c, role: rows.select(F.col("addr").alias("src"), c.alias("dst"), F.lit(role).alias("role"))
     many = lambda rows, c, role: rows.select(F.col("addr").alias("src"), F.explode(c).alias("dst"), F.lit(role).alias("role"))
     postings = F.flatten(F.transform(F.map_values(F.col("o.postings")), lambda l: F.transform(l, lambda p: p["a"])))
@@ -85,19 +92,20 @@ def fsck(objects: DataFrame, entries: DataFrame | None = None, vectors: DataFram
         problem(objects.where(F.col("addr") != address("data")), F.lit("content does not match address")),
         problem(objects.where(~is_kind("kind")), F.lit("unknown kind")),
     ]
+    parsed = decoded(objects)
     for kind, check in (("note", note_problem), ("tree", tree_problem), ("snapshot", snapshot_problem), ("indexroot", None), ("indexshard", None), ("vecroot", None), ("vecshard", None)):
-        rows = decode(objects, kind)
+        rows = parsed[kind]
         wrong = F.when(F.col("o").isNull(), "does not decode")
         wrong = wrong.otherwise(check(F.col("o"))) if check else wrong
         found.append(problem(rows.withColumn("_w", wrong).where("_w is not null"), F.col("_w")))
-    edges = object_edges(objects)
+    edges = cut(object_edges(objects, parsed))
     known = objects.select(F.col("addr").alias("dst"), F.col("kind").alias("dst_kind"))
     named = edges.join(objects.select(F.col("addr").alias("src"), "kind"), "src")
     lost = named.join(known, "dst", "left_anti")
     if exempt is not None:
         lost = lost.join(exempt.select(F.col("addr").alias("src"), F.lit("index").alias("role")), ["src", "role"], "left_anti")
     found.append(lost.select(F.col("src").alias("addr"), "kind", F.concat(F.lit("missing reference: "), "dst").alias("problem")))
-    entry = decode(objects, "tree").select("addr", "kind", F.explode("o.entries").alias("e")).join(known, F.col("e.addr") == F.col("dst"))
+    entry = parsed["tree"].select("addr", "kind", F.explode("o.entries").alias("e")).join(known, F.col("e.addr") == F.col("dst"))
     expected = F.when(F.col("e.type") == "dir", "tree").otherwise("note")
     found.append(problem(entry.where(F.col("dst_kind") != expected), F.concat(F.lit("entry "), F.col("e.slug"), F.lit(" is a "), F.col("e.type"), F.lit(" but points to a "), F.col("dst_kind"))))
     if vectors is not None and entries is not None:
@@ -111,6 +119,32 @@ def fsck(objects: DataFrame, entries: DataFrame | None = None, vectors: DataFram
     return out.orderBy("addr", "problem")
 
 
+def fsck_relations(objects: DataFrame, notes: DataFrame, snapshots: DataFrame, entries: DataFrame, docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Violations of the relations that queries read: rows of reachable ``snapshots`` and of the heads' ``entries`` whose
+    object or note is gone, and index rows that aren't what their note gives."""
+    from .search import docs_of, postings_of
+
+    known = objects.select("addr")
+    row = lambda rows, kind, text: rows.select("addr", F.lit(kind).alias("kind"), text.alias("problem"))
+    found = [
+        row(snapshots.join(known, "addr", "left_anti"), "snapshot", F.lit("row without object")),
+        row(entries.join(known, "addr", "left_anti").select("addr", "path").distinct(), "tree", F.concat(F.lit("entry without object: "), "path")),
+        row(entries.where("type = 'note'").join(notes.select("addr"), "addr", "left_anti").select("addr", "path").distinct(), "note", F.concat(F.lit("entry without note: "), "path")),
+    ]
+    pairs = docs.select("path", "addr").distinct()
+    rows = cut(pairs.join(notes.select("addr", "title", "tags", "body"), "addr"))
+    keys, counts = ["path", "addr", "term"], ["tf_title", "tf_tags", "tf_body"]
+    # Counted per row, so that rows twice, rows too many and rows with other counts all show.
+    have = lambda df, sign, columns: df.select(*columns, F.lit(sign).alias("n"))
+    differ = lambda a, b, columns: have(a, 1, columns).unionByName(have(b, -1, columns)).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
+    found.append(row(differ(docs, docs_of(rows), ["path", "addr", "len"]), "note", F.concat(F.lit("wrong length in the index: "), "path")))
+    found.append(row(differ(postings, postings_of(rows), keys + counts).select("addr", "path").distinct(), "note", F.concat(F.lit("wrong postings in the index: "), "path")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def to_transfer(source: DataFrame, local: DataFrame, head: str) -> DataFrame:
     """Objects reachable from ``head`` in ``source``, history included, that ``local`` lacks."""
     edges = object_edges(source)

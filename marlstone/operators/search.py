@@ -8,10 +8,15 @@ indexing anew.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bm25, bucket, cosine, dot, rrf, tags_or_empty, tokens, weighted
+from ..functions.scalars import bm25, bucket, cosine, rrf, tags_or_empty, tokens, weighted
 from ..functions.snippet import query_terms
 from ..functions.snippet import snippet as render
 from ..lineage import cut
@@ -20,6 +25,8 @@ from ..lineage import cut
 LEG = 50
 #: Queries of a batch up to this many (query, term) rows are broadcast.
 BROADCAST_TERMS = 100_000
+#: Numbers in a block of query vectors: 32 MB.
+QUERY_CELLS = 1 << 22
 
 
 def terms(notes: DataFrame) -> DataFrame:
@@ -83,17 +90,17 @@ def query_table(queries: DataFrame) -> DataFrame:
 
 def scores(postings: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """BM25 (qid, path, addr, score) of every note that holds a term of a query."""
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
+    some = F.broadcast if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda rows: rows
     corpus = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))  # one row
     # Read twice, for the terms' frequencies and for the scores, so kept.
-    hits = cut(postings.drop("bucket").join(wanted.select("term").distinct(), "term", "left_semi"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = cut(postings.drop("bucket").join(some(wanted.select("term").distinct()), "term", "left_semi"))
+    # With few terms their frequencies are broadcast too: no join shuffles by term, so a frequent one is no hot key.
+    asked = some(wanted.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term"))
     tf = weighted("tf_title", "tf_tags", "tf_body")
-    found = hits.join(df, "term").join(docs.select("path", "len"), "path").crossJoin(F.broadcast(corpus))
-    found = found.withColumn("part", bm25(tf, F.col("df"), F.col("n"), F.col("len"), F.col("avg_len"))).select("term", "path", "addr", "part")
+    found = hits.join(docs.select("path", "len"), "path").crossJoin(F.broadcast(corpus)).join(asked, "term")
+    part = bm25(tf, F.col("df"), F.col("n"), F.col("len"), F.col("avg_len"))
     # Rounded, so that the order of summing can't decide between equal scores.
-    return found.join(wanted, "term").groupBy("qid", "path", "addr").agg(F.round(F.sum("part"), 9).alias("score"))
+    return found.groupBy("qid", "path", "addr").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def top(rows: DataFrame, k: int, *order, by: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -146,15 +153,56 @@ def cosine_rank(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest paths of every query vector: each vector against all queries, which are broadcast.
+    """The k nearest paths of every query vector, exactly.
 
-    Norms are computed once per vector and once per query.
+    Queries go in blocks of at most QUERY_CELLS numbers, which bounds what is broadcast; each batch of vectors is
+    multiplied with a block and sends on its own k best per query, so rows grow with the batches, not with the
+    pairs. A zero vector is similar to nothing (0); vectors of another length than a query's are left out.
     """
-    left = vectors.select("path", "vec", F.sqrt(dot("vec", "vec")).alias("norm"))
-    right = F.broadcast(queries.select("qid", F.col("vec").alias("q"), F.sqrt(dot("vec", "vec")).alias("q_norm")))
-    norms = F.col("norm") * F.col("q_norm")
-    both = left.join(right, F.lit(True)).select("qid", "path", F.when(norms == 0, 0.0).otherwise(F.round(dot("vec", "q") / norms, 9)).alias("sim"))
-    return top(both, k, F.col("sim").desc(), "path")
+    found = None
+    for ids, block in _query_blocks(queries):
+        part = _nearest(vectors, ids, block, k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "path", F.lit(0.0).alias("sim"))
+    return top(found, k, F.col("sim").desc(), "path")
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Query identifiers and their vectors as a matrix, block by block, all of one length."""
+    held: dict[int, tuple[list, list]] = {}
+    for r in queries.select("qid", "vec").toLocalIterator():
+        ids, rows = held.setdefault(len(r["vec"]), ([], []))
+        ids.append(r["qid"])
+        rows.append(r["vec"])
+        if len(rows) * len(r["vec"]) >= QUERY_CELLS:
+            yield ids, np.array(rows, float)
+            del held[len(r["vec"])]
+    for ids, rows in held.values():
+        yield ids, np.array(rows, float)
+
+
+def _nearest(vectors: DataFrame, ids: list, block: np.ndarray, k: int) -> DataFrame:
+    schema = vectors.sparkSession.createDataFrame([(ids[0],)], ["qid"]).schema["qid"].dataType.simpleString()
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, block, np.sqrt((block * block).sum(1))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, block, norms = shared.value
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), block.shape[1]), False))
+            if not batch.num_rows:
+                continue
+            rows = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            size = np.sqrt((rows * rows).sum(1))[:, None] * norms
+            sim = np.round(np.divide(rows @ block.T, size, out=np.zeros(size.shape), where=size > 0), 9)
+            paths = np.argsort(np.array(batch.column(0).to_pylist(), object), kind="stable")
+            for q in range(len(ids)):
+                least = np.partition(sim[:, q], -k)[-k] if k < batch.num_rows else -np.inf
+                near = paths[sim[paths, q] >= least]
+                near = near[np.argsort(-sim[near, q], kind="stable")][:k]
+                yield pa.record_batch([pa.array([ids[q]] * len(near)), batch.column(0).take(pa.array(near)), pa.array(sim[near, q])], names=["qid", "path", "sim"])
+
+    return vectors.select("path", "vec").mapInArrow(work, f"qid {schema}, path string, sim double")
 
 
 def fused(lexical: DataFrame, semantic: DataFrame, leg: int = LEG) -> DataFrame:

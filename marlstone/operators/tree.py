@@ -36,19 +36,24 @@ def leaves(entries: DataFrame) -> DataFrame:
 
 
 def flatten(tree_entries: DataFrame, root: str) -> DataFrame:
-    """Entries below a root tree, from ``tree_entries(tree, slug, type, addr)``; one join per level.
+    """Entries below a root tree, from ``tree_entries(tree, slug, type, addr)``; one join per level."""
+    return flatten_all(tree_entries, tree_entries.sparkSession.createDataFrame([("", root)], "name string, root string")).drop("name")
+
+
+def flatten_all(tree_entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries below every tree of ``roots(name, root)``, with the name; one join per level for all of them.
 
     A tree that stands at several paths is joined at each of them, so equal subtrees are no problem.
     """
     steps = tree_entries.select(F.col("tree").alias("_tree"), "slug", "type", "addr")
-    level = steps.where(F.col("_tree") == root).select(F.col("slug").alias("path"), F.lit("").alias("parent"), "slug", F.lit(1).alias("depth"), "type", "addr")
+    level = steps.join(roots.select("name", F.col("root").alias("_tree")), "_tree").select("name", F.col("slug").alias("path"), F.lit("").alias("parent"), "slug", F.lit(1).alias("depth"), "type", "addr")
     found, depth = level, 1
     while True:
-        above = cut(level.where("type = 'dir'").select(F.col("path").alias("_path"), F.col("addr").alias("_tree")))
+        above = cut(level.where("type = 'dir'").select("name", F.col("path").alias("_path"), F.col("addr").alias("_tree")))
         if above.isEmpty():
             return found
         depth += 1
-        level = cut(steps.join(above, "_tree").select(F.concat_ws("/", "_path", "slug").alias("path"), F.col("_path").alias("parent"), "slug", F.lit(depth).alias("depth"), "type", "addr"))
+        level = cut(steps.join(above, "_tree").select("name", F.concat_ws("/", "_path", "slug").alias("path"), F.col("_path").alias("parent"), "slug", F.lit(depth).alias("depth"), "type", "addr"))
         found = found.unionByName(level)
 
 
@@ -162,29 +167,39 @@ def rendered(node: dict, indent: int = 0) -> str:
 def resolve_links(entries: DataFrame, links: DataFrame) -> DataFrame:
     """Every ``link``: an exact path first (a directory is an error), else a leaf name if it is the only one.
 
-    status is one of path, leaf, directory, ambiguous, missing; ``candidates`` lists the notes of an ambiguous name.
+    status is one of path, leaf, directory, ambiguous, missing; ``n`` counts the notes with that leaf name
+    (``link_candidates`` lists them: a frequent name is a number here, never a list).
     """
     wanted = links.select("link").distinct()
     exact = entries.select(F.col("path").alias("link"), F.col("type").alias("exact_type"), F.col("addr").alias("exact_addr"))
-    by_slug = list_notes(entries).select(F.col("slug").alias("link"), "path", "addr").join(wanted, "link", "left_semi")
-    leaf = by_slug.groupBy("link").agg(F.count("*").alias("n"), F.min("path").alias("leaf_path"), F.min_by("addr", "path").alias("leaf_addr"), F.array_sort(F.collect_list("path")).alias("all_paths"))
+    leaf = _named(entries, wanted).groupBy("link").agg(F.count("*").alias("n"), F.min(F.struct("path", "addr")).alias("leaf"))
     found = wanted.join(exact, "link", "left").join(leaf, "link", "left")
     status = F.when(F.col("exact_type") == "note", "path").when(F.col("exact_type") == "dir", "directory").when(F.col("n") == 1, "leaf").when(F.col("n") > 1, "ambiguous").otherwise("missing")
     return found.withColumn("status", status).select(
         "link",
         "status",
-        F.when(F.col("status") == "path", F.col("link")).when(F.col("status") == "leaf", F.col("leaf_path")).alias("path"),
-        F.when(F.col("status") == "path", F.col("exact_addr")).when(F.col("status") == "leaf", F.col("leaf_addr")).alias("addr"),
-        F.when(F.col("status") == "ambiguous", F.col("all_paths")).alias("candidates"),
+        F.when(F.col("status") == "path", F.col("link")).when(F.col("status") == "leaf", F.col("leaf.path")).alias("path"),
+        F.when(F.col("status") == "path", F.col("exact_addr")).when(F.col("status") == "leaf", F.col("leaf.addr")).alias("addr"),
+        F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
+def _named(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    return list_notes(entries).select(F.col("slug").alias("link"), "path", "addr").join(wanted, "link", "left_semi")
+
+
+def link_candidates(entries: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(link, path) of every note that an ambiguous link of ``resolved`` could mean."""
+    return _named(entries, resolved.where("status = 'ambiguous'").select("link")).select("link", "path")
+
+
 def resolve_link(entries: DataFrame, slug: str) -> dict:
-    row = resolve_links(entries, entries.sparkSession.createDataFrame([(slug,)], "link string")).head()
+    resolved = resolve_links(entries, entries.sparkSession.createDataFrame([(slug,)], "link string"))
+    row = resolved.head()
     if row["status"] == "directory":
         raise EntryTypeConflict(f"{slug!r} is a directory")
     if row["status"] == "ambiguous":
-        raise AmbiguousSlug(slug, list(row["candidates"]))
+        raise AmbiguousSlug(slug, [r["path"] for r in link_candidates(entries, resolved).orderBy("path").collect()])
     if row["status"] == "missing":
         raise NotFound(f"no note {slug!r}")
     return {"path": row["path"], "slug": row["path"].split("/")[-1], "addr": row["addr"]}

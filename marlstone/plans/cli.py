@@ -62,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
     add("export-md", pos("folder"), at, flag("--force"))
     add("gc", opt("--keep-last", type=int))
     add("fsck")
-    add("doctor")
+    add("doctor", opt("--check", action="append"), flag("--list-checks"), opt("--serve-url", default="http://127.0.0.1:8080"))
     add("project-ls")
     add("project-create", pos("name"), opt("--description", default=""))
     add("project-desc", pos("name"), pos("description"))
@@ -142,11 +142,12 @@ def run(spark: SparkSession, argv: list[str]):
         case "export-md":
             return {"written": formats.write_markdown(repo.export_markdown(a.at), a.folder, a.force)}
         case "gc":
-            return repo.gc(a.keep_last) | {"branches": repo.export_branches()}
+            kept = []
+            return repo.gc(a.keep_last, backup=kept.extend) | {"branches": kept}
         case "fsck":
             return _rows(repo.fsck())
         case "doctor":
-            return repo.doctor()
+            return list(repo.CHECKS) if a.list_checks else repo.doctor(a.check, a.serve_url)
         case "project-ls":
             return _rows(views.project_rows(store.project_stats()))
         case "project-create":
@@ -172,7 +173,10 @@ def run(spark: SparkSession, argv: list[str]):
 def main() -> int:
     spark = SparkSession.builder.appName("marlstone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        print(json.dumps(run(spark, sys.argv[1:]), ensure_ascii=False, indent=1, default=str))
+        found = run(spark, sys.argv[1:])
+        print(json.dumps(found, ensure_ascii=False, indent=1, default=str))
+        if isinstance(found, list) and any(isinstance(r, dict) and r.get("status") == "fail" for r in found):
+            return 1  # a failed check of the doctor
     except EngineError as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1

@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import urllib.request
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
@@ -134,6 +136,27 @@ class Repository:
             rows = latest.select("path", "e.*")
         return rows.where("not deleted").select(*tree.COLUMNS)
 
+    def entries_of(self, wanted: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+        """Entries of all snapshots of ``wanted(snapshot)`` with their snapshot, of ``paths(path)`` alone if given.
+
+        As many joins as a chain is long at most, however many snapshots, then one aggregation.
+        """
+        links = self.snapshots().select(F.col("addr").alias("member"), "base", "chain")
+        frontier = wanted.select("snapshot").distinct().join(links, F.col("snapshot") == F.col("member")).select("snapshot", "member", "base", "chain", F.lit(0).alias("age"))
+        members = []
+        for age in range(1, FULL_EVERY + 1):
+            frontier = cut(frontier)
+            members.append(frontier.select("snapshot", "member", "age"))
+            more = frontier.where("chain > 0").select("snapshot", F.col("base").alias("member"))
+            if more.isEmpty():
+                break
+            frontier = more.join(links, "member").select("snapshot", "member", "base", "chain", F.lit(age).alias("age"))
+        rows = self.store.relation("deltas").withColumnRenamed("snapshot", "member")
+        if paths is not None:
+            rows = rows.join(paths.select("path"), "path", "left_semi")
+        latest = rows.join(union(members), "member").groupBy("snapshot", "path").agg(F.min_by(F.struct("parent", "slug", "depth", "type", "addr", "deleted"), "age").alias("e"))
+        return latest.select("snapshot", "path", "e.*").where("not deleted").select("snapshot", *tree.COLUMNS)
+
     def leaves(self, ref: str | None = None) -> DataFrame:
         return tree.leaves(self.entries(self._at(ref)))
 
@@ -145,8 +168,8 @@ class Repository:
     def _commit(self, changes: DataFrame, message: str, parents: list[str] | None = None, base: str | None = "", new_objects: list[DataFrame] = (), branch: str | None = None, expected: str | None = "", vectors: str = "") -> str:
         """Applies ``changes(path, type, addr, deleted)`` to a snapshot's entries and publishes the result.
 
-        Without ``parents`` the branch's head is the only one. ``expected`` makes the write fail
-        if the head has moved meanwhile.
+        Without ``parents`` the branch's head is the only one. The write fails if the head isn't what it
+        was at the start, or ``expected`` if that is given.
         """
         branch = branch or self.branch
         view = self.on(branch=branch)
@@ -185,18 +208,19 @@ class Repository:
                 self._index(tree.leaves(added.where("type = 'note'")))
             row = [(addr, root, sorted(parents), time, message, base, chain, indexed, vectors or None)]
             self.store.append("snapshots", self.spark.createDataFrame(row, self.snapshots().schema))
-        if expected != "" and view.head() != expected:
-            raise E.HeadMoved(f"{branch} moved from {expected}")
-        self.store.branch_set(self.project, branch, addr)
+        self.store.branch_set(self.project, branch, addr, head if expected == "" else expected)
         return addr
 
     def _index(self, pairs: DataFrame) -> None:
         """Index rows of (path, address) pairs that have none yet."""
         new = pairs.join(self.store.relation("docs").select("path", "addr"), ["path", "addr"], "left_anti")
-        rows = cut(new.join(self.notes().select("addr", "title", "tags", "body"), "addr"))
+        for name, rows in self._index_rows(new).items():
+            self.store.append(name, rows)
+
+    def _index_rows(self, pairs: DataFrame) -> dict[str, DataFrame]:
+        rows = cut(pairs.join(self.notes().select("addr", "title", "tags", "body"), "addr"))
         tagged = lambda df: df.withColumn("snapshot", F.lit("any"))
-        self.store.append("postings", tagged(search.bucketed(search.postings_of(rows))))
-        self.store.append("docs", tagged(search.docs_of(rows)))
+        return {"postings": tagged(search.bucketed(search.postings_of(rows))), "docs": tagged(search.docs_of(rows))}
 
     def _notes(self, inputs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Stores new notes; gives (path, addr) and the objects to put."""
@@ -253,6 +277,12 @@ class Repository:
         self._one(path)
         return self._commit(self.spark.createDataFrame([(path, "note", None, True)], "path string, type string, addr string, deleted boolean"), message)
 
+    def remove_notes(self, paths: DataFrame, message: str = "remove notes") -> str:
+        """Takes away all notes of ``paths(path)`` in one snapshot; paths without a note are no error."""
+        self._writable()
+        gone = self.leaves().join(paths.select("path"), "path", "left_semi")
+        return self._commit(gone.select("path", F.lit("note").alias("type"), "addr", F.lit(True).alias("deleted")), message)
+
     def note(self, path: str, ref: str | None = None) -> Row:
         """One note, now or at a snapshot."""
         entry = self._one(path, ref)
@@ -321,7 +351,7 @@ class Repository:
         if head is None:
             raise E.NotFound("the branch has no snapshot")
         lost = dag.abandoned_count(self.edges(), head, target)
-        self.store.branch_set(self.project, self.branch, target)
+        self.store.branch_set(self.project, self.branch, target, head)
         return lost
 
     # search
@@ -347,11 +377,15 @@ class Repository:
         return search.materialised(found, self.notes(), query if snippet else None).orderBy(F.col("score").desc(), "path", "addr")
 
     def rebuild_index(self, message: str = "rebuild index") -> str:
-        """Indexes every note of the head in a new snapshot, which keeps the head's vectors."""
+        """Makes every index row of the head's notes anew, whatever the index holds for them, in a new snapshot, which
+        keeps the head's vectors."""
         head = self.head()
         if head is None:
             raise E.NotFound("nothing to index")
-        self._index(tree.leaves(self.entries(head)))
+        pairs = cut(tree.leaves(self.entries(head)))
+        for name, rows in self._index_rows(pairs).items():
+            old = self.store.relation(name)
+            self.store.rewrite(name, old.join(pairs, ["path", "addr"], "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
         nothing = self.spark.createDataFrame([], "path string, type string, addr string, deleted boolean")
         return self._commit(nothing, message, vectors=self.snapshot(head)["vectors"] or "")
 
@@ -518,7 +552,7 @@ class Repository:
                 raise E.Diverged("both sides have snapshots of their own: merge, or force")
             raise E.NoCommonHistory("the histories never meet: force, or merge as unrelated")
         n = self._copy_from(source, theirs)
-        self.store.branch_set(self.project, self.branch, theirs)
+        self.store.branch_set(self.project, self.branch, theirs, ours)
         return {"result": "fast-forward" if forward else "forced", "objects": n}
 
     def merge(self, source: Repository, project: str | None = None, branch: str | None = None, base: str | None = None, allow_unrelated: bool = False, message: str = MERGE_MESSAGE) -> dict:
@@ -530,13 +564,13 @@ class Repository:
             return {"result": "up to date", "auto_merged": 0}
         if ours is None:
             self._copy_from(source, theirs)
-            self.store.branch_set(self.project, self.branch, theirs)
+            self.store.branch_set(self.project, self.branch, theirs, ours)
             return {"result": "fast-forward", "auto_merged": 0}
         if self._has_snapshot(theirs) and dag.is_ancestor(self.edges(), theirs, ours):
             return {"result": "up to date", "auto_merged": 0}
         self._copy_from(source, theirs)
         if dag.is_ancestor(self.edges(), ours, theirs):
-            self.store.branch_set(self.project, self.branch, theirs)
+            self.store.branch_set(self.project, self.branch, theirs, ours)
             return {"result": "fast-forward", "auto_merged": 0}
         try:
             root = dag.merge_base(self.edges(), ours, theirs, base)
@@ -549,7 +583,7 @@ class Repository:
             error = E.MergeConflicts(conflicts, merged)
             error.base, error.ours, error.theirs, error.changes = root, ours, theirs, changes
             raise error
-        addr = self._commit(changes, message, parents=[ours, theirs], base=ours)
+        addr = self._commit(changes, message, parents=[ours, theirs], base=ours, expected=ours)
         return {"result": "merged", "auto_merged": merged, "snapshot": addr, "base": root}
 
     def _three_way(self, base: str | None, ours: str, theirs: str) -> tuple[DataFrame, list[dict], int]:
@@ -644,8 +678,13 @@ class Repository:
     def unreachable_count(self) -> int:
         return objects.unreachable(self.store.list(), self._marked()).count()
 
-    def gc(self, keep_last: int | None = None) -> dict:
-        """Drops what no branch of any project reaches; with ``keep_last`` also indexes and vectors of older snapshots."""
+    def gc(self, keep_last: int | None = None, backup: Callable[[list[dict]], object] | None = None) -> dict:
+        """Drops what no branch of any project reaches; with ``keep_last`` also indexes and vectors of older snapshots.
+
+        ``backup`` gets the branch table before anything is dropped; if it raises, nothing is.
+        """
+        if backup is not None:
+            backup(self.export_branches())
         depths = cut(self._depths())
         dead = cut(objects.unreachable(self.store.list(), self._marked()).select("addr"))
         n = dead.count()
@@ -664,8 +703,7 @@ class Repository:
         newest = depths.where(F.col("depth") < keep).select(F.col("node").alias("addr")) if keep else alive
         snapshots = self.snapshots().join(chains, "addr", "left_semi")
         deltas = self.store.relation("deltas").join(chains.withColumnRenamed("addr", "snapshot"), "snapshot", "left_semi")
-        parts = [self.entries(r["addr"]) for r in newest.collect()] or [self.empty_entries()]
-        pairs = cut(tree.leaves(union(parts)).distinct())
+        pairs = cut(tree.leaves(self.entries_of(newest.select(F.col("addr").alias("snapshot")))).distinct())
         generations = snapshots.join(newest, "addr", "left_semi").where("vectors is not null").select(F.col("vectors").alias("generation")).distinct()
         for name, rows in (
             ("postings", self.store.relation("postings").join(pairs, ["path", "addr"], "left_semi")),
@@ -684,19 +722,44 @@ class Repository:
         return [{"project": b["project"], "name": b["name"], "addr": b["addr"]} for b in self.store.branch_list()]
 
     def fsck(self) -> DataFrame:
+        """Violations among the objects, and of the relations that were made from them."""
         head = self.head()
         generation = self.snapshot(head)["vectors"] if head else None
         vectors = self.store.relation("vectors").where(F.col("generation") == generation) if generation else None
-        return objects.fsck(self.store.relation("objects"), self.entries(head) if generation else None, vectors)
+        found = objects.fsck(self.store.relation("objects"), self.entries(head) if generation else None, vectors)
+        alive = self.snapshots().join(self._depths().select(F.col("node").alias("addr")), "addr", "left_semi")
+        tips = self.entries_of(self.spark.createDataFrame([(h,) for h in self.project_heads(every=True)], "snapshot string"))
+        relations = objects.fsck_relations(self.store.relation("objects"), self.notes(), alive, tips, self.store.relation("docs"), self.store.relation("postings"))
+        return found.unionByName(relations).orderBy("addr", "problem")
+
+    CHECKS = ("storage", "fsck", "version", "config", "gc-protect", "serve")
+
+    def doctor(self, only: list[str] | None = None, serve_url: str = "http://127.0.0.1:8080") -> list[dict]:
+        """Checks as rows of check, status (ok, warn, fail) and detail; ``only`` some of CHECKS, in their order."""
+        if unknown := [c for c in only or () if c not in self.CHECKS]:
+            raise E.NotFound(f"no check {unknown[0]!r}; there are {', '.join(self.CHECKS)}")
+
+        def fsck() -> tuple[str, str]:
+            bad = self.fsck().count()
+            return "fail" if bad else "ok", f"{bad} problems"
+
+        def config() -> tuple[str, str]:
+            known = any(p["name"] == self.project for p in self.store.project_stats().collect())
+            return "ok" if known else "warn", f"{self.project}/{self.branch}"
+
+        def protect() -> tuple[str, str]:
+            keep = self.store.meta_get("gc.keep_last", None)
+            return ("ok", "all indexes kept") if keep is None else ("warn", f"indexes of the newest {keep} kept")
+
+        def serve() -> tuple[str, str]:
+            try:
+                with urllib.request.urlopen(f"{serve_url}/healthz", timeout=2) as answer:
+                    return ("ok" if answer.status == 200 else "warn"), f"{serve_url} answers {answer.status}"
+            except OSError:
+                return "warn", f"nothing serves at {serve_url}"
 
-    def doctor(self) -> list[dict]:
-        """Checks as rows of check, status and detail."""
-        bad = self.fsck().count()
-        rows = [("storage", "ok", self.store.describe()), ("fsck", "fail" if bad else "ok", f"{bad} problems"), ("version", "ok", self.store.meta_get("schema_version"))]
-        rows.append(("config", "ok" if any(p["name"] == self.project for p in self.store.project_stats().collect()) else "warn", f"{self.project}/{self.branch}"))
-        keep = self.store.meta_get("gc.keep_last", None)
-        rows.append(("gc-protect", "ok" if keep is None else "warn", "all indexes kept" if keep is None else f"indexes of the newest {keep} kept"))
-        return [dict(zip(("check", "status", "detail"), r, strict=True)) for r in rows]
+        run = {"storage": lambda: ("ok", self.store.describe()), "fsck": fsck, "version": lambda: ("ok", self.store.meta_get("schema_version")), "config": config, "gc-protect": protect, "serve": serve}
+        return [dict(zip(("check", "status", "detail"), (c, *run[c]()), strict=True)) for c in self.CHECKS if not only or c in only]
 
     # interchange
 
@@ -716,13 +779,14 @@ class Repository:
         return {"changed": n, "skipped": total - n}
 
     def _inherited_times(self, changed: DataFrame) -> DataFrame:
-        walked = self.log().select("addr", "depth").collect() if self.head() else []
-        parts = [tree.leaves(self.entries(r["addr"])).withColumn("depth", F.lit(r["depth"])) for r in walked]
-        if not parts:
+        """created_at of the newest note equal to each changed one along the first parents."""
+        if not self.head():
             return self.spark.createDataFrame([], "path string, created_at long")
-        past = union(parts).join(self.notes(), "addr").select("path", F.col("title").alias("t"), F.col("tags").alias("g"), F.col("body").alias("b"), "created_at", "depth")
+        walked = cut(self.log().select(F.col("addr").alias("snapshot"), F.col("depth").alias("age")))
+        seen = self.entries_of(walked, changed.select("path")).where("type = 'note'").join(walked, "snapshot").groupBy("path", "addr").agg(F.min("age").alias("age"))
+        past = seen.join(self.notes(), "addr").select("path", F.col("title").alias("t"), F.col("tags").alias("g"), F.col("body").alias("b"), "created_at", "age")
         equal = changed.join(past, "path").where((F.col("title") == F.col("t")) & tags_equal("tags", "g") & (F.col("body") == F.col("b")))
-        return equal.groupBy("path").agg(F.min_by("created_at", "depth").alias("created_at"))
+        return equal.groupBy("path").agg(F.min_by("created_at", "age").alias("created_at"))
 
     def dump(self) -> DataFrame:
         """The library as backup lines."""
@@ -763,8 +827,8 @@ class Repository:
         self.store.append("notes", notes.join(blobs, "body_addr").drop("body_addr"))
         steps = cut(decode(everything, "tree").select(F.col("addr").alias("tree"), F.explode("o.entries").alias("e")).select("tree", "e.slug", "e.type", "e.addr"))
         snaps = cut(decode(everything, "snapshot").select("addr", "o.root", F.coalesce("o.parents", F.array().cast("array<string>")).alias("parents"), "o.time", "o.message"))
-        for s in snaps.collect():
-            self.store.append("deltas", tree.flatten(steps, s["root"]).withColumn("snapshot", F.lit(s["addr"])).withColumn("deleted", F.lit(False)))
+        every = tree.flatten_all(steps, snaps.select(F.col("addr").alias("name"), "root"))
+        self.store.append("deltas", every.withColumnRenamed("name", "snapshot").withColumn("deleted", F.lit(False)))
         self.store.append("snapshots", snaps.select("*", F.lit(None).cast("string").alias("base"), F.lit(0).alias("chain"), F.lit(True).alias("indexed"), F.lit(None).cast("string").alias("vectors")))
         self._index(tree.leaves(self.store.relation("deltas")).distinct())
 

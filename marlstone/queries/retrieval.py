@@ -116,7 +116,7 @@ def vec_base64_roundtrip(spark, sf_dir):
 _TOKENS = "regexp_extract_all(lower(replace({0}, 'İ', 'i')), '[a-z0-9]+')"
 
 
-def _index_sql(source: str) -> str:
+def index_sql(source: str) -> str:
     one = lambda field, text: f"SELECT path, '{field}' AS field, unnest({_TOKENS.format(text)}) AS term FROM {source}"
     return f"""tok AS ({one("title", "title")} UNION ALL {one("tags", "lang")} UNION ALL {one("tags", "source")} UNION ALL {one("body", "body")}),
     postings AS (SELECT path, term, count(*) FILTER (field = 'title') AS tf_title, count(*) FILTER (field = 'tags') AS tf_tags, count(*) FILTER (field = 'body') AS tf_body FROM tok GROUP BY path, term),
@@ -132,8 +132,13 @@ _Q = f"q AS (SELECT DISTINCT 0 AS qid, unnest({_TOKENS.format(chr(39) + QUERY +
 _QS = f"q AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS.format('text')}) AS term FROM benchmark)"
 
 
-def _single_sql(notes_sql: str, source: str) -> str:
-    return f"WITH {notes_sql}, {_index_sql(source)}, {_Q}, {_SCORES} SELECT s.path, n.title, round(s.score, 6) AS score FROM scored s JOIN {source} n USING (path) ORDER BY s.score DESC, s.path LIMIT {LIMIT}"
+def single_sql(notes_sql: str, source: str) -> str:
+    return f"WITH {notes_sql}, {index_sql(source)}, {_Q}, {_SCORES} SELECT s.path, n.title, round(s.score, 6) AS score FROM scored s JOIN {source} n USING (path) ORDER BY s.score DESC, s.path LIMIT {LIMIT}"
+
+
+def batch_sql(notes_sql: str, source: str) -> str:
+    return f"""WITH {notes_sql}, {index_sql(source)}, {_QS}, {_SCORES} SELECT qid, path, rank, round(score, 6) AS score FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS INTEGER) AS rank FROM scored) WHERE rank <= {BATCH_LIMIT}"""
 
 
 _FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(term, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
@@ -143,20 +148,19 @@ _SIM = "round(list_cosine_similarity(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]
 SQL = {
     "tokenize_counts": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY term",
     "fnv_bucket_histogram": f"SELECT CAST({_FNV} % 64 AS INTEGER) AS bucket, count(*) AS terms FROM (SELECT DISTINCT unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY 1",
-    "index_postings": f"WITH {NOTES_SQL}, {_index_sql('notes')} SELECT term, path, tf_title, tf_tags, tf_body FROM postings",
-    "index_docs": f"WITH {NOTES_SQL}, {_index_sql('notes')} SELECT path, len FROM docs",
-    "index_delta_equals_rebuild": f"""WITH {BASE_SQL}, {OURS_SQL}, {_index_sql('ours')}
+    "index_postings": f"WITH {NOTES_SQL}, {index_sql('notes')} SELECT term, path, tf_title, tf_tags, tf_body FROM postings",
+    "index_docs": f"WITH {NOTES_SQL}, {index_sql('notes')} SELECT path, len FROM docs",
+    "index_delta_equals_rebuild": f"""WITH {BASE_SQL}, {OURS_SQL}, {index_sql('ours')}
         SELECT d.path, d.len, count(*) AS terms, CAST(sum(tf_body) AS BIGINT) AS tokens FROM docs d JOIN postings p USING (path) GROUP BY d.path, d.len""",
-    "term_df_idf": f"WITH {NOTES_SQL}, {_index_sql('notes')}, n AS (SELECT count(*) AS n FROM docs) SELECT term, count(*) AS df, round(ln(1 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM postings, n GROUP BY term",
-    "search_bm25": _single_sql(NOTES_SQL, "notes"),
-    "search_bm25_at_base": _single_sql(BASE_SQL, "base"),
-    "search_bm25_batch": f"""WITH {NOTES_SQL}, {_index_sql('notes')}, {_QS}, {_SCORES} SELECT qid, path, rank, round(score, 6) AS score FROM (
-        SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS INTEGER) AS rank FROM scored) WHERE rank <= {BATCH_LIMIT}""",
+    "term_df_idf": f"WITH {NOTES_SQL}, {index_sql('notes')}, n AS (SELECT count(*) AS n FROM docs) SELECT term, count(*) AS df, round(ln(1 + (any_value(n.n) - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM postings, n GROUP BY term",
+    "search_bm25": single_sql(NOTES_SQL, "notes"),
+    "search_bm25_at_base": single_sql(BASE_SQL, "base"),
+    "search_bm25_batch": batch_sql(NOTES_SQL, "notes"),
     "cosine_topk": f"""SELECT path, round(sim, 6) AS sim FROM (SELECT {_PATH} AS path, {_SIM.format('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')} AS sim FROM embeddings)
         ORDER BY sim DESC, path LIMIT {LIMIT}""",
     "cosine_topk_batch": f"""SELECT qid, path, rank, round(sim, 6) AS sim FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, path) AS INTEGER) AS rank FROM (
         SELECT b.vec_id AS qid, {_PATH.replace('vec_id', 'a.vec_id')} AS path, {_SIM.format('a.embedding', 'b.embedding')} AS sim FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)) WHERE rank <= {BATCH_LIMIT}""",
-    "hybrid_rrf": f"""WITH {NOTES_SQL}, {_index_sql('notes')}, {_Q}, {_SCORES},
+    "hybrid_rrf": f"""WITH {NOTES_SQL}, {index_sql('notes')}, {_Q}, {_SCORES},
         lexical AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS rank FROM scored),
         semantic AS (SELECT path, row_number() OVER (ORDER BY sim DESC, path) AS rank FROM (SELECT n.path, {_SIM.format('e.embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 3)')} AS sim FROM embeddings e JOIN notes n ON n.doc_id = e.vec_id)),
         fused AS (SELECT path, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT * FROM lexical WHERE rank <= 50 UNION ALL SELECT * FROM semantic WHERE rank <= 50) GROUP BY path)

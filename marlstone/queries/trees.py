@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import encode_note
 from ..functions.scalars import address, is_address, short_address, slug_of, summary
+from ..lineage import cut
 from ..operators import objects, tree
 from .corpus import DIRS_SQL, NOTES_SQL, notes, table
 
@@ -60,7 +61,7 @@ def tree_addresses(spark, sf_dir):
 
 
 def _link_entries(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("turn < 5").select(F.concat_ws("/", F.lit("conv"), F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("path"), F.col("role").alias("addr"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.lit("conv"), F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("path"), F.col("role").alias("addr"))
     return tree.with_dirs(notes(spark, sf_dir).select("path", "addr").unionByName(turns))
 
 
@@ -68,19 +69,23 @@ def _links(spark, sf_dir):
     d, text = F.col("doc_id"), F.col("doc_id").cast("string")
     link = F.when(d % 4 == 0, F.col("path")).when(d % 4 == 1, text).when(d % 4 == 2, F.concat(F.lit("nope"), text)).otherwise(F.regexp_extract("path", "^(.*)/", 1))
     found = notes(spark, sf_dir).select(link.alias("link")).distinct()
-    return tree.resolve_links(_link_entries(spark, sf_dir), found)
+    entries = _link_entries(spark, sf_dir)
+    return entries, tree.resolve_links(entries, found)
 
 
 def link_resolve_exact(spark, sf_dir):
-    return _links(spark, sf_dir).where("status in ('path', 'directory')").select("link", "status", "addr")
+    return _links(spark, sf_dir)[1].where("status in ('path', 'directory')").select("link", "status", "addr")
 
 
 def link_resolve_leaf(spark, sf_dir):
-    return _links(spark, sf_dir).where("status in ('leaf', 'missing')").select("link", "status", "path", "addr")
+    return _links(spark, sf_dir)[1].where("status in ('leaf', 'missing')").select("link", "status", "path", "addr")
 
 
 def link_ambiguous(spark, sf_dir):
-    return _links(spark, sf_dir).where("status = 'ambiguous'").select("link", F.size("candidates").cast("long").alias("n"), F.array_join("candidates", ",").alias("candidates"))
+    """One row per note that an ambiguous link could mean."""
+    entries, found = _links(spark, sf_dir)
+    found = cut(found.where("status = 'ambiguous'"))
+    return tree.link_candidates(entries, found).join(found.select("link", "n"), "link").select("link", "n", "path")
 
 
 def content_address(spark, sf_dir):
@@ -106,13 +111,13 @@ _ROWS = "SELECT path, slug, title, lang || ',' || source AS tags, created_at, {s
 
 LINKS_SQL = f"""WITH {NOTES_SQL},
   leaves AS (SELECT path, slug, addr FROM notes UNION ALL
-             SELECT 'conv/c' || conv_id || '/' || turn, CAST(turn AS VARCHAR), role FROM conversations WHERE turn < 5),
+             SELECT 'conv/c' || conv_id || '/' || turn, CAST(turn AS VARCHAR), role FROM conversations),
   every AS (SELECT path, 'note' AS type, addr FROM leaves UNION ALL SELECT DISTINCT source, 'dir', NULL FROM notes UNION ALL SELECT DISTINCT dir, 'dir', NULL FROM notes
-            UNION ALL SELECT 'conv', 'dir', NULL FROM conversations WHERE turn < 5 GROUP BY 1 UNION ALL SELECT DISTINCT 'conv/c' || conv_id, 'dir', NULL FROM conversations WHERE turn < 5),
+            UNION ALL SELECT DISTINCT 'conv', 'dir', NULL FROM conversations UNION ALL SELECT DISTINCT 'conv/c' || conv_id, 'dir', NULL FROM conversations),
   links AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN path WHEN 1 THEN slug WHEN 2 THEN 'nope' || slug ELSE dir END AS link FROM notes),
-  by_slug AS (SELECT slug, count(*) AS n, min(path) AS path, arg_min(addr, path) AS addr, string_agg(path, ',' ORDER BY path) AS candidates FROM leaves GROUP BY slug),
+  by_slug AS (SELECT slug, count(*) AS n, min(path) AS path, arg_min(addr, path) AS addr FROM leaves GROUP BY slug),
   found AS (SELECT l.link, CASE WHEN e.type = 'note' THEN 'path' WHEN e.type = 'dir' THEN 'directory' WHEN s.n = 1 THEN 'leaf' WHEN s.n > 1 THEN 'ambiguous' ELSE 'missing' END AS status,
-                   e.addr AS exact_addr, s.n, s.path, s.addr, s.candidates
+                   e.addr AS exact_addr, s.n, s.path, s.addr
             FROM links l LEFT JOIN every e ON e.path = l.link LEFT JOIN by_slug s ON s.slug = l.link)
 """
 
@@ -151,7 +156,7 @@ SQL = {
     "tree_addresses": TREE_SQL,
     "link_resolve_exact": LINKS_SQL + "SELECT link, status, exact_addr AS addr FROM found WHERE status IN ('path', 'directory')",
     "link_resolve_leaf": LINKS_SQL + "SELECT link, status, CASE WHEN status = 'leaf' THEN path END AS path, CASE WHEN status = 'leaf' THEN addr END AS addr FROM found WHERE status IN ('leaf', 'missing')",
-    "link_ambiguous": LINKS_SQL + "SELECT link, n, candidates FROM found WHERE status = 'ambiguous'",
+    "link_ambiguous": LINKS_SQL + "SELECT f.link, f.n, l.path FROM found f JOIN leaves l ON l.slug = f.link WHERE f.status = 'ambiguous'",
     "content_address": "SELECT doc_id, 'sha256:' || sha256(text) AS addr, left('sha256:' || sha256(text), 16) AS short FROM documents",
     "dedup_objects": "SELECT DISTINCT 'sha256:' || sha256(text) AS addr, 'blob' AS kind, CAST(strlen(text) AS BIGINT) AS size FROM documents",
     "address_validate": """SELECT doc_id, regexp_full_match(CASE doc_id % 4 WHEN 1 THEN left(a, 70) WHEN 2 THEN upper(a) WHEN 3 THEN a || '0' ELSE a END, 'sha256:[0-9a-f]{64}') AS valid

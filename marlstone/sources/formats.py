@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import BadBatch, VersionMismatch
@@ -25,20 +25,44 @@ def to_jsonl(notes: DataFrame) -> DataFrame:
 
 
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    """path, title, tags, body and ``problem`` of every line that isn't blank."""
+    """path, title, tags, body and ``problem`` of every line that isn't blank, and its ``seq`` if it has one."""
     rows = lines.where(trimmed("value") != "")
     parsed = F.from_json("value", BULK)
     rows = rows.withColumn("o", parsed)
     wrong = F.when(F.col("o").isNull() | F.col("o.path").isNull(), "not a bulk line").when(~valid_path("o.path"), "bad path").when(F.get_json_object("value", "$.tags").isNotNull() & ~F.get_json_object("value", "$.tags").startswith("["), "tags must be an array")
-    return rows.select("o.path", "o.title", "o.tags", F.coalesce("o.body", F.lit("")).alias("body"), wrong.alias("problem"))
+    return rows.select("o.path", "o.title", "o.tags", F.coalesce("o.body", F.lit("")).alias("body"), wrong.alias("problem"), *(["seq"] if "seq" in lines.columns else []))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and ``seq`` (file, part of it, row) of every line: the order of the input, over several files by their names."""
+    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return lines.select("value", place.alias("seq"))
+
+
+def line_numbers(lines: DataFrame) -> DataFrame:
+    """file, start, the least row and the lines of the file before it, of every part of the input."""
+    parts = lines.groupBy("seq.file", "seq.start").agg(F.count("*").alias("n"), F.min("seq.row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")
+    return parts.select("file", "start", "first", before.alias("before"))
+
+
+#: Bad lines that an error spells out; all are counted.
+SHOWN = 20
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Bulk lines of a file or folder; raises with the offending lines if any is wrong."""
-    found = parse_jsonl(spark.read.text(path))
-    bad = [f"{r['path']}: {r['problem']}" for r in found.where("problem is not null").limit(20).collect()]
-    if bad:
-        raise BadBatch(bad)
+    """Bulk lines of a file or folder with their order (``seq``); raises with file and line of what is wrong."""
+    lines = read_lines(spark, path)
+    found = parse_jsonl(lines)
+    wrong = found.where("problem is not null")
+    n = wrong.count()
+    if n:
+        at = wrong.orderBy("seq").limit(SHOWN).select("path", "problem", "seq.*").join(line_numbers(lines), ["file", "start"])
+        number = (F.col("row") - F.col("first") + F.col("before") + 1).alias("line")
+        shown = at.select("file", number, "path", "problem").orderBy("file", "line").collect()
+        texts = [f"{r['file'].rsplit('/', 1)[-1]} line {r['line']}: {r['problem']}" + (f" ({r['path']})" if r["path"] else "") for r in shown]
+        raise BadBatch(texts + ([f"and {n - len(shown)} more"] if n > len(shown) else []))
     return found.drop("problem")
 
 
@@ -98,20 +122,27 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_markdown(files: DataFrame, folder: str, force: bool = False) -> int:
-    """Writes ``files(path, content)`` below a folder that executors reach; refuses to replace files unless forced."""
-    import os
-
+    """Writes ``files(path, content)`` as path.md below a folder that driver and executors share (local path, HDFS or
+    an object store that pyarrow knows); refuses to replace files unless forced."""
+    spark = files.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(root).toUri()
     if not force:
-        there = [p for (p,) in files.select("path").toLocalIterator() if os.path.exists(f"{folder}/{p}.md")]
+        there = [p for (p,) in files.select("path").toLocalIterator() if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base.toString()}/{p}.md"))]
         if there:
             raise BadBatch([f"{p}.md exists" for p in sorted(there)])
+    where = base.getPath() if base.getScheme() == "file" else base.toString().replace("s3a://", "s3://", 1)
 
     def write(rows) -> None:
+        from pyarrow import fs as arrow_fs
+
+        store, top = (arrow_fs.LocalFileSystem(), where) if where.startswith("/") else arrow_fs.FileSystem.from_uri(where)
         for r in rows:
-            name = f"{folder}/{r['path']}.md"
-            os.makedirs(os.path.dirname(name), exist_ok=True)
-            with open(name, "w", encoding="utf-8", newline="") as f:
-                f.write(r["content"])
+            name = f"{top}/{r['path']}.md"
+            store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(name) as f:
+                f.write(r["content"].encode())
 
     files.foreachPartition(write)
     return files.count()

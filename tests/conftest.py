@@ -6,6 +6,10 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def pytest_configure(config):
+    config.addinivalue_line("markers", "usual: runs with the session's own settings")
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

@@ -1,15 +1,17 @@
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone import errors as E
-from marlstone.plans import cli, http, views
+from marlstone.plans import cli, http, repository, views
 from marlstone.plans.repository import Repository
 from marlstone.schema import EngineConfig
 from marlstone.sources import formats
 from marlstone.sources.embed import HashEmbedder
+from marlstone.sources.warehouse import Warehouse
 from marlstone.streaming.ingest import ingest
 
 NOW = 1_700_000_000
@@ -24,9 +26,12 @@ class Clock:
         return self.at
 
 
-@pytest.fixture(scope="module", autouse=True)
-def tiny_tables(spark):
-    """Settings for a handful of rows: compiling code would cost more than it saves."""
+@pytest.fixture(autouse=True)
+def tiny_tables(spark, request):
+    """Settings for a handful of rows: compiling code would cost more than it saves. Tests marked ``usual`` keep those of users."""
+    if request.node.get_closest_marker("usual"):
+        yield
+        return
     settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
     old = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
@@ -239,6 +244,104 @@ def test_interchange(spark, repo, tmp_path):
         fresh.restore(damaged, force=True)
 
 
+def test_two_writers_lose_nothing(spark, repo):
+    """A second handle commits while the first one is about to publish: the first fails, and what it read is still whole."""
+    bulk(repo, {"a": "1"})
+    other = Repository(spark, EngineConfig(repo.config.warehouse, now=Clock()))
+    publish = repo.store.branch_set
+
+    def late(project, name, addr, expected=""):
+        repo.store.branch_set = publish
+        bulk(other, {"b": "from the other"})
+        publish(project, name, addr, expected)
+
+    repo.store.branch_set = late
+    with pytest.raises(E.HeadMoved):
+        repo.set_note("c", "C")
+    assert paths(repo) == ["a", "b"]
+    repo.set_note("c", "C")
+    assert paths(repo) == ["a", "b", "c"] and repo.log().count() == 3 and repo.fsck().count() == 0
+
+
+def test_pointer_tables_take_all_changes(spark, tmp_path):
+    """Many threads change one table at once; every change is there in the end."""
+    store = Warehouse(spark, str(tmp_path / "library"))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: store.meta_set(f"k{i}", str(i)), range(40)))
+    assert {store.meta_get(f"k{i}") for i in range(40)} == {str(i) for i in range(40)}
+    assert not store._publish(f"{store.path}/meta/v{store._versions('meta')[-1]:09d}.json", b"[]")
+
+
+@pytest.mark.usual
+def test_plans_as_users_run_them(spark, tmp_path, monkeypatch):
+    """Adaptive execution and code generation on; history longer than a chain of deltas, read and collected in one go."""
+    monkeypatch.setattr(repository, "FULL_EVERY", 3)
+    repo = Repository(spark, EngineConfig(str(tmp_path / "library"), now=Clock()))
+    first = bulk(repo, {f"d{i % 3}/n{i}": f"word{i} common" for i in range(30)})
+    addrs = [first] + [repo.set_note(f"d0/n{3 * (i % 2)}", "t", f"edit {i}") for i in range(4)]
+    wanted = spark.createDataFrame([(a,) for a in addrs[::2]], "snapshot string")
+    got = {(r["snapshot"], r["path"], r["addr"]) for r in repo.entries_of(wanted).collect()}
+    assert got == {(a, r["path"], r["addr"]) for a in addrs[::2] for r in repo.entries(a).collect()}
+    assert repo.search("common").count() == 28 and repo.fsck().count() == 0
+    note = repo.note("d0/n0")
+    files = spark.createDataFrame([("d0/n0", "t", [], "edit 0"), ("new", "t", [], "x")], "path string, title string, tags array<string>, body string")
+    assert repo.import_markdown(files) == {"changed": 2, "skipped": 0}
+    assert repo.note("d0/n0")["created_at"] == repo.note("d0/n0", addrs[1])["created_at"] != note["created_at"]
+    kept = []
+    repo.gc(keep_last=3, backup=kept.extend)
+    assert [b["addr"] for b in kept] == [repo.head()] and repo.search("common").count() == 28
+    assert repo.fsck().count() == 0
+
+
+def test_rebuild_mends_the_index(spark, repo):
+    bulk(repo, {"a": "alpha", "b": "beta"})
+    store = repo.store
+    store.rewrite("postings", store.relation("postings").withColumn("tf_body", F.col("tf_body") + 1))
+    store.rewrite("docs", store.relation("docs").where("path = 'a'"))
+    assert repo.search("beta").count() == 0 and "wrong postings in the index: a" in {r["problem"] for r in repo.fsck().collect()}
+    repo.rebuild_index()
+    assert repo.search("beta").count() == 1 and repo.fsck().count() == 0
+
+
+def test_collection_stops_if_the_backup_fails(repo):
+    first = bulk(repo, {"a": "1"})
+    repo.set_note("a", "a", "2")
+    repo.reset(first)
+    n = repo.unreachable_count()
+
+    def fail(rows):
+        raise OSError("no room")
+
+    with pytest.raises(OSError):
+        repo.gc(backup=fail)
+    assert n and repo.unreachable_count() == n
+
+
+def test_bulk_lines_over_several_files(spark, repo, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    line = lambda p, b: json.dumps({"path": p, "title": p, "tags": [], "body": b}) + "\n"
+    (folder / "1.jsonl").write_text(line("n", "first") + line("m", "m"))
+    (folder / "2.jsonl").write_text(line("k", "k" * 50_000) + line("n", "last"))
+    rows = formats.read_jsonl(spark, str(folder))
+    none = {"links": F.lit(None).cast("array<struct<slug:string,rel:string>>"), "created_at": F.lit(None).cast("long")}
+    repo.bulk_import(rows.repartition(3).withColumns(none))
+    assert repo.note("n")["body"] == "last" and paths(repo) == ["k", "m", "n"]
+    (folder / "3.jsonl").write_text(line("q", "q") + "\nnot json\n" + line("/bad/", "x"))
+    with pytest.raises(E.BadBatch) as error:
+        formats.read_jsonl(spark, str(folder))
+    assert error.value.problems == ["3.jsonl line 3: not a bulk line", "3.jsonl line 4: bad path (/bad/)"]
+
+
+def test_doctor_checks(spark, repo):
+    bulk(repo, {"a": "1"})
+    assert [r["check"] for r in repo.doctor()] == list(repo.CHECKS)
+    assert [r["check"] for r in repo.doctor(["serve", "storage"], "http://127.0.0.1:9")] == ["storage", "serve"]
+    assert repo.doctor(["serve"], "http://127.0.0.1:9")[0]["status"] == "warn"
+    with pytest.raises(E.NotFound):
+        repo.doctor(["none"])
+
+
 def test_command_line_and_http_agree(spark, tmp_path):
     library = str(tmp_path / "library")
     run = lambda *a: cli.run(spark, ["--library", library, *a])
