@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,44 +201,51 @@ def read_spans(text: str) -> list[Span]:
     return [(kind, int(a), int(b)) for kind, a, b in (s.split(":") for s in text.split(",") if s)]
 
 
-def holder_terms(found: DataFrame) -> DataFrame:
-    """_row, text_key and each term outside the matches, of the rows that have matches."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = [list(terms(t, read_spans(b))) for t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(o) for o in own]))
-        yield pa.record_batch([batch.column(2).take(at), batch.column(3).take(at), pa.array([t for o in own for t in o], pa.string())], names=["_row", "text_key", "term"])
-
-    return map_pieces(found.where("text is not null").select("text", "base", "_row", "text_key"), work, "_row long, text_key long, term string")
-
-
 def _spots(words: pa.Array) -> np.ndarray:
     return (word_hashes(words) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Over the whole corpus, documents that hold each of the terms of ``wanted(term)``."""
+def _filter(terms: DataFrame) -> Broadcast:
+    """A bitmap of the terms' hashes: what isn't in it is none of them. Its size is the same whatever the corpus."""
 
     def spots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(_spots(batch.column(0)))], names=["s"])
 
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(map_pieces(wanted, spots, "s long", text_column="term"), "s", FILTER_BITS))
+    return terms.sparkSession.sparkContext.broadcast(bitmap(map_pieces(terms.select("term"), spots, "s long", text_column="term"), "s", FILTER_BITS))
+
+
+def _passes(bits: np.ndarray, words: pa.Array) -> np.ndarray:
+    spot = _spots(words)
+    return ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def holder_terms(found: DataFrame, only: Broadcast | None = None) -> DataFrame:
+    """_row, text_key and each term outside the matches (that passes the filter ``only``), of the rows that have matches."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own = [list(terms(t, read_spans(b))) for t, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        at, names = np.repeat(np.arange(batch.num_rows), [len(o) for o in own]), pa.array([t for o in own for t in o], pa.string())
+        if only is not None:
+            keep = pa.array(_passes(only.value, names))
+            at, names = pa.array(at).filter(keep), names.filter(keep)
+        yield pa.record_batch([batch.column(2).take(pa.array(at)), batch.column(3).take(pa.array(at)), names], names=["_row", "text_key", "term"])
+
+    return map_pieces(found.where("text is not null").select("text", "base", "_row", "text_key"), work, "_row long, text_key long, term string")
+
+
+def document_frequencies(docs: DataFrame, only: Broadcast) -> DataFrame:
+    """Over the whole corpus, documents that hold each term that passes the filter ``only``."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words, rows = split_words(translated(filled(batch.column(0)), _LETTERS))
-        coded, bits = words.dictionary_encode(), shared.value
-        spot = _spots(coded.dictionary)
-        keep = ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+        coded = words.dictionary_encode()
+        keep = _passes(only.value, coded.dictionary)
         ids, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
         some = keep[ids] if len(ids) else np.zeros(0, bool)
         once = np.bincount(np.unique(rows[some].astype(np.int64) * size + ids[some]) % size, minlength=len(coded.dictionary))
         yield pa.record_batch([coded.dictionary.filter(pa.array(keep)), pa.array(once[keep].astype(np.int64))], names=["term", "n"])
 
-    return map_pieces(docs.select("text"), work, "term string, n long").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
-
-
-#: So many terms are broadcast at most; more are joined by shuffle.
-BROADCAST_TERMS = 200_000
+    return map_pieces(docs.select("text"), work, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosures(found: DataFrame, docs: DataFrame, shortfall: float = SHORTFALL, gain: float = GAIN) -> tuple[DataFrame, DataFrame]:
@@ -249,12 +257,11 @@ def disclosures(found: DataFrame, docs: DataFrame, shortfall: float = SHORTFALL,
     # P(e | t) reaches the share only if the entity's documents, and all documents with personal data, outweigh the term's.
     share = 2.0**-shortfall
     can = lambda n: n + F.lit(SMOOTHING) * (n / F.lit(float(max(1, n_docs)))) >= share * (F.col("n_t") + SMOOTHING)
-    own = holder_terms(found)
-    seen = cut(own.groupBy("term").agg(F.count("*").alias("n_h"), two_texts.alias("two")).where("two").drop("two"))
-    counted = document_frequencies(docs, seen.select("term"))
+    seen = cut(holder_terms(found).groupBy("term").agg(F.count("*").alias("n_h"), two_texts.alias("two")).where("two").drop("two"))
+    counted = document_frequencies(docs, _filter(seen))
     rare = cut(counted.join(seen, "term").where(F.col("n_h") + SMOOTHING >= share * (F.col("n_t") + SMOOTHING)).select("term", "n_t"))
     by_row = single.join(entities, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "n_e")).alias("held"))
-    held = own.join(rare, "term").join(by_row, "_row").select("_row", "text_key", "term", "n_t", F.explode(F.filter("held", lambda e: can(e["n_e"]))).alias("e"))
+    held = holder_terms(found, _filter(rare)).join(rare, "term").join(by_row, "_row").select("_row", "text_key", "term", "n_t", F.explode(F.filter("held", lambda e: can(e["n_e"]))).alias("e"))
     pairs = cut(held.select("_row", "text_key", "term", "n_t", "e.entity", "e.n_e"))
     together = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te"), two_texts.alias("two")).where("two")
     prior = F.col("n_e") / F.lit(float(max(1, n_docs)))
