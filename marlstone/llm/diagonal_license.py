@@ -6,7 +6,8 @@ hit votes for the diagonal ``text position - template position``; a diagonal
 merges with its neighbours up to ``SLACK`` words further, so inserted, dropped
 and changed words don't break a span. A span is verified by the words of the
 template that its hits cover, each word counted once: repeats of one k-gram
-can't stand in for missing words. Of overlapping spans of a template the one
+can't stand in for missing words. A word weighs less the more templates have it,
+so one that tells licenses apart is missed more than a common one. Of overlapping spans of a template the one
 that covers most stays. Codes are exact (a k-gram's words can be read back from
 its code), so a hit proves equal words. K-grams with a word outside the
 vocabulary can't equal a template's and are left out before the join. Templates
@@ -21,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +56,8 @@ TEMPLATES = {
 
 #: Words of a k-gram, and of a k-gram in templates of at most SHORT words; phrases use their own length.
 K, SHORT_K, SHORT = 3, 2, 12
-#: Diagonals at most so far apart merge; a span needs this share of its template's words.
-SLACK, COVER = 8, 0.75
+#: Diagonals at most so far apart merge; a span needs this share of its template's words by weight.
+SLACK, COVER = 8, 0.7
 _WORD_BITS = 20
 _WORDS = byte_table("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -65,17 +67,19 @@ class Templates:
 
     def __init__(self, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES):
         self.rows: list[tuple[int, int, int]] = []  # code, template, position
-        self.labels: list[tuple[int, str, bool, int, int]] = []  # template, label, base, k, words
+        self.labels: list[tuple[int, str, bool, int, list[float]]] = []  # template, label, base, k, weights of its words (their sum is 1)
         words = [(text.split(), label, True) for text, label in base.items()] + [(text.split(), label, False) for text, label in templates.items()]
         self.vocabulary = sorted({w for ws, _, _ in words for w in ws})
         number = {w: i + 1 for i, w in enumerate(self.vocabulary)}
+        among = Counter(w for ws, _, is_base in words if not is_base for w in set(ws))
         self.sizes: set[int] = set()
         for t, (ws, label, is_base) in enumerate(words):
             own = min(len(ws), len(ws) if is_base else SHORT_K if len(ws) <= SHORT else K)
             self.sizes.add(own)
             for at in range(len(ws) - own + 1):
                 self.rows.append((self.code([number[w] for w in ws[at : at + own]]), t, at))
-            self.labels.append((t, label, is_base, own, len(ws)))
+            weights = [1 / max(1, among[w]) for w in ws]
+            self.labels.append((t, label, is_base, own, [x / sum(weights) for x in weights]))
         if max(self.sizes) > 3:
             raise ValueError("phrases of over three words belong to the templates")
 
@@ -126,7 +130,7 @@ def spans(grams: DataFrame, templates: Templates, slack: int = SLACK, cover: flo
     spark = grams.sparkSession
     # Both tables are as large as the templates, a few hundred rows.
     places = F.broadcast(spark.createDataFrame(templates.rows, "code long, template int, at int"))
-    labels = F.broadcast(spark.createDataFrame(templates.labels, "template int, label string, base boolean, k int, n_words int"))
+    labels = F.broadcast(spark.createDataFrame(templates.labels, "template int, label string, base boolean, k int, weights array<double>"))
     hits = grams.select("_row", F.inline("grams")).join(places, "code").withColumn("diagonal", F.col("pos") - F.col("at"))
     # A diagonal has each position of the template once at most.
     votes = hits.groupBy("_row", "template", "diagonal").agg(F.collect_set("at").alias("at"), F.min("pos").alias("first"), F.max("pos").alias("last")).join(labels, "template")
@@ -134,8 +138,9 @@ def spans(grams: DataFrame, templates: Templates, slack: int = SLACK, cover: flo
     along = Window.partitionBy("_row", "template").orderBy("diagonal")
     near = along.rangeBetween(0, slack)
     covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("at").over(near)), lambda a: F.sequence(a, a + F.col("k") - 1))))
-    merged = votes.where("not base").withColumns({"coverage": F.size(covered) / F.col("n_words"), "first": F.min("first").over(near), "last": F.max("last").over(near) + F.col("k") - 1})
-    found = merged.where((F.col("coverage") >= cover) & (F.col("last") - F.col("first") < F.col("n_words") + 2 * slack))
+    weight = F.aggregate(covered, F.lit(0.0), lambda total, at: total + F.get("weights", at))
+    merged = votes.where("not base").withColumns({"coverage": F.least(F.lit(1.0), F.round(weight, 9)), "first": F.min("first").over(near), "last": F.max("last").over(near) + F.col("k") - 1})
+    found = merged.where((F.col("coverage") >= cover) & (F.col("last") - F.col("first") < F.size("weights") + 2 * slack))
     # Neighbouring diagonals find the same place again: the best of each run of them stays.
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True))
     runs = found.withColumn("_run", F.sum(apart.cast("int")).over(along)).groupBy("_row", "template", "_run", "label")
