@@ -19,6 +19,7 @@ def values(spark, items, column, name="t", kind="string"):
     return [r[0] for r in rows.orderBy("i").select(column.alias("x"), "i").orderBy("i").collect()]
 
 
+# Tokenizer cases that results must match.
 TOKENS = [
     ("Hello, World! hello", {"hello": 2, "world": 1}),
     ("sha256 与 v2", {"sha256": 1, "v2": 1, "与": 1}),
@@ -125,6 +126,7 @@ def test_vectors(spark):
     assert [r[0] for r in rows.select(vectors.from_base64(vectors.to_base64("v"))).collect()] == [data, None]
 
 
+# Snippet cases that results must match.
 SNIPPETS = [
     ("aaaa,bbbb,CCCC-dddd;eeee", "cccc", "aaaa,bbbb,【CCCC】-dddd;eeee"),
     ("channel 与 chan 与 channels。", "chan", "channel 与 【chan】 与 channels。"),

@@ -14,6 +14,7 @@ from marlstone.sources.embed import HashEmbedder
 from marlstone.sources.warehouse import Warehouse
 from marlstone.streaming.ingest import ingest
 
+# Fixed value: the clock of the worked examples.
 NOW = 1_700_000_000
 
 
