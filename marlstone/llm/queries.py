@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, bt_quality, budget_mix, certified_packing, dart_minhash, diagonal_license, info_pii, mpegts_media, slot_sharding, trie_dedup
+from . import brown_lm, bt_quality, budget_mix, certified_packing, dart_minhash, diagonal_license, importance_resampling, info_pii, mpegts_media, slot_sharding, trie_dedup, voronoi_negatives, warc_chain
 from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,23 @@ def op10_mpegts_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts_media.transport_streams(documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = voronoi_negatives.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return voronoi_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_chain.through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "intact")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_brown_lm, op2_bt_quality, op3_slot_sharding, op4_budget_mix, op5_certified_packing, op6_trie_dedup, op7_diagonal_license, op8_dart_minhash, op9_info_pii, op10_mpegts_media)}
+    return {f.__name__: f for f in (op1_brown_lm, op2_bt_quality, op3_slot_sharding, op4_budget_mix, op5_certified_packing, op6_trie_dedup, op7_diagonal_license, op8_dart_minhash, op9_info_pii, op10_mpegts_media, op11_importance_resampling, op12_voronoi_negatives, op13_warc_chain)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
