@@ -130,8 +130,7 @@ def weights(docs: DataFrame, gain: np.ndarray) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         every, rows, n_words = features(batch.column(1), buckets)
         n = np.bincount(rows, minlength=batch.num_rows)
-        total = np.zeros(batch.num_rows, np.int64)
-        np.add.at(total, rows, gain[every])
+        total = np.bincount(rows, gain[every], batch.num_rows).astype(np.int64)  # whole numbers far below 2^53
         weight = np.where(n > 0, total // np.maximum(n, 1), 0)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(n_words.astype(np.int64)), pa.array(weight)], names=["doc_id", "n_features", "n_words", "weight"])
 
