@@ -145,6 +145,14 @@ def fsck_relations(objects: DataFrame, notes: DataFrame, snapshots: DataFrame, e
     return out
 
 
+def fsck_edges(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stored references that aren't what the objects say."""
+    keys = ["src", "dst", "role"]
+    said = cut(object_edges(objects.where("kind <> 'blob'")))
+    row = lambda rows, text: rows.select(F.col("src").alias("addr"), F.lit("edge").alias("kind"), F.concat(F.lit(text), "dst").alias("problem"))
+    return row(said.join(edges, keys, "left_anti"), "reference not stored: ").unionByName(row(edges.join(said, keys, "left_anti"), "stored reference that no object has: "))
+
+
 def to_transfer(source: DataFrame, local: DataFrame, head: str) -> DataFrame:
     """Objects reachable from ``head`` in ``source``, history included, that ``local`` lacks."""
     edges = object_edges(source)

@@ -57,6 +57,27 @@ def flatten_all(tree_entries: DataFrame, roots: DataFrame) -> DataFrame:
         found = found.unionByName(level)
 
 
+def deltas_of(tree_entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (snapshot, path, ..., deleted) by which trees differ from those before them, for ``roots(addr, root, base_root)``;
+    whole trees where ``chain`` is 0. One pair of joins per level for all of them, and only below directories that differ.
+    """
+    steps = tree_entries.select(F.col("tree").alias("_tree"), "slug", "type", "addr")
+    level = roots.select(F.col("addr").alias("snapshot"), F.lit("").alias("parent"), F.col("root").alias("new"), F.when(F.col("chain") > 0, F.col("base_root")).alias("old"))
+    found, depth = None, 0
+    while True:
+        depth += 1
+        level = cut(level.where("not new <=> old"))
+        side = lambda c, p: level.select("snapshot", "parent", F.col(c).alias("_tree")).join(steps, "_tree").select("snapshot", "parent", "slug", F.col("type").alias(f"{p}_type"), F.col("addr").alias(f"{p}_addr"))  # noqa: E731, B023
+        both = cut(side("new", "n").join(side("old", "o"), ["snapshot", "parent", "slug"], "full_outer").where("not (n_type <=> o_type and n_addr <=> o_addr)"))
+        path = F.when(F.col("parent") == "", F.col("slug")).otherwise(F.concat_ws("/", "parent", "slug"))
+        rows = both.select("snapshot", path.alias("path"), "parent", "slug", F.lit(depth).alias("depth"), F.coalesce("n_type", "o_type").alias("type"), F.coalesce("n_addr", "o_addr").alias("addr"), F.col("n_type").isNull().alias("deleted"))
+        found = rows if found is None else found.unionByName(rows)
+        tree_at = lambda p: F.when(F.col(f"{p}_type") == "dir", F.col(f"{p}_addr"))
+        level = both.where("n_type = 'dir' or o_type = 'dir'").select("snapshot", path.alias("parent"), tree_at("n").alias("new"), tree_at("o").alias("old"))
+        if level.isEmpty():
+            return found
+
+
 def tree_addresses(entries: DataFrame, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, str]:
     """Entries with directory addresses computed bottom-up, the new tree objects, and the root's address.
 

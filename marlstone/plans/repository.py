@@ -1,10 +1,11 @@
 """A versioned knowledge base: the commit protocol and everything built on it.
 
-A commit writes immutable rows first (objects, notes, entry deltas, index rows) and then
-moves the branch pointer, which is the only publication. Snapshots keep what changed
-against their base; every ``FULL_EVERY`` snapshots the whole relation is written. The
-index is keyed by path and address, so a commit only adds rows for pairs never indexed
-before, and the index of any snapshot is what its entries select.
+A commit is one transaction of the warehouse: immutable rows (objects and their references,
+notes, entry deltas, index rows) and the branch that moves with them are published together or
+not at all. Snapshots keep what changed against their base; every ``FULL_EVERY`` snapshots the
+whole relation is written. Each has a place on a line of the graph (operators/lines.py), so
+history costs no step per snapshot. The index is keyed by path and address, so a commit only
+adds rows for pairs never indexed before, and the index of any snapshot is what its entries select.
 
 Deliberate choices: vectors of a snapshot are transferred with it; listings are depth
 first by segment; parents are sorted by address, and the log follows the first of them;
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors as E
-from ..functions.encoding import encode_note
+from ..functions.encoding import decode, encode_note
 from ..functions.scalars import address, ancestors_of, note_path, path_parts, tags_equal, tags_or_empty
 from ..lineage import cut
-from ..operators import dag, objects, search, tree, versions
-from ..schema import ENTRIES, NOTE_INPUT, EngineConfig
+from ..operators import dag, lines, objects, search, tree, versions
+from ..schema import ENTRIES, LINKS, NOTE_INPUT, EngineConfig
 from ..sources import formats
 from ..sources.embed import Embedder, check_uniform, embedded
-from ..sources.warehouse import Warehouse, open_warehouse
+from ..sources.warehouse import Manifest, Transaction, Warehouse, open_warehouse
 
 FULL_EVERY = 16
 STAGE_MESSAGE, MERGE_MESSAGE = "stage base", "merge"
@@ -81,8 +82,11 @@ class Repository:
         return self.store.relation("snapshots")
 
     def snapshot(self, addr: str) -> Row:
-        # Snapshots never change, so a row once read stays good for this library's handles.
-        known = self.store.known_snapshots
+        # Between collections a snapshot's row never changes, so once read it stays good for this library's handles.
+        known, epoch = self.store.known_snapshots, self.store.manifest().epoch
+        if epoch != self.store.known_epoch:
+            known.clear()
+            self.store.known_epoch = epoch
         if addr not in known:
             row = self.snapshots().where(F.col("addr") == addr).head()
             if row is None:
@@ -97,9 +101,6 @@ class Repository:
             return False
         return True
 
-    def edges(self) -> DataFrame:
-        return dag.edges_of(self.snapshots())
-
     def project_heads(self, every: bool = False) -> list[str]:
         return sorted({b["addr"] for b in self.store.branch_list(None if every else self.project)})
 
@@ -113,7 +114,7 @@ class Repository:
             except E.BranchNotFound:
                 pass
         prefix = name if name.startswith("sha256:") else "sha256:" + name
-        return dag.by_prefix(dag.reachable(self.edges(), self.project_heads()), prefix)
+        return dag.by_prefix(lines.reachable(self.snapshots(), self.project_heads()).withColumnRenamed("addr", "node"), prefix)
 
     def _at(self, ref: str | None) -> str | None:
         return self.head() if ref is None else self.resolve(ref)
@@ -165,15 +166,17 @@ class Repository:
 
     # commits
 
-    def _commit(self, changes: DataFrame, message: str, parents: list[str] | None = None, base: str | None = "", new_objects: list[DataFrame] = (), branch: str | None = None, expected: str | None = "", vectors: str = "") -> str:
-        """Applies ``changes(path, type, addr, deleted)`` to a snapshot's entries and publishes the result.
+    def _commit(self, changes: DataFrame, message: str, parents: list[str] | None = None, base: str | None = "", expected: str | None = "", vectors: str = "") -> str:
+        """One snapshot of ``changes(path, type, addr, deleted)``, published by itself."""
+        head = self.head()
+        return self.store.transact(lambda tx: self._commit_in(tx, changes, message, head, parents, base, expected=expected, vectors=vectors))
+
+    def _commit_in(self, tx: Transaction, changes: DataFrame, message: str, head: str | None, parents: list[str] | None = None, base: str | None = "", new_objects: list[DataFrame] = (), expected: str | None = "", vectors: str = "") -> str:
+        """Applies ``changes(path, type, addr, deleted)`` to a snapshot's entries and adds the result to a transaction.
 
-        Without ``parents`` the branch's head is the only one. The write fails if the head isn't what it
-        was at the start, or ``expected`` if that is given.
+        Without ``parents`` the branch's ``head`` is the only one. The write fails if the head isn't that any more,
+        or ``expected`` if that is given.
         """
-        branch = branch or self.branch
-        view = self.on(branch=branch)
-        head = view.head()
         base = head if base == "" else base
         parents = ([head] if head else []) if parents is None else parents
         old = self.entries(base)
@@ -200,30 +203,38 @@ class Repository:
             delta = delta.unionByName(changes.where("deleted").select(*tree.COLUMNS, "deleted").join(adds.select("path"), "path", "left_anti"))
         fresh = not self._has_snapshot(addr)
         own = self.spark.createDataFrame([("snapshot", data.encode())], "kind string, data binary")
-        self.store.put(union([*new_objects, trees, own]))
+        tx.put(union([*new_objects, trees, own]))
         if fresh:
-            self.store.append("deltas", delta.withColumn("snapshot", F.lit(addr)))
-            indexed = self.config.indexed and branch == self.branch
-            if indexed:
-                self._index(tree.leaves(added.where("type = 'note'")))
-            row = [(addr, root, sorted(parents), time, message, base, chain, indexed, vectors or None)]
-            self.store.append("snapshots", self.spark.createDataFrame(row, self.snapshots().schema))
-        self.store.branch_set(self.project, branch, addr, head if expected == "" else expected)
+            tx.append("deltas", delta.withColumn("snapshot", F.lit(addr)))
+            if self.config.indexed:
+                self._index(tx, tree.leaves(added.where("type = 'note'")))
+            line, place, ups = self._line(addr, sorted(parents), head)
+            row = [(addr, root, sorted(parents), time, message, base, chain, self.config.indexed, vectors or None, line, place, ups)]
+            tx.append("snapshots", self.spark.createDataFrame(row, self.snapshots().schema))
+        tx.move(self.project, self.branch, addr, head if expected == "" else expected)
         return addr
 
-    def _index(self, pairs: DataFrame) -> None:
+    def _line(self, addr: str, parents: list[str], head: str | None) -> tuple[str, int, list[tuple[str, int]]]:
+        """A new snapshot's line, place and other parents' coordinates. The branch's line goes on where no other snapshot
+        has taken the place; stages and the like always begin their own."""
+        at = [(r["line"], r["place"]) for r in (self.snapshot(p) for p in parents)]
+        if parents and parents[0] == head and self.config.indexed:
+            line, place = at[0][0], at[0][1] + 1
+            if self.snapshots().where((F.col("line") == line) & (F.col("place") == place)).isEmpty():
+                return line, place, at[1:]
+        return addr, 0, at
+
+    def _index(self, tx: Transaction, pairs: DataFrame) -> None:
         """Index rows of (path, address) pairs that have none yet."""
-        new = pairs.join(self.store.relation("docs").select("path", "addr"), ["path", "addr"], "left_anti")
-        for name, rows in self._index_rows(new).items():
-            self.store.append(name, rows)
+        for name, rows in self._index_rows(tx, tx.lacking("docs", pairs)).items():
+            tx.append(name, rows)
 
-    def _index_rows(self, pairs: DataFrame) -> dict[str, DataFrame]:
-        rows = cut(pairs.join(self.notes().select("addr", "title", "tags", "body"), "addr"))
-        tagged = lambda df: df.withColumn("snapshot", F.lit("any"))
-        return {"postings": tagged(search.bucketed(search.postings_of(rows))), "docs": tagged(search.docs_of(rows))}
+    def _index_rows(self, tx: Transaction, pairs: DataFrame) -> dict[str, DataFrame]:
+        rows = cut(pairs.join(tx.relation("notes").select("addr", "title", "tags", "body"), "addr"))
+        return {"postings": search.bucketed(search.postings_of(rows)), "docs": search.docs_of(rows)}
 
-    def _notes(self, inputs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """Stores new notes; gives (path, addr) and the objects to put."""
+    def _encoded(self, inputs: DataFrame) -> DataFrame:
+        """Checked notes with their canonical form and address."""
         bad = inputs.where(F.coalesce(F.trim("title"), F.lit("")) == "").union(inputs.where(~formats.valid_path("path"))).select("path", "title").head()
         if bad and not is_note_path(bad["path"]):
             raise E.InvalidPath(bad["path"])
@@ -231,10 +242,18 @@ class Repository:
             raise E.InvalidObject(f"{bad['path']!r} has no title")
         rows = inputs.select("path", "title", tags_or_empty("tags").alias("tags"), F.coalesce("created_at", F.lit(self.config.now())).alias("created_at"), "links", F.coalesce("body", F.lit("")).alias("body"))
         rows = rows.withColumn("json", encode_note("title", "tags", "created_at", address("body"), "links")).withColumn("addr", address("json"))
-        rows = cut(rows)
-        new = rows.dropDuplicates(["addr"]).join(self.notes().select("addr"), "addr", "left_anti")
-        self.store.append("notes", new.withColumn("tags", F.array_sort("tags")))
-        return rows.select("path", "addr"), [rows.select(F.lit("blob").alias("kind"), F.col("body").cast("binary").alias("data")), rows.select(F.lit("note").alias("kind"), F.col("json").cast("binary").alias("data"))]
+        return cut(rows)
+
+    def _commit_notes(self, inputs: DataFrame, message: str) -> str:
+        """Notes and the snapshot that has them, in one transaction."""
+        head, rows = self.head(), self._encoded(inputs)
+
+        def work(tx: Transaction) -> str:
+            tx.append("notes", tx.lacking("notes", rows.dropDuplicates(["addr"]), rows).withColumn("tags", F.array_sort("tags")))
+            new = [rows.select(F.lit("blob").alias("kind"), F.col("body").cast("binary").alias("data")), rows.select(F.lit("note").alias("kind"), F.col("json").cast("binary").alias("data"))]
+            return self._commit_in(tx, self._note_changes(rows), message, head, new_objects=new)
+
+        return self.store.transact(work)
 
     def inputs(self, items: list[dict]) -> DataFrame:
         """Note inputs from plain values."""
@@ -255,9 +274,7 @@ class Repository:
         self._writable()
         if "seq" not in inputs.columns:
             inputs = inputs.withColumn("seq", F.monotonically_increasing_id())
-        rows = cut(tree.last_wins(inputs, "path", "seq"))
-        pairs, new = self._notes(rows)
-        return self._commit(self._note_changes(pairs), message, new_objects=new)
+        return self._commit_notes(tree.last_wins(inputs, "path", "seq"), message)
 
     def _one(self, path: str, ref: str | None = None) -> Row:
         parts = path_parts(note_path(path))
@@ -337,8 +354,10 @@ class Repository:
         start = self._at(ref)
         if start is None:
             return self.snapshots().limit(0).withColumn("depth", F.lit(0))
-        walked = dag.first_parent_log(self.edges(), self.spark.createDataFrame([(start,)], "start string"))
-        return walked.select(F.col("node").alias("addr"), "depth").join(self.snapshots(), "addr").orderBy("depth")
+        return lines.log(self.snapshots(), self._starts(start)).select("addr", F.col("depth").cast("int").alias("depth")).join(self.snapshots(), "addr").orderBy("depth")
+
+    def _starts(self, *addrs: str) -> DataFrame:
+        return self.spark.createDataFrame([(a,) for a in addrs], "start string")
 
     def diff(self, base: str | None, tip: str | None) -> DataFrame:
         """Changed notes between two references; none is the empty tree."""
@@ -350,7 +369,12 @@ class Repository:
         target, head = self.resolve(ref), self.head()
         if head is None:
             raise E.NotFound("the branch has no snapshot")
-        lost = dag.abandoned_count(self.edges(), head, target)
+        reached = cut(lines.closure(self.snapshots(), self._starts(head, target)))
+        at = self.snapshot(target)
+        if reached.where((F.col("start") == head) & (F.col("line") == at["line"]) & (F.col("place") >= at["place"])).isEmpty():
+            raise E.NotAncestor(f"{target} is no ancestor of {head}")
+        sizes = {r["start"]: r["n"] for r in lines.count(reached).collect()}
+        lost = sizes[head] - sizes[target]
         self.store.branch_set(self.project, self.branch, target, head)
         return lost
 
@@ -365,10 +389,9 @@ class Repository:
                 raise E.NoIndex(addr)
             keep = self.store.meta_get("gc.keep_last", None)
             if keep is not None and int(keep) > 0:
-                depth = dag.reachable(self.edges(), self.project_heads(every=True)).where(F.col("node") == addr).head()
-                if depth is None or depth["depth"] >= int(keep):
+                if lines.depths(self.snapshots(), self._starts(*self.project_heads(every=True)), int(keep)).where(F.col("addr") == addr).isEmpty():
                     raise E.IndexPruned(addr)
-        pick = lambda rows: rows.drop("snapshot").join(pairs, ["path", "addr"], "left_semi")
+        pick = lambda rows: rows.join(pairs, ["path", "addr"], "left_semi")
         return pick(self.store.relation("postings")), pick(self.store.relation("docs"))
 
     def search(self, query: str, ref: str | None = None, limit: int | None = None, snippet: bool = False) -> DataFrame:
@@ -383,9 +406,15 @@ class Repository:
         if head is None:
             raise E.NotFound("nothing to index")
         pairs = cut(tree.leaves(self.entries(head)))
-        for name, rows in self._index_rows(pairs).items():
-            old = self.store.relation(name)
-            self.store.rewrite(name, old.join(pairs, ["path", "addr"], "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
+
+        def rebuilt(record: Manifest) -> dict[str, DataFrame]:
+            out = {}
+            for name, rows in self._index_rows(Transaction(self.store), pairs).items():
+                old = self.store.read_segments(name, record.segments[name])
+                out[name] = old.join(pairs, ["path", "addr"], "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
+            return out
+
+        self.store.replace_segments(rebuilt)
         nothing = self.spark.createDataFrame([], "path string, type string, addr string, deleted boolean")
         return self._commit(nothing, message, vectors=self.snapshot(head)["vectors"] or "")
 
@@ -397,9 +426,13 @@ class Repository:
         vectors = cut(embedded(rows, embedder))
         check_uniform(vectors)
         generation = hashlib.sha256(f"{head} {embedder.model} {self.config.now()}".encode()).hexdigest()
-        self.store.append("vectors", vectors.withColumn("generation", F.lit(generation)))
         nothing = self.spark.createDataFrame([], "path string, type string, addr string, deleted boolean")
-        return self._commit(nothing, message, vectors=generation)
+
+        def work(tx: Transaction) -> str:
+            tx.append("vectors", vectors.withColumn("generation", F.lit(generation)))
+            return self._commit_in(tx, nothing, message, head, vectors=generation)
+
+        return self.store.transact(work)
 
     def search_hybrid(self, query: str, embedder: Embedder | None, ref: str | None = None, limit: int | None = None) -> DataFrame:
         """Lexical and vector legs of depth 50, fused by rank; every precondition fails loudly."""
@@ -459,8 +492,7 @@ class Repository:
 
     def stage_note(self, path: str, title: str, body: str = "", tags: list[str] | None = None) -> str:
         side = self._work_branch()
-        pairs, new = side._notes(side.inputs([{"path": note_path(path), "title": title, "body": body, "tags": tags}]))
-        return side._commit(side._note_changes(pairs), "stage", new_objects=new)
+        return side._commit_notes(side.inputs([{"path": note_path(path), "title": title, "body": body, "tags": tags}]), "stage")
 
     def stage_remove_note(self, path: str) -> str:
         side = self._work_branch()
@@ -509,28 +541,40 @@ class Repository:
 
     # transfer and merge
 
-    def _copy_from(self, source: Repository, head: str) -> int:
-        """Everything reachable from ``head`` that is missing here; gives the number of objects."""
-        new = cut(objects.to_transfer(source.store.relation("objects"), self.store.relation("objects"), head))
-        n = new.count()
-        snaps = dag.reachable(source.edges(), [head]).select(F.col("node").alias("addr"))
-        lacking = cut(source.snapshots().join(snaps, "addr", "left_semi").join(self.snapshots().select("addr"), "addr", "left_anti"))
-        needed = lacking.select(F.col("addr").alias("snapshot"))
-        deltas = source.store.relation("deltas").join(needed, "snapshot", "left_semi")
-        notes = source.notes().join(deltas.where("type = 'note' and not deleted").select("addr"), "addr", "left_semi").join(self.notes().select("addr"), "addr", "left_anti")
-        self.store.append("notes", notes)
-        have = self.store.relation("docs").select("path", "addr")
-        pairs = deltas.where("type = 'note' and not deleted").select("path", "addr").distinct().join(have, ["path", "addr"], "left_anti")
-        pairs = cut(pairs)
-        for name in ("postings", "docs"):
-            self.store.append(name, source.store.relation(name).join(pairs, ["path", "addr"], "left_semi"))
-        generations = lacking.where("vectors is not null").select(F.col("vectors").alias("generation")).distinct()
-        vectors = source.store.relation("vectors").join(generations, "generation", "left_semi").join(self.store.relation("vectors").select("generation").distinct(), "generation", "left_anti")
-        self.store.append("vectors", vectors)
-        self.store.append("objects", new)
-        self.store.append("deltas", deltas)
-        self.store.append("snapshots", lacking)
-        return n
+    def _copy_from(self, source: Repository, head: str, move: bool, ours: str | None = None) -> int:
+        """Everything reachable from ``head`` that is missing here, and the branch if it is to ``move``, in one transaction;
+        gives the number of objects."""
+        reached = cut(lines.reachable(source.snapshots(), [head]))
+        marked = cut(objects.marked(source.store.relation("edges"), reached.withColumnRenamed("addr", "node")))
+
+        def work(tx: Transaction) -> int:
+            new = tx.append("objects", tx.lacking("objects", source.store.relation("objects").join(marked, "addr", "left_semi")))
+            tx.append("edges", tx.lacking("edges", source.store.relation("edges").join(marked.withColumnRenamed("addr", "src"), "src", "left_semi")))
+            lacking = cut(tx.lacking("snapshots", source.snapshots().join(reached, "addr", "left_semi")))
+            deltas = source.store.relation("deltas").join(lacking.select(F.col("addr").alias("snapshot")), "snapshot", "left_semi")
+            held = cut(deltas.where("type = 'note' and not deleted").select("path", "addr").distinct())
+            tx.append("notes", tx.lacking("notes", source.notes().join(held, "addr", "left_semi")))
+            pairs = cut(tx.lacking("docs", held))
+            for name in ("postings", "docs"):
+                tx.append(name, source.store.relation(name).join(pairs, ["path", "addr"], "left_semi"))
+            generations = lacking.where("vectors is not null").select(F.col("vectors").alias("generation")).distinct()
+            tx.append("vectors", tx.lacking("vectors", source.store.relation("vectors").join(generations, "generation", "left_semi")))
+            tx.append("deltas", deltas)
+            tx.append("snapshots", self._on_lines(tx, source, lacking, reached))
+            if move:
+                tx.move(self.project, self.branch, head, ours)
+            return new["rows"] if new else 0
+
+        return self.store.transact(work)
+
+    def _on_lines(self, tx: Transaction, source: Repository, lacking: DataFrame, reached: DataFrame) -> DataFrame:
+        """Snapshots to copy, with the source's coordinates where these agree with those here, else with new ones."""
+        here = tx.relation("snapshots")
+        shared = source.snapshots().join(reached, "addr", "left_semi").select("addr", "line", "place").join(here.select("addr", F.col("line").alias("_l"), F.col("place").alias("_p")), "addr").where("line <> _l or place <> _p")
+        taken = lacking.select("line", "place").join(here.select("line", "place"), ["line", "place"], "left_semi")
+        if shared.isEmpty() and taken.isEmpty():
+            return lacking
+        return cut(lines.labelled(lacking, here))
 
     def _remote_head(self, source: Repository, project: str, branch: str) -> str | None:
         source.store.project_get(project)
@@ -543,16 +587,15 @@ class Repository:
         ours = self.head()
         if theirs is None or theirs == ours:
             return {"result": "up to date", "objects": 0}
-        if ours is not None and self._has_snapshot(theirs) and dag.is_ancestor(self.edges(), theirs, ours):
+        if ours is not None and self._has_snapshot(theirs) and lines.is_ancestor(self.snapshots(), theirs, ours):
             return {"result": "ahead", "objects": 0}
-        forward = dag.is_ancestor(source.edges(), ours, theirs)
+        forward = lines.is_ancestor(source.snapshots(), ours, theirs)
         if not forward and not force:
-            both = self.edges().unionByName(source.edges()).distinct()
-            if dag.have_common_ancestor(both, ours, theirs):
+            mine = lines.reachable(self.snapshots(), [ours])
+            if not lines.reachable(source.snapshots(), [theirs]).join(mine, "addr", "left_semi").isEmpty():
                 raise E.Diverged("both sides have snapshots of their own: merge, or force")
             raise E.NoCommonHistory("the histories never meet: force, or merge as unrelated")
-        n = self._copy_from(source, theirs)
-        self.store.branch_set(self.project, self.branch, theirs, ours)
+        n = self._copy_from(source, theirs, True, ours)
         return {"result": "fast-forward" if forward else "forced", "objects": n}
 
     def merge(self, source: Repository, project: str | None = None, branch: str | None = None, base: str | None = None, allow_unrelated: bool = False, message: str = MERGE_MESSAGE) -> dict:
@@ -562,18 +605,14 @@ class Repository:
         ours = self.head()
         if theirs is None or theirs == ours:
             return {"result": "up to date", "auto_merged": 0}
-        if ours is None:
-            self._copy_from(source, theirs)
-            self.store.branch_set(self.project, self.branch, theirs, ours)
-            return {"result": "fast-forward", "auto_merged": 0}
-        if self._has_snapshot(theirs) and dag.is_ancestor(self.edges(), theirs, ours):
+        if ours is not None and self._has_snapshot(theirs) and lines.is_ancestor(self.snapshots(), theirs, ours):
             return {"result": "up to date", "auto_merged": 0}
-        self._copy_from(source, theirs)
-        if dag.is_ancestor(self.edges(), ours, theirs):
-            self.store.branch_set(self.project, self.branch, theirs, ours)
+        forward = lines.is_ancestor(source.snapshots(), ours, theirs)
+        self._copy_from(source, theirs, forward, ours)
+        if forward:
             return {"result": "fast-forward", "auto_merged": 0}
         try:
-            root = dag.merge_base(self.edges(), ours, theirs, base)
+            root = lines.merge_base(self.snapshots(), ours, theirs, base)
         except E.NoCommonHistory:
             if not allow_unrelated:
                 raise
@@ -668,12 +707,13 @@ class Repository:
 
     # integrity and lifecycle
 
-    def _depths(self) -> DataFrame:
+    def _alive(self) -> DataFrame:
+        """node: every snapshot that a branch of any project reaches."""
         heads = self.project_heads(every=True)
-        return dag.reachable(self.edges(), heads) if heads else self.spark.createDataFrame([], "node string, depth int")
+        return lines.reachable(self.snapshots(), heads).withColumnRenamed("addr", "node") if heads else self.spark.createDataFrame([], "node string")
 
     def _marked(self) -> DataFrame:
-        return objects.marked(objects.object_edges(self.store.relation("objects")), self._depths())
+        return objects.marked(self.store.relation("edges"), self._alive())
 
     def unreachable_count(self) -> int:
         return objects.unreachable(self.store.list(), self._marked()).count()
@@ -681,41 +721,50 @@ class Repository:
     def gc(self, keep_last: int | None = None, backup: Callable[[list[dict]], object] | None = None) -> dict:
         """Drops what no branch of any project reaches; with ``keep_last`` also indexes and vectors of older snapshots.
 
-        ``backup`` gets the branch table before anything is dropped; if it raises, nothing is.
+        ``backup`` gets the branch table before anything is dropped; if it raises, nothing is. Rows that others add
+        meanwhile stay; if a branch moves meanwhile, what is reachable is found anew.
         """
         if backup is not None:
             backup(self.export_branches())
-        depths = cut(self._depths())
-        dead = cut(objects.unreachable(self.store.list(), self._marked()).select("addr"))
-        n = dead.count()
-        if n:
-            self.store.delete(dead)
         keep = keep_last if keep_last is not None else int(self.store.meta_get("gc.keep_last", None) or 0)
         if keep_last is not None:
             self.store.meta_set("gc.keep_last", str(keep_last))
-        alive = depths.select(F.col("node").alias("addr"))
-        # A snapshot's chain of deltas stays as long as the snapshot does.
-        chains, frontier = alive, alive
-        for _ in range(FULL_EVERY):
-            frontier = self.snapshots().where("chain > 0").join(frontier, "addr", "left_semi").select(F.col("base").alias("addr"))
-            chains = chains.unionByName(frontier)
-        chains = cut(chains.distinct())
-        newest = depths.where(F.col("depth") < keep).select(F.col("node").alias("addr")) if keep else alive
-        snapshots = self.snapshots().join(chains, "addr", "left_semi")
-        deltas = self.store.relation("deltas").join(chains.withColumnRenamed("addr", "snapshot"), "snapshot", "left_semi")
-        pairs = cut(tree.leaves(self.entries_of(newest.select(F.col("addr").alias("snapshot")))).distinct())
-        generations = snapshots.join(newest, "addr", "left_semi").where("vectors is not null").select(F.col("vectors").alias("generation")).distinct()
-        for name, rows in (
-            ("postings", self.store.relation("postings").join(pairs, ["path", "addr"], "left_semi")),
-            ("docs", self.store.relation("docs").join(pairs, ["path", "addr"], "left_semi")),
-            ("vectors", self.store.relation("vectors").join(generations, "generation", "left_semi")),
-            ("notes", self.notes().join(deltas.where("type = 'note'").select("addr"), "addr", "left_semi")),
-            ("deltas", deltas),
-            ("snapshots", snapshots),
-        ):
-            self.store.rewrite(name, rows)
-        self.store.known_snapshots.clear()
-        return {"removed": n, "keep_last": keep}
+        removed = 0
+
+        def kept(record: Manifest) -> dict[str, DataFrame]:
+            nonlocal removed
+            read = lambda name: self.store.read_segments(name, record.segments[name])
+            heads = sorted({b["addr"] for b in record.rows("branches")})
+            snapshots = read("snapshots")
+            alive = cut(lines.reachable(snapshots, heads)) if heads else self.spark.createDataFrame([], "addr string")
+            marked = cut(objects.marked(read("edges"), alive.withColumnRenamed("addr", "node")))
+            removed = objects.unreachable(read("objects").select("addr"), marked).count()
+            # A snapshot's chain of deltas stays as long as the snapshot does.
+            chains, frontier = alive, alive
+            for _ in range(FULL_EVERY):
+                frontier = snapshots.where("chain > 0").join(frontier, "addr", "left_semi").select(F.col("base").alias("addr"))
+                chains = chains.unionByName(frontier)
+            chains = cut(chains.distinct())
+            newest = lines.depths(snapshots, self._starts(*heads), keep).select("addr") if keep and heads else alive
+            newest = cut(newest)
+            deltas = read("deltas").join(chains.withColumnRenamed("addr", "snapshot"), "snapshot", "left_semi")
+            pairs = cut(tree.leaves(self.entries_of(newest.select(F.col("addr").alias("snapshot")))).distinct())
+            generations = snapshots.join(newest, "addr", "left_semi").where("vectors is not null").select(F.col("vectors").alias("generation")).distinct()
+            return {
+                "objects": read("objects").join(marked, "addr", "left_semi"),
+                "edges": read("edges").join(marked.withColumnRenamed("addr", "src"), "src", "left_semi"),
+                "postings": read("postings").join(pairs, ["path", "addr"], "left_semi"),
+                "docs": read("docs").join(pairs, ["path", "addr"], "left_semi"),
+                "vectors": read("vectors").join(generations, "generation", "left_semi"),
+                "notes": read("notes").join(deltas.where("type = 'note'").select("addr"), "addr", "left_semi"),
+                "deltas": deltas,
+                # Long histories that went from hand to hand get long lines again.
+                "snapshots": cut(lines.labelled(snapshots.join(chains, "addr", "left_semi"))),
+            }
+
+        self.store.replace_segments(kept, settled=True)
+        self.store.vacuum_strays()
+        return {"removed": removed, "keep_last": keep}
 
     def export_branches(self) -> list[dict]:
         """The branch table as rows, for a backup before a collection."""
@@ -727,10 +776,11 @@ class Repository:
         generation = self.snapshot(head)["vectors"] if head else None
         vectors = self.store.relation("vectors").where(F.col("generation") == generation) if generation else None
         found = objects.fsck(self.store.relation("objects"), self.entries(head) if generation else None, vectors)
-        alive = self.snapshots().join(self._depths().select(F.col("node").alias("addr")), "addr", "left_semi")
+        alive = self.snapshots().join(self._alive().withColumnRenamed("node", "addr"), "addr", "left_semi")
         tips = self.entries_of(self.spark.createDataFrame([(h,) for h in self.project_heads(every=True)], "snapshot string"))
         relations = objects.fsck_relations(self.store.relation("objects"), self.notes(), alive, tips, self.store.relation("docs"), self.store.relation("postings"))
-        return found.unionByName(relations).orderBy("addr", "problem")
+        stored = objects.fsck_edges(self.store.relation("objects"), self.store.relation("edges"))
+        return found.unionByName(relations).unionByName(stored).orderBy("addr", "problem")
 
     CHECKS = ("storage", "fsck", "version", "config", "gc-protect", "serve")
 
@@ -775,7 +825,7 @@ class Repository:
         n, total = changed.count(), notes.count()
         if n:
             times = self._inherited_times(changed)
-            self.bulk_import(changed.join(times, "path", "left").withColumn("links", F.lit(None).cast("array<struct<slug:string,rel:string>>")), message)
+            self.bulk_import(changed.join(times, "path", "left").withColumn("links", F.lit(None).cast(LINKS)), message)
         return {"changed": n, "skipped": total - n}
 
     def _inherited_times(self, changed: DataFrame) -> DataFrame:
@@ -805,31 +855,31 @@ class Repository:
             raise E.InvalidObject(f"{bad['addr']} is damaged")
         if force:
             self.store.wipe()
-        self.store.put(found.select("kind", "data"))
         for r in rows.where("type = 'project'").collect():
             if not self.store.project_create(r["name"], r["description"] or ""):
                 self.store.project_describe(r["name"], r["description"] or "")
         branches = rows.where("type = 'branch'").collect()
-        self._relations_from_objects(sorted({b["addr"] for b in branches}))
+        self.store.transact(lambda tx: self._relations_from_objects(tx, found.select("kind", "data")))
         for b in branches:
             self.store.branch_set(b["project"], b["name"], b["addr"])
             if b["description"]:
                 self.store.branch_describe(b["project"], b["name"], b["description"])
         return {"objects": found.count(), "projects": rows.where("type = 'project'").count(), "branches": len(branches), "version": version}
 
-    def _relations_from_objects(self, heads: list[str]) -> None:
-        """Notes, snapshots, entries and index rows out of the objects alone."""
-        from ..functions.encoding import decode
-
-        everything = self.store.relation("objects")
+    def _relations_from_objects(self, tx: Transaction, found: DataFrame) -> None:
+        """Objects, and notes, snapshots, entries and index rows out of the objects alone."""
+        tx.put(found)
+        everything = tx.relation("objects")
         blobs = everything.where("kind = 'blob'").select(F.col("addr").alias("body_addr"), F.col("data").cast("string").alias("body"))
         notes = decode(everything, "note").select("addr", F.col("o.meta.title").alias("title"), tags_or_empty("o.meta.tags").alias("tags"), F.col("o.meta.created_at").alias("created_at"), F.col("o.links").alias("links"), F.col("o.body").alias("body_addr"))
-        self.store.append("notes", notes.join(blobs, "body_addr").drop("body_addr"))
+        tx.append("notes", notes.join(blobs, "body_addr").drop("body_addr"))
         steps = cut(decode(everything, "tree").select(F.col("addr").alias("tree"), F.explode("o.entries").alias("e")).select("tree", "e.slug", "e.type", "e.addr"))
-        snaps = cut(decode(everything, "snapshot").select("addr", "o.root", F.coalesce("o.parents", F.array().cast("array<string>")).alias("parents"), "o.time", "o.message"))
-        every = tree.flatten_all(steps, snaps.select(F.col("addr").alias("name"), "root"))
-        self.store.append("deltas", every.withColumnRenamed("name", "snapshot").withColumn("deleted", F.lit(False)))
-        self.store.append("snapshots", snaps.select("*", F.lit(None).cast("string").alias("base"), F.lit(0).alias("chain"), F.lit(True).alias("indexed"), F.lit(None).cast("string").alias("vectors")))
-        self._index(tree.leaves(self.store.relation("deltas")).distinct())
-
-
+        snaps = decode(everything, "snapshot").select("addr", "o.root", F.coalesce("o.parents", F.array().cast("array<string>")).alias("parents"), "o.time", "o.message")
+        snaps = cut(lines.labelled(snaps))
+        # Along its line a snapshot differs from the one before by few entries; every FULL_EVERY-th place stands whole.
+        chain = (F.col("place") % FULL_EVERY).cast("int")
+        before = snaps.select("line", (F.col("place") + 1).alias("place"), F.col("addr").alias("base"), F.col("root").alias("base_root"))
+        snaps = cut(snaps.join(before, ["line", "place"], "left").withColumn("chain", chain))
+        tx.append("deltas", tree.deltas_of(steps, snaps))
+        tx.append("snapshots", snaps.withColumns({"base": F.when(F.col("chain") > 0, F.col("base")), "indexed": F.lit(True), "vectors": F.lit(None).cast("string")}))
+        self._index(tx, tree.leaves(tx.relation("deltas").where("not deleted")).distinct())

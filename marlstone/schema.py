@@ -16,7 +16,8 @@ OBJECTS = "addr string, kind string, size long, data binary"
 NOTES = f"addr string, title string, tags array<string>, created_at long, links {LINKS}, body string"
 ENTRIES = "path string, parent string, slug string, depth int, type string, addr string"
 DELTAS = f"snapshot string, {ENTRIES}, deleted boolean"
-SNAPSHOTS = "addr string, root string, parents array<string>, time long, message string, base string, chain int, indexed boolean, vectors string"
+SNAPSHOTS = "addr string, root string, parents array<string>, time long, message string, base string, chain int, indexed boolean, vectors string, line string, place long, ups array<struct<line: string, place: long>>"
+EDGES = "src string, dst string, role string"
 DOCS = "path string, addr string, len long"
 POSTINGS = "bucket int, term string, path string, addr string, tf_title long, tf_tags long, tf_body long"
 VECTORS = "generation string, model string, dim int, bucket int, path string, vec array<float>"

@@ -249,14 +249,14 @@ def test_two_writers_lose_nothing(spark, repo):
     """A second handle commits while the first one is about to publish: the first fails, and what it read is still whole."""
     bulk(repo, {"a": "1"})
     other = Repository(spark, EngineConfig(repo.config.warehouse, now=Clock()))
-    publish = repo.store.branch_set
+    publish = repo.store.publish
 
-    def late(project, name, addr, expected=""):
-        repo.store.branch_set = publish
+    def late(change):
+        repo.store.publish = publish
         bulk(other, {"b": "from the other"})
-        publish(project, name, addr, expected)
+        return publish(change)
 
-    repo.store.branch_set = late
+    repo.store.publish = late
     with pytest.raises(E.HeadMoved):
         repo.set_note("c", "C")
     assert paths(repo) == ["a", "b"]
@@ -270,7 +270,7 @@ def test_pointer_tables_take_all_changes(spark, tmp_path):
     with ThreadPoolExecutor(8) as pool:
         list(pool.map(lambda i: store.meta_set(f"k{i}", str(i)), range(40)))
     assert {store.meta_get(f"k{i}") for i in range(40)} == {str(i) for i in range(40)}
-    assert not store._publish(f"{store.path}/meta/v{store._versions('meta')[-1]:09d}.json", b"[]")
+    assert not store._publish(store._record(store.manifest().version), b"[]")
 
 
 @pytest.mark.usual
