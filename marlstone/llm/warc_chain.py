@@ -38,6 +38,8 @@ from .common import bitmap, cut, dropped, scratch_path, small_batches
 
 #: Payloads shorter than this are never revisited.
 LEAST_BYTES = 0
+#: Repeated payloads up to this many (about 5 MB) are broadcast; beyond, pages are shuffled by their payload's hash.
+BROADCAST_OWNERS = 50_000
 #: The date of records whose page has none.
 DATE = "1970-01-01T00:00:00Z"
 #: Where Spark cuts: a line that starts like a record of version 1.0 or 1.1. No part of it is a start of itself.
@@ -61,10 +63,13 @@ def base32_of(hexadecimal: Column) -> Column:
 def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, payload, digest (base32 SHA-1) and refers_to (null: a response) of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("key", F.sha2("payload", 256))
+    rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     # Counted before the shuffle, so copies are no hot group; groups of one need no owner.
     owners = rows.where(F.octet_length("payload") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("key", "owner")
-    found = rows.join(owners, "key", "left")
+    owners = cut(owners)
+    # While few payloads are repeated, pages need no shuffle to learn so.
+    few = owners.limit(BROADCAST_OWNERS + 1).count() <= BROADCAST_OWNERS
+    found = rows.join(F.broadcast(owners) if few else owners, "key", "left")
     refers = F.when(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
     return found.select("page_id", "url", "payload", base32_of(F.sha1("payload")).alias("digest"), refers.alias("refers_to"))
 
