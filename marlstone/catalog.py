@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import library, retrieval, storage, trees, versioning
+from .queries import history, library, retrieval, storage, trees, versioning
 
-FAMILIES = (trees, retrieval, versioning, storage, library)
+FAMILIES = (trees, retrieval, versioning, storage, library, history)
 
 
 def queries() -> dict:

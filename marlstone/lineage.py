@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, read by any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows it has: no job of its own for that."""
+    seen = Observation()
+    return cut(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]

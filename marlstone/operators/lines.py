@@ -12,11 +12,11 @@ Relations: ``nodes(addr, line, place, ups)``; a closure ``(start, line, place)``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..errors import MultipleBases, NoCommonHistory, NotFound
-from ..lineage import cut
+from ..lineage import counted, cut
 
 UPS = "array<struct<line: string, place: long>>"
 
@@ -33,11 +33,12 @@ def labelled(snapshots: DataFrame, known: DataFrame | None = None) -> DataFrame:
     first = edges.where("ord = 0").join(here, "parent", "left_semi").groupBy("parent").agg(F.min("addr").alias("addr"))
     at = rows.select("addr").join(first, "addr", "left")
     at = cut(at.select("addr", F.coalesce("parent", "addr").alias("line"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("place")))
-    total = -1
-    while (reached := at.agg(F.sum("place")).first()[0] or 0) != total:
-        total = reached
+    moved = 1
+    while moved:
         back = at.select(F.col("addr").alias("line"), F.col("line").alias("_line"), F.col("place").alias("_place"))
-        at = cut(at.join(back, "line").select("addr", F.col("_line").alias("line"), (F.col("place") + F.col("_place")).alias("place")))
+        more = Observation()
+        at = cut(at.join(back, "line").observe(more, F.count(F.when(F.col("_place") > 0, 1)).alias("n")).select("addr", F.col("_line").alias("line"), (F.col("place") + F.col("_place")).alias("place")))
+        moved = more.get["n"]
     every = at if known is None else at.unionByName(known.select("addr", "line", "place"))
     place = every.select(F.col("addr").alias("parent"), F.col("line").alias("_l"), F.col("place").alias("_p"))
     across = edges.join(at, "addr").join(place, "parent").where((F.col("ord") > 0) | (F.col("line") != F.col("_l")) | (F.col("place") != F.col("_p") + 1))
@@ -63,8 +64,8 @@ def closure(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     while True:
         steps = frontier.join(across, "line").where("at <= place").groupBy("start", F.col("up_line").alias("line")).agg(F.max("up_place").alias("place"))
         old = seen.select("start", "line", F.col("place").alias("_old"))
-        frontier = cut(steps.join(old, ["start", "line"], "left").where("_old is null or place > _old").drop("_old"))
-        if frontier.isEmpty():
+        frontier, n = counted(steps.join(old, ["start", "line"], "left").where("_old is null or place > _old").drop("_old"))
+        if not n:
             return seen
         seen = cut(seen.unionByName(frontier).groupBy("start", "line").agg(F.max("place").alias("place")))
 
@@ -87,8 +88,8 @@ def log(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     reached = cut(placed(nodes, starts).withColumn("depth", F.lit(0).cast("long")))
     while True:  # after k rounds all lines within 2^k changes
         # From the place where a line is entered it takes that many steps to its start, and those of the jump.
-        new = cut(reached.join(jump, "line").select("start", F.col("to").alias("line"), F.col("enters").alias("place"), (F.col("depth") + F.col("place") + F.col("more")).alias("depth")))
-        if new.isEmpty():
+        new, n = counted(reached.join(jump, "line").select("start", F.col("to").alias("line"), F.col("enters").alias("place"), (F.col("depth") + F.col("place") + F.col("more")).alias("depth")))
+        if not n:
             break
         reached = cut(reached.unionByName(new))
         then = jump.select(F.col("line").alias("to"), F.col("to").alias("_to"), F.col("enters").alias("_enters"), F.col("more").alias("_more"))
@@ -114,8 +115,8 @@ def depths(nodes: DataFrame, starts: DataFrame, below: int | None = None) -> Dat
         at = points.withColumn("_best", F.min(F.col("depth") + F.col("place")).over(above)).where("depth is null and _best is not null").select("line", F.col("place").alias("at"), (F.col("_best") - F.col("place")).alias("depth"))
         new = at.join(across, ["line", "at"]).groupBy(F.col("up_line").alias("line"), F.col("up_place").alias("place")).agg((F.min("depth") + 1).alias("depth")).where(limit)
         old = entered.select("line", "place", F.col("depth").alias("_old"))
-        frontier = cut(new.join(old, ["line", "place"], "left").where("_old is null or depth < _old").drop("_old"))
-        if frontier.isEmpty():
+        frontier, n = counted(new.join(old, ["line", "place"], "left").where("_old is null or depth < _old").drop("_old"))
+        if not n:
             break
         entered = cut(entered.unionByName(frontier).groupBy("line", "place").agg(F.min("depth").alias("depth")))
     points = nodes.select("addr", "line", "place", F.lit(None).cast("long").alias("depth")).unionByName(entered.select(F.lit(None).cast("string").alias("addr"), "line", "place", "depth"))
@@ -129,8 +130,8 @@ def merge_bases(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     What two closures share is again a beginning of each line, so only its ends can be bases: those
     that no edge from what is shared on another line leads to.
     """
-    named = cut(pairs.select("a", "b").distinct())
-    reached = cut(closure(nodes, named.select(F.col("a").alias("start")).unionByName(named.select(F.col("b").alias("start")))))
+    named = pairs.select("a", "b").distinct()
+    reached = closure(nodes, named.select(F.col("a").alias("start")).unionByName(named.select(F.col("b").alias("start"))))
     side = lambda n: named.join(reached.select(F.col("start").alias(n), "line", F.col("place").alias(f"_{n}")), n)
     ends = cut(side("a").join(side("b"), ["a", "b", "line"]).select("a", "b", "line", F.least("_a", "_b").alias("place")))
     inner = ends.join(_across(nodes), "line").where("at <= place").select("a", "b", F.col("up_line").alias("line"), F.col("up_place").alias("place")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import decode, note_problem, snapshot_problem, tree_problem
 from ..functions.scalars import address, is_kind
-from ..lineage import cut
+from ..lineage import counted, cut
 from ..schema import KINDS
 
 
@@ -67,8 +67,8 @@ def marked(edges: DataFrame, snapshots: DataFrame, keep_last: int | None = None,
     seen, turn = frontier, 0
     while True:
         turn += 1
-        frontier = cut(frontier.join(steps, F.col("addr") == F.col("src")).select(F.col("dst").alias("addr")).distinct().join(seen, "addr", "left_anti"))
-        if frontier.isEmpty():
+        frontier, n = counted(frontier.join(steps, F.col("addr") == F.col("src")).select(F.col("dst").alias("addr")).distinct().join(seen, "addr", "left_anti"))
+        if not n:
             return seen
         seen = seen.unionByName(frontier)
         if turn % 4 == 0:

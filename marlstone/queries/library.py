@@ -6,6 +6,7 @@ version base, one that brings its changes to ours, one that takes away what ours
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import uuid
 
@@ -30,10 +31,21 @@ def _empty(spark: SparkSession) -> Repository:
     return Repository(spark, EngineConfig(f"{shared_dir(spark).rstrip('/')}/library-{uuid.uuid4().hex}", now=lambda: next(tick)))
 
 
+def stamped(spark: SparkSession, sf_dir: str, *tables: str) -> tuple[str, str]:
+    """The folder, and a hash of its tables' files with their sizes and times, by which what was made from them is kept."""
+    found = []
+    for name in tables or ("documents", "benchmark"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        found += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files]
+    return sf_dir, hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+
+
 def library(spark: SparkSession, sf_dir: str) -> tuple[Repository, str]:
     """The stored library and the address of its first snapshot."""
     known = spark.sparkContext.__dict__.setdefault("_marlstone_libraries", {})
-    if sf_dir not in known:
+    key = stamped(spark, sf_dir)
+    if key not in known:
         repo = _empty(spark)
         inputs = lambda rows: rows.select("path", "title", "body", "tags", F.lit(None).cast(LINKS).alias("links"), "created_at")
         base, ours = version(spark, sf_dir, "base"), version(spark, sf_dir, "ours")
@@ -41,8 +53,8 @@ def library(spark: SparkSession, sf_dir: str) -> tuple[Repository, str]:
         changes = cut(diff(base.select("path", "addr"), ours.select("path", "addr")).select("path", "type"))
         repo.bulk_import(inputs(ours.join(changes.where("type <> 'removed'"), "path", "left_semi")))
         repo.remove_notes(changes.where("type = 'removed'"))
-        known[sf_dir] = repo, first
-    return known[sf_dir]
+        known[key] = repo, first
+    return known[key]
 
 
 def _hits(found: DataFrame) -> DataFrame:
