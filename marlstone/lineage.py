@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,3 +31,10 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut``, and how many rows it has: no job of its own for that."""
     seen = Observation()
     return cut(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
+def at_once(*works: Callable[[], object]) -> None:
+    """Runs writes that don't need one another side by side, so that small ones don't wait for each other's jobs."""
+    with ThreadPoolExecutor(max(1, min(4, len(works)))) as pool:
+        for done in [pool.submit(w) for w in works]:
+            done.result()

@@ -103,7 +103,8 @@ def fsck(objects: DataFrame, entries: DataFrame | None = None, vectors: DataFram
     named = edges.join(objects.select(F.col("addr").alias("src"), "kind"), "src")
     lost = named.join(known, "dst", "left_anti")
     if exempt is not None:
-        lost = lost.join(exempt.select(F.col("addr").alias("src"), F.lit("index").alias("role")), ["src", "role"], "left_anti")
+        roles = F.explode(F.array(F.lit("index"), F.lit("vec"))).alias("role")
+        lost = lost.join(exempt.select(F.col("addr").alias("src"), roles), ["src", "role"], "left_anti")
     found.append(lost.select(F.col("src").alias("addr"), "kind", F.concat(F.lit("missing reference: "), "dst").alias("problem")))
     entry = parsed["tree"].select("addr", "kind", F.explode("o.entries").alias("e")).join(known, F.col("e.addr") == F.col("dst"))
     expected = F.when(F.col("e.type") == "dir", "tree").otherwise("note")
@@ -133,12 +134,42 @@ def fsck_relations(objects: DataFrame, notes: DataFrame, snapshots: DataFrame, e
     ]
     pairs = docs.select("path", "addr").distinct()
     rows = cut(pairs.join(notes.select("addr", "title", "tags", "body"), "addr"))
-    keys, counts = ["path", "addr", "term"], ["tf_title", "tf_tags", "tf_body"]
+    keys, counts = ["path", "addr", "term"], ["tf_title", "tf_tags", "tf_body", "len"]
     # Counted per row, so that rows twice, rows too many and rows with other counts all show.
     have = lambda df, sign, columns: df.select(*columns, F.lit(sign).alias("n"))
     differ = lambda a, b, columns: have(a, 1, columns).unionByName(have(b, -1, columns)).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
     found.append(row(differ(docs, docs_of(rows), ["path", "addr", "len"]), "note", F.concat(F.lit("wrong length in the index: "), "path")))
-    found.append(row(differ(postings, postings_of(rows), keys + counts).select("addr", "path").distinct(), "note", F.concat(F.lit("wrong postings in the index: "), "path")))
+    found.append(row(differ(postings, postings_of(rows, lengths=True), keys + counts).select("addr", "path").distinct(), "note", F.concat(F.lit("wrong postings in the index: "), "path")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def fsck_vectors(objects: DataFrame, vectors: DataFrame, told: DataFrame, entries: DataFrame) -> DataFrame:
+    """Violations of every generation of vectors that a snapshot of ``told(snapshot, generation)`` names: shards of another
+    model or length than their root, components that don't fit, vectors of paths that the snapshot (``entries``) lacks,
+    and rows of the relation that the shards don't hold, or the reverse."""
+    used = told.select("generation").distinct()
+    roots = decode(objects, "vecroot").select(F.col("addr").alias("generation"), F.col("o.model").alias("model"), F.col("o.dim").alias("dim"), F.explode("o.shards").alias("shard")).where("shard <> ''").join(used, "generation", "left_semi")
+    shards = decode(objects, "vecshard").select(F.col("addr").alias("shard"), F.col("o.model").alias("_model"), F.col("o.dim").alias("_dim"), F.col("o.items").alias("items"))
+    both = roots.join(shards, "shard")
+    items = cut(both.select("generation", "dim", F.explode("items").alias("i")).select("generation", "dim", F.col("i.path").alias("path"), F.octet_length(F.unbase64("i.vec")).alias("n")))
+    row = lambda rows, kind, text: rows.select(F.col("generation").alias("addr"), F.lit(kind).alias("kind"), text.alias("problem"))
+    stored = vectors.join(used, "generation", "left_semi").select("generation", "path", "model", F.size("vec").alias("n"))
+    shape = stored.groupBy("generation").agg(F.countDistinct("model").alias("models"), F.countDistinct("n").alias("dims"))
+    as_objects = used.where(F.col("generation").startswith("sha256:"))
+    stray = stored.select("generation", "path").join(told, "generation").join(entries.where("type = 'note'").select("snapshot", "path"), ["snapshot", "path"], "left_anti")
+    # What objects hold is compared with the relation where objects hold the generation at all.
+    held, kept = items.select("generation", "path"), stored.select("generation", "path").join(as_objects, "generation", "left_semi")
+    found = [
+        row(both.where("not (_model <=> model and _dim <=> dim)"), "vecroot", F.concat(F.lit("shard of another model or length: "), "shard")),
+        row(items.where("n <> 4 * dim"), "vecroot", F.concat(F.lit("wrong length of the vector of "), "path")),
+        row(shape.where("models > 1 or dims > 1"), "vecroot", F.lit("vectors of several models or lengths")),
+        row(stray.select("generation", "path").distinct(), "vecroot", F.concat(F.lit("vector without note: "), "path")),
+        row(held.join(kept, ["generation", "path"], "left_anti"), "vecroot", F.concat(F.lit("vector not in the relation: "), "path")),
+        row(kept.join(held, ["generation", "path"], "left_anti"), "vecroot", F.concat(F.lit("vector in no shard: "), "path")),
+    ]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

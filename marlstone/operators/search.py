@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bm25, bucket, cosine, rrf, tags_or_empty, tokens, weighted
@@ -29,16 +29,23 @@ BROADCAST_TERMS = 100_000
 QUERY_CELLS = 1 << 22
 
 
-def terms(notes: DataFrame) -> DataFrame:
-    """path, addr and term with its count in title, tags and body; each tag is cut by itself."""
+def _length() -> Column:
+    """A note's weighted length, straight from the token arrays."""
+    n_tags = F.aggregate(F.transform(tags_or_empty("tags"), lambda t: F.size(tokens(t))), F.lit(0), lambda s, x: s + x)
+    return weighted(F.size(tokens("title")), n_tags, F.size(tokens("body"))).cast("long").alias("len")
+
+
+def terms(notes: DataFrame, lengths: bool = False) -> DataFrame:
+    """path, addr and term with its count in title, tags and body, and if asked for the note's length; each tag is cut by itself."""
     fields = F.array(
         F.struct(F.lit(0).alias("field"), tokens("title").alias("tokens")),
         F.struct(F.lit(1).alias("field"), F.flatten(F.transform(tags_or_empty("tags"), tokens)).alias("tokens")),
         F.struct(F.lit(2).alias("field"), tokens("body").alias("tokens")),
     )
-    rows = notes.select("path", "addr", F.inline(fields)).select("path", "addr", "field", F.explode("tokens").alias("term"))
+    own = ["path", "addr", *(["len"] if lengths else [])]
+    rows = notes.select("path", "addr", *([_length()] if lengths else []), F.inline(fields)).select(*own, "field", F.explode("tokens").alias("term"))
     count = lambda i: F.count(F.when(F.col("field") == i, 1))
-    return rows.groupBy("path", "addr", "term").agg(count(0).alias("tf_title"), count(1).alias("tf_tags"), count(2).alias("tf_body"))
+    return rows.groupBy(*own, "term").agg(count(0).alias("tf_title"), count(1).alias("tf_tags"), count(2).alias("tf_body"))
 
 
 def full_build(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +53,9 @@ def full_build(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings_of(notes), docs_of(notes)
 
 
-def postings_of(notes: DataFrame) -> DataFrame:
-    return terms(notes).select("term", "path", "addr", "tf_title", "tf_tags", "tf_body")
+def postings_of(notes: DataFrame, lengths: bool = False) -> DataFrame:
+    """Postings; with their notes' lengths as they are stored, so that a search reads no lengths elsewhere."""
+    return terms(notes, lengths).select("term", "path", "addr", "tf_title", "tf_tags", "tf_body", *(["len"] if lengths else []))
 
 
 def bucketed(postings: DataFrame) -> DataFrame:
@@ -57,8 +65,7 @@ def bucketed(postings: DataFrame) -> DataFrame:
 
 def docs_of(notes: DataFrame) -> DataFrame:
     """Weighted lengths, straight from the token arrays: no shuffle."""
-    n_tags = F.aggregate(F.transform(tags_or_empty("tags"), lambda t: F.size(tokens(t))), F.lit(0), lambda s, x: s + x)
-    return notes.select("path", "addr", weighted(F.size(tokens("title")), n_tags, F.size(tokens("body"))).cast("long").alias("len"))
+    return notes.select("path", "addr", _length())
 
 
 def apply_delta(postings: DataFrame, docs: DataFrame, removed: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -97,7 +104,9 @@ def scores(postings: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame
     # With few terms their frequencies are broadcast too: no join shuffles by term, so a frequent one is no hot key.
     asked = some(wanted.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term"))
     tf = weighted("tf_title", "tf_tags", "tf_body")
-    found = hits.join(docs.select("path", "len"), "path").crossJoin(F.broadcast(corpus)).join(asked, "term")
+    if "len" not in hits.columns:  # an index that isn't stored
+        hits = hits.join(docs.select("path", "len"), "path")
+    found = hits.crossJoin(F.broadcast(corpus)).join(asked, "term")
     part = bm25(tf, F.col("df"), F.col("n"), F.col("len"), F.col("avg_len"))
     # Rounded, so that the order of summing can't decide between equal scores.
     return found.groupBy("qid", "path", "addr").agg(F.round(F.sum(part), 9).alias("score"))

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .. import errors as E
 from ..functions.encoding import decode, encode_note
 from ..functions.scalars import address, ancestors_of, note_path, path_parts, tags_equal, tags_or_empty
-from ..lineage import cut
+from ..lineage import at_once, cut
 from ..operators import dag, lines, objects, search, tree, versions
 from ..schema import ENTRIES, LINKS, NOTE_INPUT, EngineConfig
 from ..sources import formats
-from ..sources.embed import Embedder, check_uniform, embedded
+from ..sources.embed import Embedder, check_uniform, embedded, vector_objects, vectors_of
 from ..sources.warehouse import Manifest, Transaction, Warehouse, open_warehouse
 
 FULL_EVERY = 16
@@ -192,7 +192,8 @@ class Repository:
         dirty = cut(above.unionByName(added.where("type = 'dir'").select("path")).distinct().join(now.where("type = 'dir'").select("path"), "path", "left_semi"))
         built, trees, root = tree.tree_addresses(now, dirty)
         time = self.config.now()
-        data = canonical({"kind": "snapshot", "root": root, "parents": sorted(parents), "time": time, "message": message})
+        # A generation that is stored as objects is named by its root's address.
+        data = canonical({"kind": "snapshot", "root": root, "parents": sorted(parents), "time": time, "message": message, "vec": vectors if vectors.startswith("sha256:") else ""})
         addr = "sha256:" + hashlib.sha256(data.encode()).hexdigest()
         chain = self.snapshot(base)["chain"] + 1 if base else 0
         chain = chain % FULL_EVERY
@@ -203,14 +204,18 @@ class Repository:
             delta = delta.unionByName(changes.where("deleted").select(*tree.COLUMNS, "deleted").join(adds.select("path"), "path", "left_anti"))
         fresh = not self._has_snapshot(addr)
         own = self.spark.createDataFrame([("snapshot", data.encode())], "kind string, data binary")
-        tx.put(union([*new_objects, trees, own]))
-        if fresh:
-            tx.append("deltas", delta.withColumn("snapshot", F.lit(addr)))
-            if self.config.indexed:
-                self._index(tx, tree.leaves(added.where("type = 'note'")))
+
+        def snapshot() -> None:
             line, place, ups = self._line(addr, sorted(parents), head)
             row = [(addr, root, sorted(parents), time, message, base, chain, self.config.indexed, vectors or None, line, place, ups)]
             tx.append("snapshots", self.spark.createDataFrame(row, self.snapshots().schema))
+
+        writes = [lambda: tx.put(union([*new_objects, trees, own]))]
+        if fresh:
+            writes += [lambda: tx.append("deltas", delta.withColumn("snapshot", F.lit(addr))), snapshot]
+            if self.config.indexed:
+                writes.append(lambda: self._index(tx, tree.leaves(added.where("type = 'note'"))))
+        at_once(*writes)
         tx.move(self.project, self.branch, addr, head if expected == "" else expected)
         return addr
 
@@ -226,12 +231,12 @@ class Repository:
 
     def _index(self, tx: Transaction, pairs: DataFrame) -> None:
         """Index rows of (path, address) pairs that have none yet."""
-        for name, rows in self._index_rows(tx, tx.lacking("docs", pairs)).items():
-            tx.append(name, rows)
+        rows = self._index_rows(tx, tx.lacking("docs", pairs))
+        at_once(*(lambda n=n, r=r: tx.append(n, r) for n, r in rows.items()))
 
     def _index_rows(self, tx: Transaction, pairs: DataFrame) -> dict[str, DataFrame]:
         rows = cut(pairs.join(tx.relation("notes").select("addr", "title", "tags", "body"), "addr"))
-        return {"postings": search.bucketed(search.postings_of(rows)), "docs": search.docs_of(rows)}
+        return {"postings": search.bucketed(search.postings_of(rows, lengths=True)), "docs": search.docs_of(rows)}
 
     def _encoded(self, inputs: DataFrame) -> DataFrame:
         """Checked notes with their canonical form and address."""
@@ -425,12 +430,15 @@ class Repository:
         rows = tree.leaves(self.entries(head)).join(self.notes().select("addr", "title", "body"), "addr")
         vectors = cut(embedded(rows, embedder))
         check_uniform(vectors)
-        generation = hashlib.sha256(f"{head} {embedder.model} {self.config.now()}".encode()).hexdigest()
+        made, generation = vector_objects(vectors)
+        if made is None:
+            generation = hashlib.sha256(f"{head} {embedder.model} {self.config.now()}".encode()).hexdigest()
         nothing = self.spark.createDataFrame([], "path string, type string, addr string, deleted boolean")
 
         def work(tx: Transaction) -> str:
-            tx.append("vectors", vectors.withColumn("generation", F.lit(generation)))
-            return self._commit_in(tx, nothing, message, head, vectors=generation)
+            # The same notes and model give the same generation, which may be there.
+            tx.append("vectors", tx.lacking("vectors", vectors.withColumn("generation", F.lit(generation)), self._starts(generation).withColumnRenamed("start", "generation")))
+            return self._commit_in(tx, nothing, message, head, new_objects=[] if made is None else [made], vectors=generation)
 
         return self.store.transact(work)
 
@@ -737,7 +745,10 @@ class Repository:
             heads = sorted({b["addr"] for b in record.rows("branches")})
             snapshots = read("snapshots")
             alive = cut(lines.reachable(snapshots, heads)) if heads else self.spark.createDataFrame([], "addr string")
-            marked = cut(objects.marked(read("edges"), alive.withColumnRenamed("addr", "node")))
+            newest = cut(lines.depths(snapshots, self._starts(*heads), keep).select("addr")) if keep and heads else alive
+            # Snapshots at the depth of ``keep`` or deeper let go of their indexes and vectors.
+            nodes = alive.join(newest.withColumn("depth", F.lit(0)), "addr", "left").select(F.col("addr").alias("node"), F.coalesce("depth", F.lit(keep)).alias("depth"))
+            marked = cut(objects.marked(read("edges"), nodes, keep or None))
             removed = objects.unreachable(read("objects").select("addr"), marked).count()
             # A snapshot's chain of deltas stays as long as the snapshot does.
             chains, frontier = alive, alive
@@ -745,8 +756,6 @@ class Repository:
                 frontier = snapshots.where("chain > 0").join(frontier, "addr", "left_semi").select(F.col("base").alias("addr"))
                 chains = chains.unionByName(frontier)
             chains = cut(chains.distinct())
-            newest = lines.depths(snapshots, self._starts(*heads), keep).select("addr") if keep and heads else alive
-            newest = cut(newest)
             deltas = read("deltas").join(chains.withColumnRenamed("addr", "snapshot"), "snapshot", "left_semi")
             pairs = cut(tree.leaves(self.entries_of(newest.select(F.col("addr").alias("snapshot")))).distinct())
             generations = snapshots.join(newest, "addr", "left_semi").where("vectors is not null").select(F.col("vectors").alias("generation")).distinct()
@@ -772,11 +781,14 @@ class Repository:
 
     def fsck(self) -> DataFrame:
         """Violations among the objects, and of the relations that were made from them."""
-        head = self.head()
-        generation = self.snapshot(head)["vectors"] if head else None
-        vectors = self.store.relation("vectors").where(F.col("generation") == generation) if generation else None
-        found = objects.fsck(self.store.relation("objects"), self.entries(head) if generation else None, vectors)
-        alive = self.snapshots().join(self._alive().withColumnRenamed("node", "addr"), "addr", "left_semi")
+        alive = cut(self.snapshots().join(self._alive().withColumnRenamed("node", "addr"), "addr", "left_semi"))
+        heads, keep = self.project_heads(every=True), int(self.store.meta_get("gc.keep_last", None) or 0)
+        newest = lines.depths(self.snapshots(), self._starts(*heads), keep) if keep and heads else alive
+        pruned = cut(alive.select("addr").join(newest.select("addr"), "addr", "left_anti"))
+        found = objects.fsck(self.store.relation("objects"), exempt=pruned)
+        told = cut(alive.where("vectors is not null").join(pruned, "addr", "left_anti").select(F.col("addr").alias("snapshot"), F.col("vectors").alias("generation")))
+        if not told.isEmpty():
+            found = found.unionByName(objects.fsck_vectors(self.store.relation("objects"), self.store.relation("vectors"), told, self.entries_of(told)))
         tips = self.entries_of(self.spark.createDataFrame([(h,) for h in self.project_heads(every=True)], "snapshot string"))
         relations = objects.fsck_relations(self.store.relation("objects"), self.notes(), alive, tips, self.store.relation("docs"), self.store.relation("postings"))
         stored = objects.fsck_edges(self.store.relation("objects"), self.store.relation("edges"))
@@ -874,12 +886,13 @@ class Repository:
         notes = decode(everything, "note").select("addr", F.col("o.meta.title").alias("title"), tags_or_empty("o.meta.tags").alias("tags"), F.col("o.meta.created_at").alias("created_at"), F.col("o.links").alias("links"), F.col("o.body").alias("body_addr"))
         tx.append("notes", notes.join(blobs, "body_addr").drop("body_addr"))
         steps = cut(decode(everything, "tree").select(F.col("addr").alias("tree"), F.explode("o.entries").alias("e")).select("tree", "e.slug", "e.type", "e.addr"))
-        snaps = decode(everything, "snapshot").select("addr", "o.root", F.coalesce("o.parents", F.array().cast("array<string>")).alias("parents"), "o.time", "o.message")
+        snaps = decode(everything, "snapshot").select("addr", "o.root", F.coalesce("o.parents", F.array().cast("array<string>")).alias("parents"), "o.time", "o.message", F.col("o.vec").alias("vectors"))
+        tx.append("vectors", vectors_of(everything))
         snaps = cut(lines.labelled(snaps))
         # Along its line a snapshot differs from the one before by few entries; every FULL_EVERY-th place stands whole.
         chain = (F.col("place") % FULL_EVERY).cast("int")
         before = snaps.select("line", (F.col("place") + 1).alias("place"), F.col("addr").alias("base"), F.col("root").alias("base_root"))
         snaps = cut(snaps.join(before, ["line", "place"], "left").withColumn("chain", chain))
         tx.append("deltas", tree.deltas_of(steps, snaps))
-        tx.append("snapshots", snaps.withColumns({"base": F.when(F.col("chain") > 0, F.col("base")), "indexed": F.lit(True), "vectors": F.lit(None).cast("string")}))
+        tx.append("snapshots", snaps.withColumns({"base": F.when(F.col("chain") > 0, F.col("base")), "indexed": F.lit(True)}))
         self._index(tx, tree.leaves(tx.relation("deltas").where("not deleted")).distinct())

@@ -19,7 +19,7 @@ DELTAS = f"snapshot string, {ENTRIES}, deleted boolean"
 SNAPSHOTS = "addr string, root string, parents array<string>, time long, message string, base string, chain int, indexed boolean, vectors string, line string, place long, ups array<struct<line: string, place: long>>"
 EDGES = "src string, dst string, role string"
 DOCS = "path string, addr string, len long"
-POSTINGS = "bucket int, term string, path string, addr string, tf_title long, tf_tags long, tf_body long"
+POSTINGS = "bucket int, term string, path string, addr string, tf_title long, tf_tags long, tf_body long, len long"
 VECTORS = "generation string, model string, dim int, bucket int, path string, vec array<float>"
 PROJECTS = "name string, created_at timestamp, description string"
 BRANCHES = "project string, name string, addr string, updated_at timestamp, description string"

@@ -13,12 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmbedFailed
-from ..functions.scalars import bucket, embed_text
+from ..functions.encoding import addressed, decode, encode_vec_root, encode_vec_shard
+from ..functions.scalars import BUCKETS, bucket, embed_text
+from ..functions.vectors import from_base64, to_base64
+from ..lineage import cut
 
 # Texts per request, seconds per request.
 BATCH, TIMEOUT = 32, 30
 
 
+#: The largest text of a shard that is made an object.
+SHARD_BYTES = 256 << 20
+
+
 class Embedder(Protocol):
     model: str
 
@@ -128,6 +135,33 @@ def embedded(notes: DataFrame, embedder: Embedder) -> DataFrame:
     return found.withColumn("bucket", bucket("path"))
 
 
+def vector_objects(vectors: DataFrame) -> tuple[DataFrame | None, str | None]:
+    """The objects (kind, data) of a generation of vectors, and its root's address.
+
+    A shard is one text for all vectors of a path bucket. Where that would pass SHARD_BYTES, the form can't hold
+    the vectors: there are no objects then, and they live in their relation alone.
+    """
+    widest = vectors.groupBy("bucket").agg(F.sum(6 * F.col("dim") + F.octet_length("path") + 32).alias("n")).agg(F.max("n")).first()[0]
+    if widest is None or widest > SHARD_BYTES:
+        return None, None
+    items = vectors.select("bucket", "model", "dim", F.struct("path", to_base64("vec").alias("vec")).alias("item"))
+    shards = items.groupBy("bucket", "model", "dim").agg(F.collect_list("item").alias("items"))
+    shards = cut(shards.select("bucket", "model", "dim", addressed(encode_vec_shard(F.col("model"), F.col("dim"), F.col("items"))).alias("o")))
+    found = {r["bucket"]: r for r in shards.select("bucket", "model", "dim", "o.addr").collect()}  # one row per bucket
+    one = next(iter(found.values()))
+    slots = F.array(*(F.lit(found[b]["addr"] if b in found else "") for b in range(BUCKETS)))
+    root = vectors.sparkSession.range(1).select(addressed(encode_vec_root(F.lit(one["model"]), F.lit(one["dim"]), slots)).alias("o")).select("o.addr", F.lit("vecroot").alias("kind"), "o.data")
+    rows = shards.select(F.lit("vecshard").alias("kind"), "o.data").unionByName(root.select("kind", "data"))
+    return rows, root.first()["addr"]
+
+
+def vectors_of(objects: DataFrame) -> DataFrame:
+    """The rows of VECTORS that vector objects hold; a generation is named by its root."""
+    roots = decode(objects, "vecroot").select(F.col("addr").alias("generation"), F.posexplode("o.shards").alias("bucket", "shard")).where("shard <> ''")
+    shards = decode(objects, "vecshard").select(F.col("addr").alias("shard"), "o.model", "o.dim", F.explode("o.items").alias("item"))
+    return roots.join(shards, "shard").select("generation", "model", "dim", "bucket", "item.path", from_base64("item.vec").alias("vec"))
+
+
 def check_uniform(vectors: DataFrame) -> None:
     row = vectors.agg(F.min("dim").alias("low"), F.max("dim").alias("high")).head()
     if row["low"] != row["high"]:

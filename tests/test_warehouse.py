@@ -32,10 +32,14 @@ for i in range(2):
 
 @pytest.fixture
 def few(spark):
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    """Settings for a handful of rows: compiling code would cost more than it saves."""
+    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.shuffle.partitions", old)
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def unique(store):
@@ -201,3 +205,50 @@ def test_restored_histories_are_deltas(spark, few, tmp_path):
         rows = lambda x: {tuple(e) for e in x.entries(r["addr"]).select("path", "parent", "slug", "depth", "type", "addr").collect()}  # noqa: E731, B023
         assert rows(copy) == rows(repo)
     assert copy.store.relation("deltas").count() < 40 and copy.fsck().count() == 0
+
+
+def test_vectors_are_objects(spark, few, tmp_path):
+    """Backups, restores, transfers, collections and checks carry every generation of vectors."""
+    from marlstone.functions.encoding import decode
+    from marlstone.sources.embed import HashEmbedder
+
+    hits = lambda r, ref=None: [tuple(x) for x in r.search_hybrid("beta", HashEmbedder(), ref).collect()]
+    repo = Repository(spark, EngineConfig(str(tmp_path / "a")))
+    repo.bulk_import(repo.inputs([{"path": p, "title": p, "body": b} for p, b in (("x/one", "alpha beta"), ("x/two", "beta"), ("y", "gamma"))]))
+    first = repo.rebuild_embeddings(HashEmbedder())
+    again = repo.rebuild_embeddings(HashEmbedder())
+    assert repo.snapshot(first)["vectors"] == repo.snapshot(again)["vectors"] and repo.store.relation("vectors").count() == 3
+    repo.set_note("z", "z", "delta beta")
+    last = repo.rebuild_embeddings(HashEmbedder())
+    objects = repo.store.relation("objects")
+    root = decode(objects, "vecroot").where(F.col("addr") == repo.snapshot(last)["vectors"]).select("o.*").first()
+    assert (root["model"], root["dim"], len(root["shards"])) == ("hash", 16, 64) and sum(s != "" for s in root["shards"]) in (1, 2, 3, 4)
+    assert decode(objects, "snapshot").where(F.col("addr") == last).select("o.vec").first()[0] == repo.snapshot(last)["vectors"]
+    assert repo.fsck().count() == 0
+    want = {ref: hits(repo, ref) for ref in (first, last)}
+    assert len(want[last]) == 4 and len(want[first]) == 3
+    restored, pulled = (Repository(spark, EngineConfig(str(tmp_path / n))) for n in ("b", "c"))
+    restored.restore(repo.dump())
+    pulled.pull(repo)
+    for copy in (restored, pulled):
+        assert {ref: hits(copy, ref) for ref in (first, last)} == want and copy.fsck().count() == 0
+    # A generation that the relation and a shard disagree on, on a snapshot that isn't the head.
+    pulled.store.rewrite("vectors", lambda rows: rows.where("path <> 'y'"))
+    assert {r["problem"] for r in pulled.fsck().collect()} == {"vector not in the relation: y"}
+    restored.gc(keep_last=1)
+    assert hits(restored) == want[last] and restored.fsck().count() == 0
+    with pytest.raises(E.EngineError):
+        hits(restored, first)
+    assert decode(restored.store.relation("objects"), "vecroot").count() == 1
+
+
+def test_vector_shards_have_fixed_bytes(spark):
+    """Fields in order, items by path, components as little-endian 32-bit floats."""
+    from marlstone.sources.embed import vector_objects
+
+    rows = spark.createDataFrame([(p, "nomic-embed-text", 4, 7, [0.5, -1.25, 0.0, 3.75]) for p in ("go/zzz", "go/aaa")], "path string, model string, dim int, bucket int, vec array<float>")
+    made, root = vector_objects(rows)
+    data = {r["kind"]: bytes(r["data"]).decode() for r in made.collect()}
+    vec = "AAAAPwAAoL8AAAAAAABwQA=="
+    assert data["vecshard"] == f'{{"kind":"vecshard","model":"nomic-embed-text","dim":4,"items":[{{"path":"go/aaa","vec":"{vec}"}},{{"path":"go/zzz","vec":"{vec}"}}]}}'
+    assert data["vecroot"].startswith('{"kind":"vecroot","model":"nomic-embed-text","dim":4,"shards":["","') and root.startswith("sha256:")
