@@ -13,6 +13,7 @@ from ..errors import EngineError
 from ..functions.scalars import positive_limit
 from ..schema import EngineConfig
 from ..sources import formats
+from ..sources.foreign import open_library
 from ..sources.embed import provider
 from ..operators.tree import rendered
 from . import views
@@ -69,7 +70,7 @@ def parser() -> argparse.ArgumentParser:
     add("branch-ls")
     add("branch-desc", pos("name"), pos("description"))
     add("backup", pos("file"))
-    add("restore", pos("file"), flag("--force"))
+    add("restore", pos("file"), flag("--force"), flag("--library"))
     add("wipe", flag("--yes"))
     add("serve", opt("--port", type=int, default=8080), opt("--token", default=""))
     add("version")
@@ -161,7 +162,7 @@ def run(spark: SparkSession, argv: list[str]):
         case "backup":
             return repo.dump().write.mode("overwrite").text(a.file)
         case "restore":
-            return repo.restore(spark.read.text(a.file), a.force)
+            return repo.restore_foreign(open_library(spark, a.file), a.force) if a.library else repo.restore(spark.read.text(a.file), a.force)
         case "wipe":
             return store.wipe() if a.yes else {"error": "wipe needs --yes"}
         case "serve":

@@ -32,6 +32,7 @@ from ..operators import dag, lines, objects, search, tree, versions
 from ..schema import ENTRIES, LINKS, NOTE_INPUT, EngineConfig
 from ..sources import formats
 from ..sources.embed import Embedder, check_uniform, embedded, vector_objects, vectors_of
+from ..sources.foreign import ForeignLibrary
 from ..sources.warehouse import Manifest, Transaction, Warehouse, open_warehouse
 
 FULL_EVERY = 16
@@ -856,27 +857,39 @@ class Repository:
 
     def restore(self, lines: DataFrame, force: bool = False) -> dict:
         """Fills an empty library (or, forced, a wiped one) from backup lines, after checking every object."""
-        if not self.store.is_empty():
-            if not force:
-                raise E.LibraryNotEmpty("the library holds objects: force to replace them")
+        self._fillable(force)
         rows = cut(formats.parse_backup(lines))
         version = formats.check_header(rows)
-        found = cut(formats.parse_objects(lines))
-        bad = found.where("not intact").head()
+        named = lambda kind: rows.where(F.col("type") == kind).collect()
+        return self._filled(formats.parse_objects(lines), named("project"), named("branch"), version, force)
+
+    def restore_foreign(self, library: ForeignLibrary, force: bool = False) -> dict:
+        """Fills an empty library (or, forced, a wiped one) from one in a database, after checking every object."""
+        self._fillable(force)
+        version = library.version()
+        found = library.objects.withColumn("intact", address("data") == F.col("addr"))
+        return self._filled(found, library.projects.collect(), library.branches.collect(), version, force)
+
+    def _fillable(self, force: bool) -> None:
+        if not force and not self.store.is_empty():
+            raise E.LibraryNotEmpty("the library holds objects: force to replace them")
+
+    def _filled(self, found: DataFrame, projects: list[Row], branches: list[Row], version: int, force: bool) -> dict:
+        found = cut(found)
+        bad = found.where("not coalesce(intact, false)").head()
         if bad:
             raise E.InvalidObject(f"{bad['addr']} is damaged")
         if force:
             self.store.wipe()
-        for r in rows.where("type = 'project'").collect():
+        for r in projects:
             if not self.store.project_create(r["name"], r["description"] or ""):
                 self.store.project_describe(r["name"], r["description"] or "")
-        branches = rows.where("type = 'branch'").collect()
         self.store.transact(lambda tx: self._relations_from_objects(tx, found.select("kind", "data")))
         for b in branches:
             self.store.branch_set(b["project"], b["name"], b["addr"])
             if b["description"]:
                 self.store.branch_describe(b["project"], b["name"], b["description"])
-        return {"objects": found.count(), "projects": rows.where("type = 'project'").count(), "branches": len(branches), "version": version}
+        return {"objects": found.count(), "projects": len(projects), "branches": len(branches), "version": version}
 
     def _relations_from_objects(self, tx: Transaction, found: DataFrame) -> None:
         """Objects, and notes, snapshots, entries and index rows out of the objects alone."""
