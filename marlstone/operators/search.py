@@ -8,12 +8,14 @@ indexing anew.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bm25, bucket, cosine, rrf, tags_or_empty, tokens, weighted
@@ -25,8 +27,8 @@ from ..lineage import cut
 LEG = 50
 #: Queries of a batch up to this many (query, term) rows are broadcast.
 BROADCAST_TERMS = 100_000
-#: Numbers in a block of query vectors: 32 MB.
-QUERY_CELLS = 1 << 22
+#: Numbers in a block of vectors (2 MB), and in all unfinished blocks of a task (64 MB).
+BLOCK_CELLS, HELD_CELLS = 1 << 18, 1 << 23
 
 
 def terms(notes: DataFrame) -> DataFrame:
@@ -155,54 +157,87 @@ def cosine_rank(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 def cosine_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest paths of every query vector, exactly.
 
-    Queries go in blocks of at most QUERY_CELLS numbers, which bounds what is broadcast; each batch of vectors is
-    multiplied with a block and sends on its own k best per query, so rows grow with the batches, not with the
-    pairs. A zero vector is similar to nothing (0); vectors of another length than a query's are left out.
+    A product of blocks: both sides are dealt into ``cells`` groups by a hash of their key, a
+    group's vectors of one length are packed into blocks of at most BLOCK_CELLS numbers, and each block of queries
+    meets each block of vectors once, in one join whose tasks are the pairs of groups. A pair of blocks is one matrix
+    product that sends on its own k best per query, so rows grow with the pairs of blocks, not of rows, and nothing
+    passes the driver. A zero vector is similar to nothing (0); null vectors, and those of another length than a
+    query's, are left out.
     """
-    found = None
-    for ids, block in _query_blocks(queries):
-        part = _nearest(vectors, ids, block, k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "path", F.lit(0.0).alias("sim"))
-    return top(found, k, F.col("sim").desc(), "path")
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Query identifiers and their vectors as a matrix, block by block, all of one length."""
-    held: dict[int, tuple[list, list]] = {}
-    for r in queries.select("qid", "vec").toLocalIterator():
-        ids, rows = held.setdefault(len(r["vec"]), ([], []))
-        ids.append(r["qid"])
-        rows.append(r["vec"])
-        if len(rows) * len(r["vec"]) >= QUERY_CELLS:
-            yield ids, np.array(rows, float)
-            del held[len(r["vec"])]
-    for ids, rows in held.values():
-        yield ids, np.array(rows, float)
-
-
-def _nearest(vectors: DataFrame, ids: list, block: np.ndarray, k: int) -> DataFrame:
-    schema = vectors.sparkSession.createDataFrame([(ids[0],)], ["qid"]).schema["qid"].dataType.simpleString()
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, block, np.sqrt((block * block).sum(1))))
+    cells = _cells(vectors.sparkSession)
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    asked = _packed(queries, "qid", cells).select("dim", F.col("own").alias("q"), every.alias("v"), F.col("keys").alias("qids"), F.col("numbers").alias("asked"))
+    stored = _packed(vectors, "path", cells).select("dim", every.alias("q"), F.col("own").alias("v"), F.col("keys").alias("paths"), F.col("numbers").alias("stored"))
+    pairs = asked.join(stored.hint("shuffle_merge"), ["dim", "q", "v"]).select("dim", "qids", "asked", "paths", "stored")
+    schema = queries.schema["qid"].dataType.simpleString()
+    near = pairs.mapInArrow(lambda batches: _nearest(batches, k), f"qid {schema}, path string, sim double")
+    return top(near, k, F.col("sim").desc(), "path")
+
+
+def _cells(spark: SparkSession) -> int:
+    """Groups of either side: their pairs are about as many as shuffle partitions. Each block is sent that many times."""
+    return max(1, min(32, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def _packed(rows: DataFrame, key: str, cells: int) -> DataFrame:
+    """Blocks of rows ``(key, vec)``: dim, own (the group, which the key alone decides), keys in order, numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, block, norms = shared.value
+        held: dict[tuple[int, int], list[tuple[pa.Array, np.ndarray]]] = {}
+        sizes: Counter = Counter()
+
+        def block(group: tuple[int, int]) -> pa.RecordBatch:
+            parts = held.pop(group)
+            sizes.pop(group)
+            keys, numbers = pa.concat_arrays([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+            order = np.argsort(np.array(keys.to_pylist(), object), kind="stable")
+            columns = [pa.array([group[0]], pa.int32()), pa.array([group[1]], pa.int32()), pa.array([keys.take(pa.array(order)).to_pylist()], pa.list_(keys.type)), pa.array([numbers[order].tobytes()], pa.binary())]
+            return pa.record_batch(columns, names=["dim", "own", "keys", "numbers"])
+
         for batch in batches:
-            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), block.shape[1]), False))
-            if not batch.num_rows:
-                continue
-            rows = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            size = np.sqrt((rows * rows).sum(1))[:, None] * norms
-            sim = np.round(np.divide(rows @ block.T, size, out=np.zeros(size.shape), where=size > 0), 9)
-            paths = np.argsort(np.array(batch.column(0).to_pylist(), object), kind="stable")
-            for q in range(len(ids)):
-                least = np.partition(sim[:, q], -k)[-k] if k < batch.num_rows else -np.inf
-                near = paths[sim[paths, q] >= least]
-                near = near[np.argsort(-sim[near, q], kind="stable")][:k]
-                yield pa.record_batch([pa.array([ids[q]] * len(near)), batch.column(0).take(pa.array(near)), pa.array(sim[near, q])], names=["qid", "path", "sim"])
-
-    return vectors.select("path", "vec").mapInArrow(work, f"qid {schema}, path string, sim double")
+            length = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            own = batch.column(2).to_numpy(zero_copy_only=False)
+            for dim in np.unique(length):
+                step = max(1, BLOCK_CELLS // max(1, int(dim)))
+                for cell in np.unique(own[length == dim]):
+                    group, at = (int(dim), int(cell)), np.flatnonzero((length == dim) & (own == cell))
+                    while len(at):
+                        some, at = np.split(at, [step - sizes[group]])
+                        part = batch.take(pa.array(some))
+                        numbers = pc.list_flatten(part.column(1)).to_numpy(zero_copy_only=False).astype("<f8").reshape(len(some), int(dim))
+                        held.setdefault(group, []).append((part.column(0), numbers))
+                        sizes[group] += len(some)
+                        if sizes[group] >= step:
+                            yield block(group)
+            while sum(n * dim for (dim, _), n in sizes.items()) > HELD_CELLS:
+                yield block(max(sizes, key=lambda g: sizes[g] * g[0]))
+        for group in list(held):
+            yield block(group)
+
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.where("vec is not null").select(key, "vec", F.pmod(F.xxhash64(key), F.lit(cells)).cast("int").alias("own"))
+    return dealt.mapInArrow(work, f"dim int, own int, keys array<{kind}>, numbers binary")
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query within its pair of blocks; ties by path, in which blocks are sorted."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            dim, qids, asked, paths, stored = (c[i] for c in batch.columns)
+            qids, paths, dim = qids.values, paths.values, dim.as_py()
+            q, v = (np.frombuffer(x.as_buffer(), "<f8").reshape(n, dim) for x, n in ((asked, len(qids)), (stored, len(paths))))
+            size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))
+            sim = np.round(np.divide(q @ v.T, size, out=np.zeros(size.shape), where=size > 0), 9)
+            if k < len(paths):
+                query, at = np.nonzero(sim >= np.partition(sim, -k, axis=1)[:, -k, None])
+            else:
+                query, at = (x.ravel() for x in np.indices(sim.shape))
+            order = np.lexsort((at, -sim[query, at], query))
+            query, at = query[order], at[order]
+            start = np.searchsorted(query, np.arange(len(qids)))
+            best = np.arange(len(query)) - start[query] < k
+            query, at = query[best], at[best]
+            yield pa.record_batch([qids.take(pa.array(query)), paths.take(pa.array(at)), pa.array(sim[query, at])], names=["qid", "path", "sim"])
 
 
 def fused(lexical: DataFrame, semantic: DataFrame, leg: int = LEG) -> DataFrame:

@@ -170,3 +170,40 @@ def test_objects(spark):
     assert found.count() == 2 and objects.missing(found, found.where("size = 0")).count() == 1
     broken = found.withColumn("data", F.when(F.col("size") == 1, F.lit(b"y")).otherwise(F.col("data")))
     assert [r["problem"] for r in objects.fsck(broken).collect()] == ["content does not match address"]
+
+
+def test_many_query_vectors_are_one_join(spark, monkeypatch):
+    """Blocks of any size give what all pairs give: ties by path, zero, null and shorter vectors, repeated vectors."""
+    import numpy as np
+
+    from marlstone.operators import search
+
+    monkeypatch.setattr(search, "_cells", lambda spark: 3)
+    rng = np.random.default_rng(5)
+    stored = [(f"p{i:03}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(230)]
+    stored += [("zero", [0.0] * 4), ("none", None), ("short", [1.0, 2.0]), ("é", [1.0, 1.0, 1.0, 1.0])]
+    asked = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(37)] + [(90, [0.0] * 4), (91, [1.0, 2.0]), (92, None), (93, [1.0])]
+
+    def brute(vec, k):
+        if vec is None:
+            return []
+        a = np.array(vec)
+        found = []
+        for path, other in stored:
+            if other is not None and len(other) == len(vec):
+                size = np.linalg.norm(a) * np.linalg.norm(other)
+                found.append((-round(float(a @ other / size), 9) if size else 0.0, path))
+        return [p for _, p in sorted(found)[:k]]
+
+    vectors = spark.createDataFrame(stored, "path string, vec array<float>").repartition(4)
+    queries = spark.createDataFrame(asked, "qid long, vec array<double>").repartition(3)
+    for k, block in ((3, 12), (5, 1 << 18), (500, 60)):
+        monkeypatch.setattr(search, "BLOCK_CELLS", block)
+        monkeypatch.setattr(search, "HELD_CELLS", 2 * block)
+        got = {}
+        for r in search.cosine_batch(vectors, queries, k).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append(r["path"])
+        assert got == {qid: want for qid, vec in asked if (want := brute(vec, k))}
+    plan = search.cosine_batch(vectors, queries, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Union" not in plan
+    assert search.cosine_batch(vectors.limit(0), queries, 3).count() == search.cosine_batch(vectors, queries.limit(0), 3).count() == 0
