@@ -4,8 +4,10 @@
 with private PES data; ``parse`` is a general reader: it reassembles the sections
 of program association and program map tables, over as many packets as they
 take (checking their CRC), checks continuity counters, reassembles PES packets
-and keeps the time stamp of each and whether decoding can start there. Damage
-is counted: whatever the bytes, reading ends without an exception.
+and keeps the time stamp of each and whether decoding can start there. Null packets carry nothing and no
+counter; packets marked as broken are counted and left out; a counter may jump
+where its packet announces it. Damage is counted: whatever the bytes, reading ends
+without an exception.
 
 Defined results: a null text counts as empty; an empty payload is one block of
 64 zero bytes; very long texts become many PES packets; equal texts give equal
@@ -32,6 +34,9 @@ UNIT, RANDOM_ACCESS_EVERY = 16_384, 8
 #: 90 kHz ticks: first time stamp and distance between two PES packets.
 FIRST_PTS, PTS_STEP = 90_000, 3_003
 BLOCK = 64
+# Null packets, padding PES packets, and stream ids whose PES packets have no optional header.
+NULL_PID, PADDING = 0x1FFF, 0xBE
+HEADERLESS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
@@ -213,13 +218,16 @@ def parse(media: bytes) -> Transport:
         if not raw:
             return
         stream = result.streams[pid]
-        if len(raw) < 9 or raw[:3] != b"\x00\x00\x01":
+        bare = len(raw) >= 6 and raw[3] in HEADERLESS
+        if len(raw) < (6 if bare else 9) or raw[:3] != b"\x00\x00\x01":
             stream.truncated += 1
             return
-        length, start = int.from_bytes(raw[4:6], "big"), 9 + raw[8]
+        length, start = int.from_bytes(raw[4:6], "big"), 6 if bare else 9 + raw[8]
         end = 6 + length if length else len(raw)
         stream.truncated += end > len(raw) or start > end
-        stream.pts.append(_read_pts(raw[9:14]) if raw[7] & 0x80 and raw[8] >= 5 and len(raw) >= 14 else None)
+        if raw[3] == PADDING:
+            return
+        stream.pts.append(_read_pts(raw[9:14]) if not bare and raw[7] & 0x80 and raw[8] >= 5 and len(raw) >= 14 else None)
         stream.entry.append(entry)
         done[pid].append(raw[start:end])
 
@@ -256,16 +264,24 @@ def parse(media: bytes) -> Transport:
         if media[at] != 0x47:
             result.lost_sync += 1
             continue
+        if media[at + 1] & 0x80:  # transport_error_indicator: nothing in it can be trusted
+            result.bad_packets += 1
+            continue
         pid = (media[at + 1] & 0x1F) << 8 | media[at + 2]
+        if pid == NULL_PID:
+            continue
         starts, control = bool(media[at + 1] & 0x40), media[at + 3]
-        body, random_access = at + 4, False
+        body, random_access, announced = at + 4, False, False
         if control & 0x20:
             size = media[body]
             if size > (182 if control & 0x10 else 183):
                 result.bad_packets += 1
                 continue
             random_access = bool(size and media[body + 1] & 0x40)
+            announced = bool(size and media[body + 1] & 0x80)  # discontinuity_indicator
             body += 1 + size
+        if announced:
+            counters.pop(pid, None)
         if not control & 0x10:
             continue
         count, before = control & 15, counters.get(pid)
@@ -282,7 +298,7 @@ def parse(media: bytes) -> Transport:
             if pid in parts:
                 parts[pid][0].append(media[body : at + PACKET])
         elif pid in tables:
-            if gap:
+            if gap or announced:
                 result.bad_tables += tables[pid].lost()
             for section in tables[pid].feed(media[body : at + PACKET], starts):
                 read_table(pid, section)
