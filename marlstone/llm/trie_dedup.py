@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import PIECE_BYTES, cut, filled, map_pieces, only, text_hash
 
-#: Bytes of edge labels a trie may hold before it spills subtrees.
-TRIE_BYTES = 48 << 20
+#: Bytes of labels and nodes a trie may hold before it spills subtrees, and what a node takes besides its label
+#: (its slots, the label's header, its share of its parent's dictionary; measured).
+TRIE_BYTES, NODE_BYTES = 48 << 20, 320
 DIGEST = "size long, sha string"
 
 
@@ -70,7 +71,12 @@ class Patricia:
     """Compressed radix trie over byte strings; ``largest`` says which identifier owns a string."""
 
     def __init__(self, largest: bool):
-        self.root, self.largest, self.bytes = Node(b""), largest, 0
+        self.root, self.largest, self.bytes, self.nodes = Node(b""), largest, 0, 0
+
+    @property
+    def memory(self) -> int:
+        """Bytes that labels and nodes take."""
+        return self.bytes + NODE_BYTES * self.nodes
 
     def better(self, a: int | None, b: int | None) -> int | None:
         if a is None or b is None:
@@ -85,6 +91,7 @@ class Patricia:
             if child is None:
                 child = Node(rest)
                 self.bytes += len(rest)
+                self.nodes += 1
                 node.children = node.children or {}
                 node.children[rest[0]] = child
                 node, rest = child, b""
@@ -94,6 +101,7 @@ class Patricia:
             n = _common(child.label, rest)
             if n < len(child.label):
                 middle = Node(child.label[:n])
+                self.nodes += 1
                 child.label = child.label[n:]
                 middle.children = {child.label[0]: child}
                 node.children[rest[0]] = middle
@@ -111,6 +119,7 @@ class Patricia:
             key = before + at.label
             if not at.gone:
                 self.bytes -= len(at.label)
+                self.nodes -= at is not self.root
             if at.rows:
                 yield key, at.owner, at.rows
             stack.extend((child, key) for child in (at.children or {}).values())
@@ -118,23 +127,23 @@ class Patricia:
 
     @staticmethod
     def held(node: Node) -> int:
-        """Bytes of the labels of ``node`` and all below it."""
+        """Bytes of ``node`` and all below it."""
         total, stack = 0, [node]
         while stack:
             at = stack.pop()
-            total += 0 if at.gone else len(at.label)
+            total += 0 if at.gone else len(at.label) + NODE_BYTES
             stack.extend((at.children or {}).values())
         return total
 
     def spill(self, limit: int) -> Iterator[Terminal]:
-        """Drains the largest subtrees of the first branching until at most ``limit`` bytes of labels are held,
+        """Drains the largest subtrees of the first branching until at most ``limit`` bytes of memory are held,
         leaving a mark for each. A trie of a single text keeps it, however long."""
         node, prefix = self.root, b""
         while len(live := [c for c in (node.children or {}).values() if not c.gone]) == 1 and not node.rows:
             node, prefix = live[0], prefix + live[0].label
         live.sort(key=self.held, reverse=True)
         for child in live if node.rows else live[:-1]:  # something stays, so every trie settles a text
-            if self.bytes <= limit:
+            if self.memory <= limit:
                 return
             first = child.label[:1]
             yield from self.drain(child, prefix)
@@ -190,7 +199,7 @@ def _tries(texts: DataFrame, largest: bool, trie_bytes: int) -> DataFrame:
                 key = text.as_buffer().to_pybytes()
                 if not trie.insert(key, own[i], rows[i]):
                     room += elsewhere((key, own[i], rows[i]))
-                elif trie.bytes > trie_bytes:
+                elif trie.memory > trie_bytes:
                     for terminal in trie.spill(trie_bytes // 2):
                         room += elsewhere(terminal)
                         if room > PIECE_BYTES:
