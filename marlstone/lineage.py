@@ -9,6 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of an estimated size that is carried on: an exabyte.
+SIZED = 60
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; on a local master a temporary one, set once, where that is unset."""
@@ -22,9 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, read by any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: computed once, read by any executor.
+
+    A checkpoint keeps its plan's estimated size, and a join's is the product of both sides': where a loop joins what it
+    has cut before, the number's digits double every round, until the driver holds little else. Beyond SIZED bits the
+    rows go on without an estimate.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    if kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= SIZED:
+        return kept
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone import lineage
 from marlstone.operators import lines
 
 
@@ -124,3 +125,12 @@ def test_long_chains_cost_few_jobs(spark):
 
 def _equal(a, b):
     assert a == b
+
+
+def test_estimates_of_a_loop_stay_small(spark):
+    """Each round joins what was cut before with itself, as pointer jumping does: the estimate must not double its digits every time."""
+    at = lineage.cut(spark.range(64).select(F.col("id").alias("a"), ((F.col("id") + 1) % 64).alias("b"), F.array(F.struct(F.col("id").cast("string").alias("x"))).alias("u")))
+    for _ in range(10):
+        at = lineage.cut(at.join(at.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"), "u"))
+    assert at._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 128
+    assert sorted((r["a"], r["b"], r["u"][0]["x"]) for r in at.collect()) == [(i, (i + 1024) % 64, str(i)) for i in range(64)]
