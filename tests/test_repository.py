@@ -1,11 +1,13 @@
 import json
 import os
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone import errors as E
+from marlstone.operators import search
 from marlstone.plans import cli, http, repository, views
 from marlstone.plans.repository import Repository
 from marlstone.schema import EngineConfig
@@ -376,3 +378,21 @@ def test_stream(spark, repo, tmp_path):
     (folder / "2.jsonl").write_text(json.dumps({"path": "b", "title": "B", "tags": [], "body": "y"}) + "\n")
     ingest(repo, str(folder), str(tmp_path / "checkpoint")).awaitTermination()
     assert paths(repo) == ["a", "b"] and repo.log().count() == 2
+
+
+def test_postings_travel_and_lie_by_note(spark, tmp_path):
+    """No path and address is sent or stored with every term, and lengths summed from postings are those of the notes."""
+    body = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("w"), (i * (F.col("id") % 7 + 1)).cast("string"))))
+    rows = spark.range(300).select(F.concat(F.lit("a/n"), F.col("id").cast("string")).alias("path"), F.lit("!").alias("title"), F.when(F.col("id") == 0, "").otherwise(body).alias("body"), F.array().cast("array<string>").alias("tags"), F.lit(None).cast("array<struct<slug: string, rel: string>>").alias("links"), F.lit(1).cast("long").alias("created_at"))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    plan = search.postings_of(rows.withColumn("addr", F.sha2("path", 256)))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert "hashpartitioning(path" in plan and not re.search(r"hashpartitioning\([^)]*term", plan)
+    repo = Repository(spark, EngineConfig(str(tmp_path / "lib"), now=lambda: 7))
+    repo.bulk_import(rows)
+    (segment,) = repo.store.manifest().segments["postings"]
+    assert segment["rows"] == 299 * 200 and segment["bytes"] < 15 * segment["rows"]
+    want = search.docs_of(repo.list_notes())
+    assert sorted(map(tuple, repo.store.relation("docs").collect())) == sorted(map(tuple, want.collect()))
+    assert [r["len"] for r in want.collect()].count(0) == 1
