@@ -184,3 +184,18 @@ def test_markdown_rules(spark):
     assert (rows["ok"]["title"], rows["ok"]["tags"], rows["ok"]["body"], rows["ok"]["problem"]) == ("T", ["a", "b"], "body\n---\nmore", None)
     assert (rows["plain"]["body"], rows["plain"]["problem"]) == ("", None)
     assert {n: rows[n]["problem"] for n in list(files)[2:]} == {"fence": "first line must be ---", "none": "no title", "blank": "no title", "open": "front matter isn't closed", "odd": "unknown line", "twice": "title twice"}
+
+
+def test_bucket_steps_are_fnv(spark):
+    texts = ["", "a", "abcdefghijkl", "abcdefghijklm", "z" * 60, "é", "中文", "a\0b", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.bucket("t").alias("b"), (S.fnv1a("t") % S.BUCKETS).cast("int").alias("f")).collect()
+    assert all(r["b"] == r["f"] for r in rows)
+    # Once a term: evaluating it by functions over arrays took longer than cutting the texts.
+    plan = spark.createDataFrame([("abc",)], "t string").select(S.bucket("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan.split("aggregate(")[0] and "octet_length" in plan
+
+
+def test_tokens_with_and_without_cjk(spark):
+    texts = ["Ab c1", "中文字 a", "中", "", "é b", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(S.tokens("t").alias("x")).collect()
+    assert [r["x"] for r in rows] == [["ab", "c1"], ["中文", "文字", "a"], ["中"], [], ["b"], []]

@@ -396,3 +396,30 @@ def test_postings_travel_and_lie_by_note(spark, tmp_path):
     want = search.docs_of(repo.list_notes())
     assert sorted(map(tuple, repo.store.relation("docs").collect())) == sorted(map(tuple, want.collect()))
     assert [r["len"] for r in want.collect()].count(0) == 1
+
+
+def test_postings_are_written_by_themselves(spark, tmp_path, monkeypatch):
+    """A commit's small writes don't wait behind the index, and a commit without new notes doesn't read any."""
+    from marlstone.sources.warehouse import Warehouse
+
+    repo, open_now, seen, write = Repository(spark, EngineConfig(str(tmp_path / "lib"))), set(), [], Warehouse.write_segment
+
+    def watched(self, name, *args, **kwargs):
+        seen.append((name, sorted(open_now)))
+        open_now.add(name)
+        try:
+            return write(self, name, *args, **kwargs)
+        finally:
+            open_now.discard(name)
+
+    monkeypatch.setattr(Warehouse, "write_segment", watched)
+    repo.bulk_import(repo.inputs([{"path": "a/x", "title": "X", "body": "one"}, {"path": "a/y", "title": "Y", "body": "two"}]))
+    names = [n for n, _ in seen]
+    assert dict(seen)["postings"] == [] and {"objects", "edges", "deltas", "snapshots"} <= set(names[: names.index("postings")])
+    seen.clear()
+    repo.remove_notes(spark.createDataFrame([("a/x",)], "path string"))
+    assert not {"postings", "docs"} & {n for n, _ in seen}
+    seen.clear()
+    repo.gc(keep_last=1)
+    assert dict(seen)["postings"] == [] and [n for n, _ in seen][-1] == "postings"
+    assert {r["path"] for r in repo.search("two").collect()} == {"a/y"}
